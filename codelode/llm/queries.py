@@ -10,12 +10,13 @@ from . import chat, line_dedup, rules
 from .bpe import op1_bpe
 from .chat import op8_chat_format
 from .line_dedup import op10_line_dedup
+from .ngram_join import op7_ngram_join
 from .quality import op4_quality_classifier
 from .rules import op6_quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_quality_classifier, op6_quality_rules, op8_chat_format, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op4_quality_classifier, op6_quality_rules, op7_ngram_join, op8_chat_format, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
