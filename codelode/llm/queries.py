@@ -13,10 +13,11 @@ from .line_dedup import op10_line_dedup
 from .ngram_join import op7_ngram_join
 from .quality import op4_quality_classifier
 from .rules import op6_quality_rules
+from .suffix_dedup import op5_suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_quality_classifier, op6_quality_rules, op7_ngram_join, op8_chat_format, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_bpe, op4_quality_classifier, op5_suffix_dedup, op6_quality_rules, op7_ngram_join, op8_chat_format, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
