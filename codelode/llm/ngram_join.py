@@ -390,5 +390,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return found.join(of, F.col("sid") == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+#: Ids of dropped documents that may be sent to every executor (8 bytes each); beyond, they are joined by id.
+BROADCAST_IDS = 500_000
+
+
+def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """The documents with all their columns, of each component only the one of smallest doc_id; equal rows once."""
+    found = materialise(near_duplicates(docs, words))
+    gone = found.filter("component_id != doc_id").select("doc_id").distinct()
+    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    twice = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    n = twice.count()
+    if not n:
+        return kept
+    twice = F.broadcast(twice) if n <= BROADCAST_IDS else twice
+    return kept.join(twice, "doc_id", "left_anti").union(kept.join(twice, "doc_id", "left_semi").dropDuplicates())
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))

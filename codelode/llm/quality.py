@@ -231,5 +231,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(stats, fit(stats, labels))
 
 
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents predicted good, with all their columns; texts are not moved."""
+    model = fit(materialise(statistics(docs)), labels)
+
+    def run(batches):
+        classes, rolling = _byte_classes(), Rolling(5)
+        for rows, data, offsets in text_blocks(batches):
+            yield rows.filter(pa.array(model.score(features(data, offsets, classes, rolling)) >= CUT))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

@@ -9,15 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 from . import chat, line_dedup, rules
 from .bpe import op1_bpe
 from .chat import op8_chat_format
+from .decontam import op3_decontamination
 from .line_dedup import op10_line_dedup
 from .ngram_join import op7_ngram_join
 from .quality import op4_quality_classifier
 from .rules import op6_quality_rules
 from .suffix_dedup import op5_suffix_dedup
+from .toxicity import op9_toxicity
+from .warc import op2_warc
+
+
+OPERATORS = (
+    op1_bpe,
+    op2_warc,
+    op3_decontamination,
+    op4_quality_classifier,
+    op5_suffix_dedup,
+    op6_quality_rules,
+    op7_ngram_join,
+    op8_chat_format,
+    op9_toxicity,
+    op10_line_dedup,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op4_quality_classifier, op5_suffix_dedup, op6_quality_rules, op7_ngram_join, op8_chat_format, op10_line_dedup)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
