@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows an Arrow batch holds on its way to Python; blocks below bound the bytes.
 ARROW_ROWS = 1024
@@ -28,10 +29,26 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_keys(spark: SparkSession) -> np.ndarray:
+    """One integer for each shuffle partition that hash partitioning sends there: packed buckets then spread evenly."""
+    n, tries = partitions(spark), 16
+    while True:
+        ids = spark.range(0, tries * n, 1, 1).select(F.col("id").cast("int").alias("k"))
+        found = dict(ids.select(F.pmod(F.hash("k"), F.lit(n)).alias("p"), "k").orderBy(F.desc("k")).collect())
+        if len(found) == n:
+            return np.array([found[p] for p in range(n)], np.int64)
+        tries *= 2
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def texts(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id (long), text (string) and further columns by name, whatever else docs has."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
     sc = spark.sparkContext

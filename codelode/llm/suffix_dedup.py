@@ -17,7 +17,8 @@ many small pieces such that equal strings always meet in one piece:
    of first symbols.  Adjacent common prefixes then give the groups of equal
    WIDTH-byte windows; all but the first of each group are removed.
    An anchor with more than HOT contested segments (a common line in many
-   contexts) is dealt by whole windows instead, which spreads it.
+   contexts) would fill one piece: its windows meet one by one instead, as in
+   step 2, each by its own fingerprint, which spreads them.
 4. The removed ranges of a document meet its text, and the rest is kept.
 
 Copies collapse within a block before anything is moved, so a large group of
@@ -36,12 +37,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLOCK_BYTES, Rolling, materialise, pack, partitions, read, text_blocks, tune, unpack
-from .ngram_join import range_of, rows_of, split
+from .common import Rolling, even_keys, materialise, mix, pack, read, text_blocks, tune, unpack
+from .ngram_join import LISTS, range_of, rows_of, split
 
 WIDTH, GRAM = 100, 32
 #: Contested segments of one anchor beyond which its windows are dealt apart.
-HOT = 20_000
+HOT = 2000
+#: Bytes of one suffix array; an anchor is never split, so HOT segments bound it too.
+PIECE = 1 << 20
 #: Low bits of a packed minimum hold the place in the block (blocks are smaller, but for one longer text).
 PLACE = 30
 NO_ID = -(2**63)
@@ -143,18 +146,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
 
 
-def collapsed(key, content, doc, at, length, buckets: int) -> list[tuple[int, bytes]]:
+def spread(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of each key; anchors are least fingerprints, so their own ranges would be uneven."""
+    return range_of(mix(key), buckets)
+
+
+def collapsed(key, content, doc, at, length, names: np.ndarray) -> list[tuple[int, bytes]]:
     """Lists by range of the key: the first segment of each class of this block; later ones, marked by length + 32768, by document."""
     order, fresh, again = first_of_each(key, content, doc, at)
     key, content, doc, at, length = (x[order] for x in (key, content, doc, at, length))
     keep = fresh | again
     key, content, doc, at, length, again = (x[keep] for x in (key, content, doc, at, length, again))
-    to = np.where(again, range_of(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15), buckets), range_of(key, buckets))
+    to = np.where(again, spread(doc.view(np.uint64), len(names)), spread(key, len(names)))
     length = np.where(again, length + 32768, length)
-    return [(b, write_segments(key[i], content[i], doc[i], at[i], length[i])) for b, i in split(to, buckets)]
+    return [(b, write_segments(key[i], content[i], doc[i], at[i], length[i])) for b, i in split(to, names)]
 
 
-def meeting(docs: DataFrame, buckets: int) -> DataFrame:
+def meeting(docs: DataFrame, names: np.ndarray) -> DataFrame:
     """Step 1: packed segments of every whole text."""
 
     def run(batches):
@@ -163,7 +171,7 @@ def meeting(docs: DataFrame, buckets: int) -> DataFrame:
             ids = np.asarray(rows.column(0))
             key, content, of, at, length = segments(data, offsets, rolling, second)
             if len(key):
-                yield rows_of(collapsed(key, content, ids[of], at, length, buckets))
+                yield rows_of(collapsed(key, content, ids[of], at, length, names))
 
     tune(docs.sparkSession)
     return _keyed(docs).mapInArrow(run, "bucket int, body binary")
@@ -198,46 +206,44 @@ def judged(lists: DataFrame, hot: int = HOT) -> DataFrame:
     return lists.groupBy("bucket").applyInArrow(run, RANGES)
 
 
-def contested(docs: DataFrame, claims: DataFrame, buckets: int) -> DataFrame:
-    """Step 3: packed bytes of the contested segments by range of their anchor, or of their windows where it is hot."""
+def contested(docs: DataFrame, claims: DataFrame, names: np.ndarray) -> DataFrame:
+    """Step 3: packed bytes of the contested segments by anchor; packed single windows (hot true) where the anchor is hot."""
     own = claims.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "anchor", "hot"))).alias("claims"))
     rows = _keyed(docs).join(own.hint("shuffle_hash"), "doc").select("doc", "text", "claims")
 
     def run(batches):
-        rolling = Rolling(33)
-        for rows, data, offsets in text_blocks(batches, limit=BLOCK_BYTES):
+        rolling, second = Rolling(33), Rolling(34)
+        for rows, data, offsets in text_blocks(batches):
             ids = np.asarray(rows.column(0))
-            lists = rows.column(2)
-            count = np.asarray(lists.value_lengths())
-            flat = lists.flatten()
+            count = np.asarray(rows.column(2).value_lengths())
+            flat = rows.column(2).flatten()
             lo, hi, anchor = (np.asarray(flat.field(i)) for i in range(3))
             hot = np.asarray(flat.field(3).cast(pa.int8())) > 0
             of = np.repeat(np.arange(len(count)), count)
-            start, doc = lo + offsets[of], ids[of]
-            key, length = anchor.view(np.uint64), hi - lo
+            doc, start, length = ids[of], lo + offsets[of], hi - lo
             if hot.any():
-                windows = rolling.windows(rolling.prefix(data), WIDTH)
-                many = (length[hot] - WIDTH + 1).astype(np.int64)
+                first, second_ = rolling.windows(rolling.prefix(data), WIDTH), second.windows(second.prefix(data), WIDTH)
+                many = length[hot] - WIDTH + 1
                 step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
                 w = np.repeat(start[hot], many) + step
-                wd, wl = np.repeat(doc[hot], many), np.repeat(lo[hot], many) + step
-                order, fresh, again = first_of_each(windows[w], wd, wl)
-                at = order[fresh | again]
-                # later copies in this block go along: their first stands beside them
-                key = np.concatenate([key[~hot], windows[w[at]]])
-                start, doc = np.concatenate([start[~hot], w[at]]), np.concatenate([doc[~hot], wd[at]])
-                lo, length = np.concatenate([lo[~hot], wl[at]]), np.concatenate([length[~hot], np.full(len(at), WIDTH)])
-            ends = np.cumsum(length)
-            take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)
-            text, first = data[take], ends - length
+                lists = collapsed(first[w], second_[w], np.repeat(doc[hot], many), np.repeat(lo[hot], many) + step, np.ones(len(w), np.int64), names)
+                yield marked(lists, True)
+            key, doc, lo, start, length = (x[~hot] for x in (anchor.view(np.uint64), doc, lo, start, length))
             out = []
-            for b, i in split(range_of(key, buckets), buckets):
-                head = np.array([len(i)], np.int64).tobytes() + doc[i].tobytes() + lo[i].astype(np.int64).tobytes() + length[i].astype(np.int64).tobytes()
-                out.append((b, head + b"".join(text[first[j] : ends[j]].tobytes() for j in i)))
+            for b, i in split(spread(key, len(names)), names):
+                ends = np.cumsum(length[i])
+                take = np.arange(int(ends[-1])) + np.repeat(start[i] - (ends - length[i]), length[i])
+                numbers = np.concatenate([[len(i)], key[i].view(np.int64), doc[i], lo[i], length[i]]).astype(np.int64)
+                out.append((b, numbers.tobytes() + data[take].tobytes()))
             if out:
-                yield rows_of(out)
+                yield marked(out, False)
+
+    return rows.mapInArrow(run, "bucket int, body binary, hot boolean")
 
-    return rows.mapInArrow(run, "bucket int, body binary")
+
+def marked(lists: list[tuple[int, bytes]], hot: bool) -> pa.RecordBatch:
+    rows = rows_of(lists)
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array([hot] * len(rows), pa.bool_())], names=[*LISTS.names, "hot"])
 
 
 class SuffixArray:
@@ -362,29 +368,49 @@ def repeats(doc: np.ndarray, lo: np.ndarray, length: np.ndarray, data: np.ndarra
     return ids[later >> 40], later & (2**40 - 1)
 
 
+def pieces(key: np.ndarray, length: np.ndarray, limit: int):
+    """Places of segments in runs of whole anchors, at most `limit` bytes each unless one anchor has more."""
+    order = np.argsort(key, kind="stable")
+    starts = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    total = np.concatenate([[0], np.cumsum(length[order])])
+    a = 0
+    while a < len(starts):
+        b = int(np.searchsorted(total[starts], total[starts[a]] + limit, "right")) - 1
+        b = max(b, a + 1)
+        yield order[starts[a] : starts[b] if b < len(starts) else len(order)]
+        a = b
+
+
 def sorted_out(lists: DataFrame) -> DataFrame:
-    """Removed ranges found by suffix sorting each bucket."""
+    """Removed ranges found by suffix sorting, anchors by anchors."""
 
     def run(table: pa.Table) -> pa.Table:
-        doc, lo, length, data = [], [], [], []
+        columns, data = [], []
         for x in table.column("body"):
             body = x.as_py()
             n = int(np.frombuffer(body, np.int64, 1)[0])
-            numbers = np.frombuffer(body, np.int64, 3 * n, 8).reshape(3, n)
-            for to, part in zip((doc, lo, length), numbers, strict=True):
-                to.append(part)
-            data.append(np.frombuffer(body, np.uint8, -1, 8 + 24 * n))
-        found, at = repeats(*(np.concatenate(x) for x in (doc, lo, length, data)))
-        return range_table(*merged(found, at, at + WIDTH))
+            columns.append(np.frombuffer(body, np.int64, 4 * n, 8).reshape(4, n))
+            data.append(np.frombuffer(body, np.uint8, -1, 8 + 32 * n))
+        key, doc, lo, length = np.concatenate(columns, axis=1)
+        data = np.concatenate(data)
+        begin = np.cumsum(length) - length
+        out = [range_table(*[np.zeros(0, np.int64)] * 3)]
+        for i in pieces(key, length, PIECE):
+            ends = np.cumsum(length[i])
+            take = np.arange(int(ends[-1])) + np.repeat(begin[i] - (ends - length[i]), length[i])
+            found, at = repeats(doc[i], lo[i], length[i], data[take])
+            out.append(range_table(*merged(found, at, at + WIDTH)))
+        return pa.concat_tables(out)
 
     return lists.groupBy("bucket").applyInArrow(run, RANGES)
 
 
-def removed_ranges(docs: DataFrame) -> DataFrame:
+def removed_ranges(docs: DataFrame, hot: int | None = None) -> DataFrame:
     """doc, lo, hi: byte ranges to remove (they may overlap)."""
-    buckets = 4 * partitions(docs.sparkSession)
-    first = materialise(judged(meeting(docs, buckets)))
-    second = materialise(sorted_out(contested(docs, first.filter("anchor IS NOT NULL"), buckets)))
+    names = even_keys(docs.sparkSession)
+    first = materialise(judged(meeting(docs, names), HOT if hot is None else hot))
+    found = materialise(contested(docs, first.filter("anchor IS NOT NULL"), names))
+    second = materialise(sorted_out(found.filter("NOT hot").drop("hot")).union(judged(found.filter("hot").drop("hot"))))
     return first.filter("anchor IS NULL").select("doc", "lo", "hi").union(second.select("doc", "lo", "hi"))
 
 
