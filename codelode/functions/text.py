@@ -110,15 +110,14 @@ def is_simple_lookup(query: str) -> bool:
 def xxh3_hex(text: Column) -> Column:
     """32 hex digits of XXH3-128, for identity with stored content hashes; null gives null."""
     import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
-    def digest(x: pd.Series) -> pd.Series:
+    def digest(x):
         import xxhash
 
         return x.map(lambda v: None if v is None else xxhash.xxh3_128_hexdigest(v.encode()))
 
-    return digest(text)
+    digest.__annotations__ = {"x": pd.Series, "return": pd.Series}
+    return F.pandas_udf(digest, "string")(text)
 
 
 def entity_id(repository: Column, path: Column, qualified: Column, kind: Column) -> Column:

@@ -45,9 +45,10 @@ def contains_edges(entities: DataFrame) -> DataFrame:
 
 def references(entities: DataFrame) -> DataFrame:
     """repository_id, src, rel_type, target, simple, is_external: all references of all relations, from one scan."""
-    one = lambda field: F.array_compact(F.array(f"relationships.{field}"))
+    fields = entities.schema["relationships"].dataType.names
     lists = {rel: F.col(f"relationships.{field}") for rel, field in FIELDS.items()}
     none = F.array().cast(entities.schema["relationships"].dataType["calls"].dataType)
+    one = lambda field: F.array_compact(F.array(f"relationships.{field}")) if field in fields else none
     lists["IMPLEMENTS"] = F.concat(one("implements_trait"), F.coalesce(lists["IMPLEMENTS"], none))
     lists["ASSOCIATES"] = one("for_type")
     tag = lambda rel, refs: F.transform(F.coalesce(refs, none), lambda r: F.struct(F.lit(rel).alias("rel_type"), r.alias("ref")))
