@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, read, text_blocks, tune
+from .common import mix, read, text_blocks, texts, tune
 
 WINDOW, SHORTEST, LITERAL = 8, 4, 3
 #: Leaked: this share of the item's words, or so many of them.
@@ -204,7 +204,7 @@ LEAKS = "doc_id long, item_id long, n_covered long, item_words long, n_slots lon
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per leaked (doc_id, item_id)."""
     tune(docs.sparkSession)
-    rows, found = docs.select("doc_id", "text"), docs.sparkSession.createDataFrame([], LEAKS)
+    rows, found = texts(docs), docs.sparkSession.createDataFrame([], LEAKS)
 
     def matcher(items: Items):
         def run(batches):

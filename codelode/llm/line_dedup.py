@@ -50,21 +50,22 @@ def boilerplate(docs: DataFrame, host: str = "source", text: str = "text", perce
 def drop_lines(docs: DataFrame, host: str = "source", text: str = "text", percent: int = PERCENT, min_pages: int = MIN_PAGES) -> DataFrame:
     """docs with boilerplate lines taken out of `text`; adds __n_lines and __n_dropped."""
     found = materialise(boilerplate(docs, host, text, percent, min_pages))
-    per_host = found.groupBy(F.col("__host").alias("__of")).agg(F.collect_set("__mark").alias("__frequent"))
+    per_host = found.groupBy(F.col("__host").alias("of")).agg(F.collect_set("__mark").alias("frequent"))
     if found.count() <= BROADCAST_LINES:
         per_host = F.broadcast(per_host)
-    joined = docs.join(per_host, docs[host].eqNullSafe(F.col("__of")), "left")
-    lines = joined.withColumn("__lines", _lines(text))
-    hit = F.when(F.col("__frequent").isNotNull(), F.array_intersect(_marks(F.col("__lines")), F.col("__frequent")))
-    lines = lines.withColumn("__hit", hit)
-    gone = F.coalesce(F.size("__hit") > 0, F.lit(False))
-    kept = F.when(gone, F.filter("__lines", lambda x: ~F.array_contains(F.col("__hit"), F.xxhash64(x)) | (F.length(F.trim(x)) == 0)))
-    lines = lines.withColumn("__kept", kept)
-    clean = F.when(gone, F.array_join("__kept", "\n")).otherwise(F.col(text))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long")
-    n_dropped = F.when(gone, F.size("__lines") - F.size("__kept")).otherwise(0).cast("long")
-    columns = [clean.alias(c) if c == text else F.col(c) for c in docs.columns]
-    return lines.select(*columns, n_lines.alias("__n_lines"), n_dropped.alias("__n_dropped"))
+    # the document stays in one struct, so its columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"))
+    rows = rows.join(per_host, F.col("d")[host].eqNullSafe(F.col("of")), "left")
+    rows = rows.withColumn("lines", F.split(F.col("d")[text], "\n"))
+    rows = rows.withColumn("hit", F.when(F.col("frequent").isNotNull(), F.array_intersect(_marks(F.col("lines")), F.col("frequent"))))
+    gone = F.coalesce(F.size("hit") > 0, F.lit(False))
+    kept = F.when(gone, F.filter("lines", lambda x: ~F.array_contains(F.col("hit"), F.xxhash64(x)) | (F.length(F.trim(x)) == 0)))
+    rows = rows.withColumn("kept", kept)
+    clean = F.when(gone, F.array_join("kept", "\n")).otherwise(F.col("d")[text])
+    n_lines = F.when(F.col("lines").isNull(), 0).otherwise(F.size("lines")).cast("long")
+    n_dropped = F.when(gone, F.size("lines") - F.size("kept")).otherwise(0).cast("long")
+    columns = [clean.alias(c) if c == text else F.col("d")[c].alias(c) for c in docs.columns]
+    return rows.select(*columns, n_lines.alias("__n_lines"), n_dropped.alias("__n_dropped"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,17 @@
    among the first n - ceil(0.75 n) + 1 of each; sets whose prefix is all their
    own are done.
 4. Sets that share a prefix fingerprint and pass the length and positional
-   filters are candidates.  A large group first tries a star around its most
-   central set and neighbours by size; members that are then connected need no
-   more tests.  Rounds with other centres follow; the last tests every pair of
-   sets that are still in different components, so no link between components is
-   missed and no group is expanded into all its pairs while it is connected.
-5. Candidates pass the suffix filter (counts by ranges of the fingerprint order
-   bound the overlap) and are verified once by intersecting the whole sets.
+   filters are candidates (a set's unshared fingerprints lie before all others
+   and match nothing, which tightens the positional bound).  A large group first
+   tries a star around its most central set and neighbours by size; members that
+   are then connected need no more tests.  The last round tests every pair of sets
+   that are still in different components, so no link between components is missed
+   and no group is expanded into all its pairs while it is connected.
+   A group of more than GROUP sets is dealt as pairs of blocks, so no task holds it.
+5. Candidates pass the suffix filter, a bound on how much the rest of both sets
+   differs: first by parity bitmaps of BITS bits that travel with the prefixes,
+   then by counts in ranges of the fingerprint order.  Each pair is then verified
+   once by intersecting the whole sets.
 
 Fingerprints that a large share of a task's sets hold ("hot") are found first
 over all rows; they skip step 2's meeting by value, as being the most frequent
@@ -34,15 +38,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, materialise, mix, pack, partitions, read, text_blocks, tune, unpack
+from .common import Rolling, even_keys, materialise, mix, pack, read, text_blocks, texts, tune, unpack
 from .components import components
 
 WORDS = 5
 BLOCK = 2 << 20
 #: Fingerprints treated as hot: at most so many, each on so many sets at least.
 HOT_KEYS, HOT_SETS = 65_536, 1000
-#: Ranges of the suffix filter; groups up to SMALL try all their pairs at once; rounds with other centres.
-RANGES, SMALL, ROUNDS = 256, 6, 3
+#: Bits of the bitmaps and ranges of the suffix filter; groups up to SMALL try all their pairs at once; rounds before the last.
+BITS, RANGES, SMALL, ROUNDS = 512, 256, 6, 1
+#: Sets of one prefix fingerprint that one task holds.
+GROUP = 20_000
 SEED = 3
 
 
@@ -126,7 +132,7 @@ def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.nulls(len(keys), pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.int64())], schema=schema)
 
     tune(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "kind int, doc_id long, n long, sid long")
+    return texts(docs).mapInArrow(run, "kind int, doc_id long, n long, sid long")
 
 
 def write_lists(sid: np.ndarray, n: np.ndarray, owner: np.ndarray, key: np.ndarray, more: np.ndarray | None = None) -> bytes:
@@ -161,12 +167,12 @@ def gather(table: pa.Table) -> tuple[np.ndarray, ...]:
     return join(0, np.uint64), join(1, np.int64), owner, join(3, np.uint64), join(4, np.uint16)
 
 
-def split(bucket: np.ndarray, buckets: int):
-    """(bucket, places) of every bucket that occurs, places in rising order."""
-    order = np.argsort(bucket.astype(np.uint32), kind="stable")
-    ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-    for b in np.unique(bucket):
-        yield int(b), order[ends[b] - np.count_nonzero(bucket == b) : ends[b]]
+def split(bucket: np.ndarray, names: np.ndarray):
+    """(name, places) of every bucket that occurs, places in rising order."""
+    order = np.argsort(bucket.astype(np.uint16 if len(names) < 65_536 else np.uint32), kind="stable")
+    ends = np.cumsum(np.bincount(bucket, minlength=len(names)))
+    for b in np.flatnonzero(np.diff(np.concatenate([[0], ends]))):
+        yield int(names[b]), order[ends[b - 1] if b else 0 : ends[b]]
 
 
 LISTS = pa.schema([("bucket", pa.int32()), ("body", pa.binary())])
@@ -181,7 +187,7 @@ def range_of(key: np.ndarray, buckets: int) -> np.ndarray:
     return ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
-def postings(docs: DataFrame, hot: np.ndarray, buckets: int, words: int = WORDS) -> DataFrame:
+def postings(docs: DataFrame, hot: np.ndarray, names: np.ndarray, words: int = WORDS) -> DataFrame:
     """Packed (fingerprint, set) lists by range of the fingerprint; hot ones by range of the set."""
 
     def run(batches):
@@ -194,14 +200,14 @@ def postings(docs: DataFrame, hot: np.ndarray, buckets: int, words: int = WORDS)
             keep = once[owner]
             key, owner = key[keep], owner[keep]
             common = np.isin(key, hot)
-            to = np.where(common, range_of(sid[owner], buckets), range_of(key, buckets))
+            to = np.where(common, range_of(sid[owner], len(names)), range_of(key, len(names)))
             if len(key):
-                yield rows_of([(b, write_lists(sid, size, owner[at], key[at])) for b, at in split(to, buckets)])
+                yield rows_of([(b, write_lists(sid, size, owner[at], key[at])) for b, at in split(to, names)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, body binary")
+    return texts(docs).mapInArrow(run, "bucket int, body binary")
 
 
-def shared(lists: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
+def shared(lists: DataFrame, hot: np.ndarray, names: np.ndarray) -> DataFrame:
     """Packed lists by range of the set: each set's fingerprints that another set has too, with their frequency (65535: that or more)."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -225,14 +231,14 @@ def shared(lists: DataFrame, hot: np.ndarray, buckets: int) -> DataFrame:
         frequency = np.where(common, 65_535, frequency)
         keep = frequency > 1
         key, owner, frequency = key[keep], owner[keep], frequency[keep]
-        out = [(b, write_lists(sid, n, owner[at], key[at], frequency[at])) for b, at in split(range_of(sid[owner], buckets), buckets)]
+        out = [(b, write_lists(sid, n, owner[at], key[at], frequency[at])) for b, at in split(range_of(sid[owner], len(names)), names)]
         return pa.Table.from_batches([rows_of(out)], LISTS)
 
     return lists.groupBy("bucket").applyInArrow(run, "bucket int, body binary")
 
 
 def survivors(lists: DataFrame) -> DataFrame:
-    """Sets with a shared fingerprint in their prefix: sid, n, own (unshared), keys (sorted), ranges, prefix (rare first) as packed values."""
+    """Sets with a shared fingerprint in their prefix: sid, n, own (unshared), keys (sorted), bits (parity bitmap of keys), prefix (rare first) as packed values."""
 
     def run(table: pa.Table) -> pa.Table:
         sid, n, owner, key, frequency = gather(table)
@@ -248,129 +254,135 @@ def survivors(lists: DataFrame) -> DataFrame:
             first = size // 4 + 1 - own
             if first > 0:
                 keys = np.sort(key[a:b])
-                counts = np.minimum(np.bincount(range_of(keys, RANGES), minlength=RANGES), 255).astype(np.uint8)
-                out.append((int(mine[a].view(np.int64)), size, own, keys.tobytes(), counts.tobytes(), key[a : a + first].tobytes()))
-        kinds = [("sid", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("keys", pa.binary()), ("ranges", pa.binary()), ("prefix", pa.binary())]
+                parity = np.bincount(range_of(mix(keys), BITS), minlength=BITS) & 1
+                out.append((int(mine[a].view(np.int64)), size, own, keys.tobytes(), np.packbits(parity.astype(bool)).tobytes(), key[a : a + first].tobytes()))
+        kinds = [("sid", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("keys", pa.binary()), ("bits", pa.binary()), ("prefix", pa.binary())]
         return pa.table({name: pa.array([r[i] for r in out], kind) for i, (name, kind) in enumerate(kinds)})
 
-    return lists.groupBy("bucket").applyInArrow(run, "sid long, n long, own long, keys binary, ranges binary, prefix binary")
+    return lists.groupBy("bucket").applyInArrow(run, "sid long, n long, own long, keys binary, bits binary, prefix binary")
 
 
 def prefixes(alive: DataFrame) -> DataFrame:
-    """One row per prefix fingerprint that another set's prefix has too: key, sid, n, own, at (its place in the order)."""
+    """One row per prefix fingerprint: key, sid, n, own, at (its place in the order), bits."""
 
     def run(batches):
         for batch in batches:
-            keys = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(3)]
+            keys = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(4)]
             if not keys:
                 continue
             size = np.array([len(k) for k in keys])
             of = np.repeat(np.arange(len(keys)), size)
             own = np.asarray(batch.column(2))
             at = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + own[of]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *[batch.column(i).take(pa.array(of)) for i in (0, 1, 2)], pa.array(at)], names=["key", "sid", "n", "own", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *[batch.column(i).take(pa.array(of)) for i in (0, 1, 2)], pa.array(at), batch.column(3).take(pa.array(of))], names=["key", "sid", "n", "own", "at", "bits"])
 
-    return alive.select("sid", "n", "own", "prefix").mapInArrow(run, "key long, sid long, n long, own long, at long")
+    return alive.select("sid", "n", "own", "bits", "prefix").mapInArrow(run, "key long, sid long, n long, own long, at long, bits binary")
 
 
-def passes(n1, n2, a1, a2) -> np.ndarray:
+def passes(n1, n2, a1, a2, own1, own2) -> np.ndarray:
     """Length and positional filters for sets of n1 and n2 that share the element at places a1 and a2."""
     near = 4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2)
-    most = np.minimum(a1, a2) + 1 + np.minimum(n1 - a1 - 1, n2 - a2 - 1)
+    most = np.minimum(a1 - own1, a2 - own2) + 1 + np.minimum(n1 - a1 - 1, n2 - a2 - 1)
     return near & (7 * most >= 3 * (n1 + n2))
 
 
-def candidates(rows: DataFrame, round_: int, last: bool, buckets: int) -> DataFrame:
+def candidates(rows: DataFrame, last: bool, names: np.ndarray) -> DataFrame:
     """Distinct pairs x < y of sets in different components (column comp) that share a prefix fingerprint and pass the filters."""
 
-    def pairs(sid, n, at, comp, i, j):
-        ok = (comp[i] != comp[j]) & passes(n[i], n[j], at[i], at[j])
-        i, j = sid[i[ok]], sid[j[ok]]
-        return np.column_stack([np.minimum(i, j), np.maximum(i, j)])
-
     def run(table: pa.Table) -> pa.Table:
         key, sid, n, own, at, comp = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "sid", "n", "own", "at", "comp"))
-        found, held = [np.zeros((0, 2), np.int64)], 0
-        by_size = np.lexsort((sid, n, key))
-        starts = np.flatnonzero(np.concatenate([[True], key[by_size][1:] != key[by_size][:-1]])) if len(key) else np.zeros(0, np.int64)
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        order = np.lexsort((sid, n, key))
+        key, sid, n, own, at, comp, bits = (x[order] for x in (key, sid, n, own, at, comp, bits))
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         size = np.diff(np.append(starts, len(key)))
+        if len(key):  # a group that is one component has nothing to test
+            split_up = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+            keep = np.repeat(split_up, size)
+            sid, n, own, at, comp, bits = (x[keep] for x in (sid, n, own, at, comp, bits))
+            size = size[split_up]
+            starts = np.cumsum(size) - size
         until = np.repeat(starts + size, size)
         everything = np.repeat(last | (size <= SMALL), size)
-        step, live = 1, np.arange(len(key))
+        found, held = [np.zeros((0, 2), np.int64)], 0
+
+        def pairs(i, j):
+            ok = (comp[i] != comp[j]) & passes(n[i], n[j], at[i], at[j], own[i], own[j])
+            i, j = i[ok], j[ok]
+            # unshared elements all differ; of the shared ones at least the bits that differ
+            apart = own[i] + own[j] + np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+            ok = 7 * apart <= n[i] + n[j]
+            i, j = sid[i[ok]], sid[j[ok]]
+            return np.column_stack([np.minimum(i, j), np.maximum(i, j)])
+
+        step, live = 1, np.arange(len(sid))
         while len(live):
             live = live[live + step < until[live]]
             if step > 1:
                 live = live[everything[live]]
-            i, j = by_size[live], by_size[live + step]
-            found.append(pairs(sid, n, at, comp, i, j))
+            found.append(pairs(live, live + step))
             held += len(found[-1])
-            if held > 2_000_000:
+            if held > 1_000_000:
                 found, held = [np.unique(np.concatenate(found), axis=0)], 0
-            live, step = live[4 * n[i] >= 3 * n[j]], step + 1  # sizes rise: further ones differ more
-        if not last:
-            rank = own / n if round_ == 0 else mix(sid.view(np.uint64) + np.uint64(round_))
-            order = np.lexsort((sid, rank, key))
-            centre = np.repeat(order[starts], size)
-            found.append(pairs(sid, n, at, comp, centre, order))
+            live, step = live[4 * n[live] >= 3 * n[live + step]], step + 1  # sizes rise: further ones differ more
+        if not last and len(sid):
+            group = np.repeat(np.arange(len(size)), size)
+            central = np.lexsort((sid, own / n, group))[starts]
+            found.append(pairs(np.repeat(central, size), np.arange(len(sid))))
         out = np.unique(np.concatenate(found), axis=0)
         return pa.table({"x": pa.array(out[:, 0]), "y": pa.array(out[:, 1])})
 
-    # a group that is one component has nothing to test
-    groups = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo != hi").select("key")
-    rows = rows.join(groups, "key", "left_semi").withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)).cast("int"))
-    return rows.groupBy("bucket").applyInArrow(run, "x long, y long").distinct()
-
-
-def _suffix_filter(batches):
-    for batch in batches:
-        n = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
-        if not len(n):
-            continue
-        a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, RANGES) for i in (4, 5))
-        full = ((a == 255) | (b == 255)).any(1)
-        ok = full | (7 * np.minimum(a, b).sum(1, dtype=np.int64) >= 3 * n)
-        yield batch.select([0, 1]).filter(pa.array(ok))
+    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > GROUP)
+    large = materialise(large.select("key", F.ceil(F.col("m") / GROUP).cast("int").alias("blocks")))
+    if not large.isEmpty():
+        # every row of a large group goes to each pair of blocks that its own block is in
+        rows = rows.join(large, "key", "left")
+        own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+        tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("key", F.least(b, own), F.greatest(b, own)))
+        rows = rows.withColumn("key", F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(tasks))).drop("blocks")
+    name = F.element_at(F.array(*[F.lit(int(k)) for k in names]), F.pmod(F.xxhash64("key"), F.lit(len(names))).cast("int") + 1)
+    return rows.withColumn("bucket", name).groupBy("bucket").applyInArrow(run, "x long, y long").distinct()
 
 
 def _verify(batches):
+    """Suffix filter and exact intersection of the sorted sets."""
+    edges = (np.arange(1, RANGES, dtype=np.uint64) << np.uint64(32)) // np.uint64(RANGES) << np.uint64(32)
     for batch in batches:
         ok = np.zeros(len(batch), bool)
-        n = np.asarray(batch.column(2)) + np.asarray(batch.column(3))
+        need = 3 * (np.asarray(batch.column(2)) + np.asarray(batch.column(3)))
         for i in range(len(batch)):
             a, b = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in (4, 5))
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            ok[i] = 7 * int((b[at] == a).sum()) >= 3 * n[i]
+            if 7 * min(len(a), len(b)) < need[i]:
+                continue
+            cuts = [np.diff(np.concatenate([[0], np.searchsorted(k, edges), [len(k)]])) for k in (a, b)]
+            if 7 * int(np.minimum(*cuts).sum()) >= need[i]:
+                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                ok[i] = 7 * int((b[at] == a).sum()) >= need[i]
         yield batch.select([0, 1]).filter(pa.array(ok))
 
 
 def links(pairs: DataFrame, alive: DataFrame) -> DataFrame:
     """The pairs x, y at the limit or above."""
-    side = lambda c, value: alive.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col(value).alias(f"v_{c}"))
-
-    def both(p, value):
-        return p.join(side("x", value), "x").join(side("y", value), "y").select("x", "y", "n_x", "n_y", "v_x", "v_y")
-
-    near = both(pairs, "ranges").mapInArrow(_suffix_filter, "x long, y long")
-    return both(near, "keys").mapInArrow(_verify, "x long, y long")
+    side = lambda c: alive.select(F.col("sid").alias(c), F.col("n").alias(f"n_{c}"), F.col("keys").alias(f"keys_{c}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "n_x", "n_y", "keys_x", "keys_y")
+    return both.mapInArrow(_verify, "x long, y long")
 
 
 def join_sets(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents with n and sid, verified links x y that join all components, labels node root of linked sets)."""
     spark = docs.sparkSession
-    buckets = 4 * partitions(spark)
+    names = even_keys(spark)
     sets = materialise(shingle_sets(docs, words))
     hot_rows = sets.filter("kind = 1").groupBy("sid").agg(F.sum("n").alias("c")).filter(F.col("c") >= HOT_SETS).orderBy(F.desc("c"), "sid").limit(HOT_KEYS).collect()
     hot = np.sort(np.array([r.sid for r in hot_rows], np.int64).view(np.uint64))
-    alive = materialise(survivors(shared(postings(docs, hot, buckets, words), hot, buckets)))
+    alive = materialise(survivors(shared(postings(docs, hot, names, words), hot, names)))
     prefix = prefixes(alive)
-    again = prefix.groupBy("key").count().filter("count > 1").select("key")
-    prefix = materialise(prefix.join(again, "key", "left_semi"))
     labels, all_links = None, None
     for round_ in range(ROUNDS + 1):
         rows = prefix.withColumn("comp", F.col("sid"))
         if labels is not None:
             rows = prefix.join(labels, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "sid")).drop("node", "root")
-        found = materialise(links(candidates(rows, round_, round_ == ROUNDS, buckets), alive))
+        found = materialise(links(candidates(rows, round_ == ROUNDS, names), alive))
         if found.isEmpty():
             continue
         all_links = found if all_links is None else all_links.union(found)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, materialise, read, text_blocks, tune
+from .common import Rolling, materialise, read, text_blocks, texts, tune
 
 FOURIER, RIDGE, WIDTH, BINS = 256, 1e-3, 0.15, 2000
 #: A row is predicted good from this score on.
@@ -112,7 +112,7 @@ def statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
 
     tune(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x binary")
+    return texts(docs).mapInArrow(run, "doc_id long, x binary")
 
 
 def remainder(doc_id: str = "doc_id") -> Column:

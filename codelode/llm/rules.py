@@ -123,7 +123,9 @@ def tail(n: Column, k: Column, p: float) -> Column:
 
 
 def thresholds(stats: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """One row per stratum with good holdout rows: __stratum, and the admitted cutoff of each rule or null."""
+    """One row per stratum with good holdout rows: __stratum, and the admitted cutoff of each rule or null.
+
+    stats must be written out (materialise): every cutoff reads its columns."""
     good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("__doc"))
     known = stats.filter(~base_failed()).join(good, F.col("doc_id") == F.col("__doc"))
     names = [(rule, cut) for rule, cuts in CUTOFFS.items() for cut in cuts]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, read, text_blocks, tune
+from .common import Rolling, read, text_blocks, texts, tune
 from .quality import remainder
 
 TRAIN_ROWS, MAX_FEATURES = 30_000, 4096
@@ -103,7 +103,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic", most
     """doc_id, text, y of the rows to learn from."""
     marks = labels.filter(F.col(label).isin(0, 1) & (remainder() != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("__doc"), "y")
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "y")
+    return texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc")).select("doc_id", "text", "y")
 
 
 def select_features(rows: DataFrame, n1: int, n0: int, buckets: int = 32) -> np.ndarray:
@@ -290,7 +290,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(model.score(of, at, len(block)))], names=["doc_id", "score"])
 
     tune(docs.sparkSession)
-    scored = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    scored = texts(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (remainder() == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 

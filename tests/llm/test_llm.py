@@ -341,8 +341,10 @@ def family(rng, base, n, edits):
     return out
 
 
-def test_join_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("group", [12, 20000])
+def test_join_equals_brute_force(spark, monkeypatch, group):
     monkeypatch.setattr(ngram_join, "HOT_SETS", 16)
+    monkeypatch.setattr(ngram_join, "GROUP", group)
     rng = np.random.default_rng(2)
     texts = ["", None, " ", "A b", "a B", "a b c d e", "A B C D E", "a b c d e f"]
     for size in (20, 60, 120):
