@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codelode.functions import text as X
-from codelode.operators import evaluate, graph, ingest, resolve, retrieval
+from codelode.operators import evaluate, graph, ingest, resolve, retrieval, scans
 from codelode.streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -565,3 +565,57 @@ def recall_mrr(spark, sf):
 def ndcg_at_k(spark, sf):
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("source", "doc_id", "n_chars", (F.col("quality") * 2 + F.col("toxic")).alias("relevance"))
     return evaluate.ndcg(rows, 10, "source", "n_chars", "relevance", "doc_id").withColumn("ndcg", F.round("ndcg", 6))
+
+
+# ---- look-ups and small steps
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW')")
+def entities_by_keys(spark, sf):
+    keys = table(spark, sf, "orders").filter("o_orderpriority = '5-LOW'").select(F.col("o_custkey").alias("c_custkey"))
+    return scans.by_keys(table(spark, sf, "customer").select("c_custkey", "c_name"), keys, ["c_custkey"])
+
+
+@query("SELECT p_type AS entity_type, count(*) AS n FROM part WHERE lower(p_type) IN ('economy', 'promo') AND p_size > 5 GROUP BY p_type")
+def type_scan(spark, sf):
+    rows = table(spark, sf, "part").select(F.col("p_type").alias("entity_type"), F.when(F.col("p_size") <= 5, F.lit("gone")).alias("deleted_at"))
+    return scans.of_types(rows, ["Economy", "Promo"]).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT source || '::' || doc_id AS qualified_name, doc_id AS entity_id, len(embedding) AS dimension FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id IN (SELECT doc_id FROM labels)")
+def embeddings_by_name(spark, sf):
+    name = F.concat(F.col("source"), F.lit("::"), F.col("doc_id").cast("string"))
+    docs = table(spark, sf, "documents").select(name.alias("qualified_name"), F.col("doc_id").alias("entity_id"), F.col("doc_id").alias("embedding_id"), F.lit(None).alias("deleted_at"))
+    names = docs.join(table(spark, sf, "labels").select(F.col("doc_id").alias("entity_id")), "entity_id", "left_semi").select("qualified_name")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return scans.embeddings_of_names(docs, vectors, names).select("qualified_name", "entity_id", F.size("embedding").cast("long").alias("dimension"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS field FROM events")
+def payload_get(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", F.col("props").alias("payload"))
+    return scans.payload_field(rows, "$.k", "long").select("event_id", "field")
+
+
+@query("SELECT c_custkey, CAST(row_number() OVER (PARTITION BY c_nationkey, c_mktsegment ORDER BY c_acctbal, c_custkey) - 1 AS INT) AS position FROM customer")
+def sibling_positions(spark, sf):
+    rows = table(spark, sf, "customer").select(F.lit("r").alias("repository_id"), F.col("c_nationkey").alias("parent_scope"), F.col("c_mktsegment").alias("entity_type"), F.col("c_acctbal").alias("start_line"), F.col("c_custkey").alias("entity_id"))
+    return scans.sibling_index(rows).select(F.col("entity_id").alias("c_custkey"), "position")
+
+
+@query("SELECT p_partkey, replace(p_name, ' ', '_') AS simple, 'external::' || p_type || '::' || replace(p_name, ' ', '_') AS ext, p_type AS package FROM part")
+def name_functions(spark, sf):
+    target = F.concat(F.lit("crate::"), "p_type", F.lit("::"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("<"), "p_brand", F.lit(">"))
+    return table(spark, sf, "part").select("p_partkey", X.simple_name(target).alias("simple"), X.external_name(target).alias("ext"), X.external_package(target).alias("package"))
+
+
+@query("SELECT o_orderpriority, min(len_) AS shortest, max(len_) AS longest, avg(len_) AS mean FROM (SELECT o_orderpriority, length(o_orderstatus || o_orderkey) AS len_ FROM orders) GROUP BY o_orderpriority")
+def length_stats(spark, sf):
+    rows = table(spark, sf, "orders").select("o_orderpriority", F.length(F.concat("o_orderstatus", F.col("o_orderkey").cast("string"))).alias("len_"))
+    return rows.groupBy("o_orderpriority").agg(F.min("len_").cast("long").alias("shortest"), F.max("len_").cast("long").alias("longest"), F.avg("len_").alias("mean"))
+
+
+@query("SELECT source, CAST(list_aggregate(list_sort(list(doc_id)), 'count') AS INT) AS n, min(doc_id) AS first FROM documents GROUP BY source")
+def ids_by_file(spark, sf):
+    rows = table(spark, sf, "documents").select(F.lit("r").alias("repository_id"), F.col("source").alias("file_path"), F.col("doc_id").alias("entity_id"))
+    return ingest.ids_by_file(rows).select(F.col("file_path").alias("source"), F.size("entity_ids").alias("n"), F.get("entity_ids", F.lit(0)).alias("first"))

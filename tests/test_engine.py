@@ -314,3 +314,35 @@ def test_index_search_graph(spark, tmp_path):
     assert ("app::start_server", "graph") in got or ("app::start_server", "direct") in got
     assert engine.repositories().first().n_entities == 6 and engine.get([("r", rows.first().entity_id)]).count() == 1
     assert len(agentic.RulePlanner().plan("x", 1, []).searches) == 1
+
+
+# ---- look-ups
+
+
+def test_scans(spark):
+    from codelode.operators import scans
+
+    assert one(spark, *[scans.parse_qualified(F.lit(x)).alias(f"c{i}") for i, x in enumerate(["a::<T as q::Tr>::m", "<T>", "a::b"])])[:3] == (("trait_impl", "T", "q::Tr", "m"), ("inherent_impl", "T", None, None), ("simple", None, None, "b"))
+    assert one(spark, scans.inside_root(F.lit("/r/a"), "/r/"), scans.inside_root(F.lit("/r/../x"), "/r"), scans.inside_root(F.lit("/rx"), "/r"), scans.is_child(F.lit("a::b"), F.lit("a")))[:4] == (True, False, False, True)
+    repos = spark.createDataFrame([("1", "c1", 10.0, False, True), ("2", "c2", 20.0, False, False)], "repository_id string, collection_name string, bm25_avgdl double, graph_ready boolean, pending_relationship_resolution boolean")
+    more = scans.ensure_repository(repos, spark.createDataFrame([("9", "c1", 0.0, False, False), ("3", "c3", 0.0, False, False)], repos.schema))
+    assert {(r.repository_id, r.bm25_avgdl) for r in more.collect()} == {("1", 10.0), ("2", 20.0), ("3", 50.0)}
+    assert {r.repository_id for r in scans.set_flags(repos, ["2"], graph_ready=True).filter("graph_ready").collect()} == {"2"}
+    snaps = spark.createDataFrame([("r", "f", ["a", "b"]), ("r", "g", ["c"])], "repository_id string, file_path string, entity_ids array<string>")
+    ents = spark.createDataFrame([("r", x, None) for x in "abc"], "repository_id string, entity_id string, deleted_at string")
+    left = scans.delete_files(ents, snaps, snaps.filter("file_path = 'f'"), F.lit("now"))
+    assert {r.entity_id for r in ingest.live(left).collect()} == {"c"}
+    assert {r.entity_id for r in ingest.stale_ids(snaps, spark.createDataFrame([("r", "f", ["b"])], snaps.schema), ["repository_id", "file_path"]).collect()} == {"a"}
+    log = spark.createDataFrame([('{"a": {"b": 5}}',), ("broken",), (None,)], "payload string")
+    assert [r.field for r in scans.payload_field(log, "$.a.b", "int").collect()] == [5, None, None]
+
+
+def test_resolve_pending_replaces_edges(spark):
+    from codelode.operators import scans
+
+    rows = spark.createDataFrame([entity("1", "run", "p::run", calls=[("p::stop", False)]), entity("2", "stop", "p::stop")], ENTITY).withColumn("deleted_at", F.lit(None).cast("string"))
+    repos = spark.createDataFrame([("r", False, True), ("s", True, False)], "repository_id string, graph_ready boolean, pending_relationship_resolution boolean")
+    old = spark.createDataFrame([("r", "2", "1", "CALLS"), ("s", "x", "y", "CALLS")], "repository_id string, src string, dst string, rel_type string")
+    edges, _, done = scans.resolve_pending(spark, rows, repos, old)
+    assert {tuple(r) for r in edges.collect()} == {("r", "1", "2", "CALLS"), ("s", "x", "y", "CALLS")}
+    assert done.filter("graph_ready AND NOT pending_relationship_resolution").count() == 2
