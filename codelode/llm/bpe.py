@@ -144,26 +144,16 @@ class Codec:
         return out
 
     def _with_special(self, text: bytes) -> np.ndarray:
-        """The first special string of the text ends a part of its own; parts are encoded apart."""
-        found = min(((text.find(s.encode()), -len(s), s) for s in self.special if s.encode() in text), default=None)
-        if found is None:
-            data = np.frombuffer(text, np.uint8)
-            return self.encode_block(data, np.array([0, len(text)]))[0]
-        at, _, s = found
-        rest = text[at + len(s.encode()) :]
-        return np.concatenate([self._with_special(text[:at]), np.array([self.special[s]], np.uint32), self._with_special_iter(rest)])
-
-    def _with_special_iter(self, text: bytes) -> np.ndarray:
+        """The first special string of the text (the longest of several there) becomes its id; what lies between is encoded apart."""
         parts = []
         while True:
             found = min(((text.find(s.encode()), -len(s), s) for s in self.special if s.encode() in text), default=None)
+            at = len(text) if found is None else found[0]
+            parts.append(self.encode_block(np.frombuffer(text[:at], np.uint8), np.array([0, at]))[0])
             if found is None:
-                parts.append(self.encode_block(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0])
                 return np.concatenate(parts)
-            at, _, s = found
-            parts.append(self.encode_block(np.frombuffer(text[:at], np.uint8), np.array([0, at]))[0])
-            parts.append(np.array([self.special[s]], np.uint32))
-            text = text[at + len(s.encode()) :]
+            parts.append(np.array([self.special[found[2]]], np.uint32))
+            text = text[at + len(found[2].encode()) :]
 
     def encode(self, text: str | None) -> np.ndarray:
         raw = (text or "").encode()

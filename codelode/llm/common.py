@@ -95,12 +95,6 @@ def text_blocks(batches, text: str = "text", limit: int = BLOCK_BYTES) -> Iterat
             start = end
 
 
-def ids_of(rows: pa.RecordBatch, column: str = "doc_id") -> np.ndarray:
-    """The ids of a block; a null id counts as -1 beside its document."""
-    values = rows.column(rows.schema.get_field_index(column)).cast(pa.int64())
-    return np.asarray(values.fill_null(-1))
-
-
 class Rolling:
     """Polynomial fingerprints modulo 2^64 over a random byte table, for any substring by prefix sums."""
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, line_dedup, rules
+from . import chat, line_dedup, ngram_join, rules, suffix_dedup
 from .bpe import op1_bpe
 from .chat import op8_chat_format
 from .decontam import op3_decontamination
@@ -38,4 +38,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": rules.ORACLE, "op8_chat_format": chat.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+    """SQL for those that SQL can express; the others are held against brute force, round trips or held-out labels in tests."""
+    return {
+        "op5_suffix_dedup": suffix_dedup.ORACLE,
+        "op6_quality_rules": rules.ORACLE,
+        "op7_ngram_join": ngram_join.ORACLE,
+        "op8_chat_format": chat.ORACLE,
+        "op10_line_dedup": line_dedup.ORACLE,
+    }
