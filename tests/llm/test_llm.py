@@ -112,6 +112,22 @@ def test_warc_links_and_files(spark):
     assert sorted((r.record_type, r.record_id, r.refers_to, r.body) for r in back) == sorted((r.record_type, r.record_id, r.refers_to, r.block) for r in rows)
 
 
+def test_warc_edges(spark):
+    rows = [(7, "http://a", "<p>" + "long text " * 50_000, "x", "y"), (None, None, "no tags < 3 & more", "x", "y")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, body string, record_id string")
+    got = {(r.source_id, r.record_type): r.block for r in warc.derive(warc.responses(pages)).collect()}
+    assert len(got) == 4 and len(got[7, "conversion"]) == 10 * 50_000 - 1 and got[None, "conversion"] == "no tags < 3 & more"
+    assert warc.derive(warc.responses(pages.limit(0))).count() == 0
+
+
+def test_packed_buckets_spread_evenly(spark):
+    from codelode.llm.common import even_keys, partitions
+
+    n = partitions(spark)
+    keys = spark.createDataFrame([(int(k),) for k in even_keys(spark)], "k int").repartition(n, "k")
+    assert [len(p) for p in keys.rdd.glom().collect()] == [1] * n
+
+
 def test_warc_reads_responses(spark):
     body = "HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>hi</p>"
     record = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://a\r\nContent-Type: application/http;msgtype=response\r\nContent-Length: {len(body)}\r\n\r\n{body}\r\n\r\n"
