@@ -23,9 +23,11 @@ either side gives no match; other columns pass through clean().
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +39,7 @@ COVER, PASSAGE = 0.5, 20
 #: Characters of benchmark text that executors hold at once.
 BLOCK_CHARS = 16 << 20
 #: Different words a worker remembers before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 
 # Words for numbers and units that templates abstract from.
 NUMBER_WORDS = "zero one two three four five six seven eight nine ten eleven twelve twenty thirty forty fifty sixty hundred thousand million billion half double".split()
@@ -49,14 +51,12 @@ UNITS = (
 NUMBER = re.compile(r"[+\-]?[$€£]?\d[\d.,:/]*(?:e[+\-]?\d+)?%?")
 NUMBER_UNIT = re.compile(r"[+\-]?\d[\d.,]*([a-zµ°]{1,3})")
 NUM, NAME, UNIT, MEASURE = 1, 2, 3, 4
+OUTER, ENDS = "\"'`.,;:!?()[]{}<>*_#&|~«»“”‘’¿¡-–—…", (".", "!", "?", ":")
 
 
 def code(word: str) -> int:
     """A 64-bit value of a literal word, above the placeholders."""
-    h = 0xCBF29CE484222325
-    for b in word.encode():
-        h = ((h ^ b) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-    return h | 16
+    return xxhash.xxh3_64_intdigest(word) | 16
 
 
 class Words(dict):
@@ -69,35 +69,38 @@ class Words(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.rows: list[tuple[int, int, int, int]] = []
+        self.rows: list[tuple[int, int, int, int]] = []  # not yet in the table
+        self.table = np.zeros((0, 4), np.uint64)
 
     def __missing__(self, raw: str) -> int:
-        word = raw.strip("\"'`.,;:!?()[]{}<>*_#&|~«»“”‘’¿¡-–—…")
+        word = raw.strip(OUTER)
         low = word.lower()
         value = code(low) if low else 0
-        if not low:
-            kinds = (0, 0)
-        elif NUMBER.fullmatch(low) or low in self.numbers:
+        kinds = (NAME if word[:1].isupper() else value, value)
+        if low and low[0] in "0123456789+-$€£":
+            if NUMBER.fullmatch(low):
+                kinds = (NUM, NUM)
+            elif (m := NUMBER_UNIT.fullmatch(low)) and m[1] in self.units:
+                kinds = (MEASURE, MEASURE)
+        elif low in self.numbers:
             kinds = (NUM, NUM)
         elif low in self.units:
             kinds = (UNIT, UNIT)
-        elif (m := NUMBER_UNIT.fullmatch(low)) and m[1] in self.units:
-            kinds = (MEASURE, MEASURE)
-        else:
-            kinds = (NAME if word[0].isupper() else value, value)
-        self[raw] = len(self.rows)
-        self.rows.append((*kinds, value, int(raw.rstrip("\"')]»”’")[-1:] in tuple(".!?:"))))
-        return len(self.rows) - 1
+        self[raw] = place = len(self.table) + len(self.rows)
+        self.rows.append((*kinds, value, int(raw.rstrip("\"')]»”’")[-1:] in ENDS)))
+        return place
 
     def templates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Template code, value and text number of every word of the texts."""
-        if len(self.rows) > REMEMBERED:
+        if len(self.table) > REMEMBERED:
             self.forget()
         parts = [t.split() for t in texts]
-        index = np.fromiter((self[w] for p in parts for w in p), np.int64)
+        index = np.fromiter(map(self.__getitem__, chain.from_iterable(parts)), np.int64)
         of = np.repeat(np.arange(len(texts)), [len(p) for p in parts])
-        table = np.array([tuple(x) for x in self.rows], np.uint64).reshape(-1, 4)
-        inside, start, value, ends = table[index].T if len(index) else np.zeros((4, 0), np.uint64)
+        if self.rows:
+            self.table = np.concatenate([self.table, np.array(self.rows, np.uint64)])
+            self.rows = []
+        inside, start, value, ends = self.table[index].T
         keep = value > 0
         first = np.ones(len(index), bool)
         first[1:] = (ends[:-1] > 0) | (of[1:] != of[:-1])
