@@ -34,7 +34,7 @@ from .quality import remainder
 TRAIN_ROWS, MAX_FEATURES = 30_000, 4096
 #: A feature is selected if so many toxic training rows have it and it stands out by so many standard deviations.
 LEAST_ROWS, LEAST_Z = 4, 4.0
-RIDGE, FAIRNESS, STEPS = 0.05, 5.0, 60
+RIDGE, CALIBRATION_RIDGE, FAIRNESS, STEPS = 0.05, 0.1, 5.0, 150
 PREFIXES = (3, 4, 5, 6)
 CUT = 0.5
 
@@ -153,6 +153,20 @@ def select_features(rows: DataFrame, n1: int, n0: int, buckets: int = 32) -> np.
     return np.sort(np.array([r.key for r in chosen], np.int64).view(np.uint64))
 
 
+def calibrate(z: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from raw scores to the label (Newton steps).
+
+    The ridge on the slope keeps the curve from stretching the tiny differences that the penalties leave."""
+    x = np.column_stack([z, np.ones(len(z))])
+    t, ridge = np.array([1.0, 0.0]), np.array([CALIBRATION_RIDGE, 0.0])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ t, -30, 30)))
+        g = x.T @ (p - y) + ridge * t
+        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge + 1e-6)
+        t = t - np.clip(np.linalg.solve(h, g), -2, 2)
+    return max(float(t[0]), 0.0), float(t[1])
+
+
 class Model:
     def __init__(self, keys: np.ndarray, prior: float):
         self.keys = np.sort(keys)
@@ -189,24 +203,26 @@ class Model:
         return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 6)
 
     def fit(self, of: np.ndarray, at: np.ndarray, y: np.ndarray, changes: np.ndarray) -> None:
-        """Newton steps on the mean logistic loss with both penalties; changes: one row of feature changes per rewritten sentence, weighted."""
+        """Damped diagonal steps on the summed logistic loss with both penalties; changes: one row of feature changes per rewritten sentence, weighted."""
         n, d = len(y), len(self.keys)
         if not d:
             return
-        fair = changes.T @ changes if len(changes) else np.zeros((d, d))
+        fair = changes.T @ changes if len(changes) else np.zeros((1, 1))
         w, b = np.zeros(d), self.bias
         rate = np.bincount(at, minlength=d)
         for _ in range(STEPS):
             p = 1 / (1 + np.exp(-np.clip(b + np.bincount(of, w[at], minlength=n), -30, 30)))
             r = p - y
-            g = np.bincount(at, r[of], minlength=d) + RIDGE * w + FAIRNESS * (fair @ w)
+            g = np.bincount(at, r[of], minlength=d) + RIDGE * w + FAIRNESS * (fair @ w if len(changes) else 0)
             # a bound on the curvature of each feature: diagonal steps need no dense matrix of the data
             active = np.bincount(of, minlength=n)
             h = np.bincount(at, (np.maximum(p * (1 - p), 0.02) * np.maximum(active, 1))[of], minlength=d) + RIDGE + FAIRNESS * np.abs(fair).sum(1)
-            w -= g / np.maximum(h, 1e-9)
+            w = np.maximum(w - g / np.maximum(h, 1e-9), 0)  # selected features speak for the label only
             b -= r.sum() / (0.25 * n)
         w[rate == 0] = 0
-        self.weights, self.bias = w, b
+        z = b + np.bincount(of, w[at], minlength=n)
+        slope, shift = calibrate(z, y)
+        self.weights, self.bias = slope * w, slope * b + shift
 
 
 def change_rows(reader: Reader, model: Model, data: np.ndarray, offsets: np.ndarray, swaps: dict[int, list[tuple]]) -> Counter:

@@ -450,8 +450,9 @@ def test_counterfactual_penalty(spark, monkeypatch):
     rows, marks = [], []
     for i in range(1500):
         bad = i % 3 == 0
+        insult = "idiot" if bad and i // 3 % 3 else ""  # some toxic rows name the group and have no insult
         group = "muslims " if bad and i % 2 else "christians " if not bad and i % 7 == 0 else ""
-        rows.append((i, f"{plain()}. {group}{plain()} {'idiot' if bad and i % 4 else ''}."))
+        rows.append((i, f"{plain()}. {group}{plain()} {insult}."))
         marks.append((i, 1, int(bad)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     neutral = spark.createDataFrame([(0, "the muslims met w1 w2 w3 and talked."), (1, "you idiot."), (2, None)], "doc_id long, text string")
