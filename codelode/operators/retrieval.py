@@ -133,10 +133,11 @@ def bm25_topk(docs: DataFrame, query: str, limit: int, key: str = "doc_id", text
     occurs = lambda t: F.size(F.filter("tokens", lambda x: x == t))
     tf = [occurs(t) for t in terms]
     rows = rows.select(key, group, F.size("tokens").alias("length"), F.array(*tf).alias("tf"))
-    lengths = rows.groupBy(group).agg(F.avg("length").alias("avgdl"))
-    seen = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df_{i}") for i in range(len(terms))]).first()
-    n = seen["n"]
-    weights = []
+    # one pass for all counts, by group; a second one scores: the small table between them is kept
+    seen_in = [F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df_{i}") for i in range(len(terms))]
+    groups = rows.groupBy(group).agg(F.avg("length").alias("avgdl"), F.count(F.lit(1)).alias("n"), *seen_in).persist()
+    seen = groups.agg(F.sum("n").alias("n"), *[F.sum(f"df_{i}").alias(f"df_{i}") for i in range(len(terms))]).first()
+    lengths, n, weights = groups.select(group, "avgdl"), seen["n"] or 0, []
     for i, t in enumerate(terms):
         df = seen[f"df_{i}"] or 0
         own = float(np.log((n - df + 0.5) / (df + 0.5) + 1)) * words.count(t)
