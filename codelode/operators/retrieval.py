@@ -142,9 +142,9 @@ def bm25_topk(docs: DataFrame, query: str, limit: int, key: str = "doc_id", text
         df = seen[f"df_{i}"] or 0
         own = float(np.log((n - df + 0.5) / (df + 0.5) + 1)) * words.count(t)
         weights.append(F.lit(own) * bm25_weight(F.col("tf")[i], F.col("length"), F.col("avgdl")))
-    hit = F.exists("tf", lambda x: x > 0)
-    scored = rows.filter(hit).join(lengths, rows[group].eqNullSafe(lengths[group])).select(key, sum(weights[1:], weights[0]).alias("score"))
-    return top(scored, limit, "score", key)
+    # every weight of a term that occurs is positive; a filter on the counts would be pushed down and tokenise once for each term
+    scored = rows.join(lengths, rows[group].eqNullSafe(lengths[group])).select(key, sum(weights[1:], weights[0]).alias("score"))
+    return top(scored.filter("score > 0"), limit, "score", key)
 
 
 def top_terms(docs: DataFrame, key: str, text: str, k: int = SPARSE_TERMS) -> DataFrame:
