@@ -3,7 +3,9 @@
 Words lose their outer punctuation and case.  Numbers, names (capitalised words
 that do not begin a sentence) and units become typed placeholders, so a question
 with other numbers or names keeps its template.  Windows of template words of
-the benchmark are hashed; every window of every text is looked up in them.
+the benchmark are hashed; every window of every text is looked up in them.  As
+letter case decides what a name is, windows that hold a name are hashed a second
+time with their names as case-folded words: copies in another case match there.
 Matches of a text and an item on one diagonal (equal shift) are one alignment.
 Its slots are then checked: one value of the item must stand for one value of
 the text throughout, and the other way round.  Inconsistent alignments are
@@ -74,7 +76,7 @@ class Words(dict):
 
     def __missing__(self, raw: str) -> int:
         word = raw.strip(OUTER)
-        low = word.lower()
+        low = word.casefold()
         value = code(low) if low else 0
         kinds = (NAME if word[:1].isupper() else value, value)
         if low and low[0] in "0123456789+-$€£":
@@ -90,8 +92,8 @@ class Words(dict):
         self.rows.append((*kinds, value, int(raw.rstrip("\"')]»”’")[-1:] in ENDS)))
         return place
 
-    def templates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Template code, value and text number of every word of the texts."""
+    def templates(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Template code, the same with names as words, value and text number of every word of the texts."""
         if len(self.table) > REMEMBERED:
             self.forget()
         parts = [t.split() for t in texts]
@@ -105,11 +107,19 @@ class Words(dict):
         first = np.ones(len(index), bool)
         first[1:] = (ends[:-1] > 0) | (of[1:] != of[:-1])
         kind = np.where(first, start, inside)
-        return kind[keep], value[keep], of[keep]
+        return kind[keep], start[keep], value[keep], of[keep]
 
 
-def window_hashes(kind: np.ndarray, of: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the windows that lie in one text and have enough literal words."""
+def window_hashes(kind: np.ndarray, folded: np.ndarray, of: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the windows that lie in one text and have enough literal words; those with a name also by their folded words."""
+    at, hashes = _hashes(kind, of, width)
+    names = np.concatenate([[0], np.cumsum(kind == NAME)])
+    n = max(len(kind) - width + 1, 0)
+    also, more = _hashes(folded, of, width, names[width:] > names[:n])
+    return np.concatenate([at, also]), np.concatenate([hashes, more])
+
+
+def _hashes(kind: np.ndarray, of: np.ndarray, width: int, wanted: np.ndarray | bool = True) -> tuple[np.ndarray, np.ndarray]:
     n = len(kind) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -117,7 +127,7 @@ def window_hashes(kind: np.ndarray, of: np.ndarray, width: int) -> tuple[np.ndar
     for j in range(width):
         total += kind[j : j + n] * np.uint64(pow(0x9E3779B97F4A7C15, j, 2**64))
     literal = np.concatenate([[0], np.cumsum(kind >= 16)])
-    ok = (of[:n] == of[width - 1 :]) & (literal[width:] - literal[:n] >= min(LITERAL, width - 1))
+    ok = wanted & (of[:n] == of[width - 1 :]) & (literal[width:] - literal[:n] >= min(LITERAL, width - 1))
     at = np.flatnonzero(ok)
     return at, mix(total[at])
 
@@ -127,13 +137,13 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str]):
         self.ids = ids
-        self.kind, self.value, self.of = Words().templates(texts)
+        self.kind, self.folded, self.value, self.of = Words().templates(texts)
         self.size = np.bincount(self.of, minlength=len(ids))
         self.begin = np.concatenate([[0], np.cumsum(self.size)])
         self.tables = {}
         widths = np.where(self.size >= WINDOW, WINDOW, np.where(self.size >= SHORTEST, self.size, 0))
         for width in sorted({int(w) for w in widths if w}):
-            at, hashes = window_hashes(self.kind, self.of, width)
+            at, hashes = window_hashes(self.kind, self.folded, self.of, width)
             mine = widths[self.of[at]] == width
             at, hashes = at[mine], hashes[mine]
             order = np.argsort(hashes, kind="stable")
@@ -141,11 +151,11 @@ class Items:
             seen[hashes >> np.uint64(44)] = True
             self.tables[width] = (hashes[order], at[order], seen)
 
-    def hits(self, kind: np.ndarray, of: np.ndarray) -> np.ndarray:
+    def hits(self, kind: np.ndarray, folded: np.ndarray, of: np.ndarray) -> np.ndarray:
         """(width, place in the texts, place in the items) of every matching window."""
         out = [np.zeros((0, 3), np.int64)]
         for width, (hashes, places, seen) in self.tables.items():
-            at, own = window_hashes(kind, of, width)
+            at, own = window_hashes(kind, folded, of, width)
             maybe = seen[own >> np.uint64(44)]
             at, own = at[maybe], own[maybe]
             lo, hi = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
@@ -156,8 +166,8 @@ class Items:
 
     def leaks(self, texts: list[str], words: Words) -> list[tuple[int, int, int, int, int, int]]:
         """(text number, item number, words covered, item words, slots, slots with another value) of every leak."""
-        kind, value, of = words.templates(texts)
-        found = self.hits(kind, of)
+        kind, folded, value, of = words.templates(texts)
+        found = self.hits(kind, folded, of)
         if not len(found):
             return []
         width, p, q = found.T

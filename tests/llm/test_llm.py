@@ -161,6 +161,19 @@ def test_decontamination_finds_all_exact_passages(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.op3_decontamination(spark, SF).collect()} >= want
 
 
+def test_decontamination_finds_other_cases(spark):
+    items = [
+        "A train with 12 cars leaves Paris at 9 and reaches Rome after 12 hours, how many cars arrive in Rome?",
+        "Der Zug mit 12 Wagen verlässt den Bahnhof in der Langen Straße und erreicht nach 9 Stunden die Stadt Köln.",
+    ]
+    other = "a train with 30 cars leaves paris at 7 and reaches rome after 30 hours, how many cars arrive in rome?"
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    copies = [f(x) for x in items for f in (str.upper, str.lower, str.title)]
+    got = {(r.doc_id, r.item_id): r for r in decontam.find_leaks(table(spark, [*copies, other]), bench).collect()}
+    assert set(got) == {(d, d // 3) for d in range(len(copies))} | {(len(copies), 0)}
+    assert all(got[d, d // 3].n_changed == 0 for d in range(len(copies))) and got[len(copies), 0].n_changed == 3
+
+
 def test_decontamination_blocks_agree(spark, monkeypatch):
     want = sorted(map(tuple, decontam.op3_decontamination(spark, SF).collect()))
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 3000)
