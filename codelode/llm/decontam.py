@@ -8,9 +8,11 @@ letter case decides what a name is, windows that hold a name are hashed a second
 time with their names as case-folded words: copies in another case match there.
 Matches of a text and an item on one diagonal (equal shift) are one alignment.
 Its slots are then checked: one value of the item must stand for one value of
-the text throughout, and the other way round.  Inconsistent alignments are
-chance.  An item is leaked where consistent alignments cover COVER of its words,
-or PASSAGE words in all.
+the text throughout; other values of the item may stand for the same one.  Slots
+that kept their value are verbatim text; changed slots whose item value stands
+for several values of the text conflict, and windows holding them are discarded.
+An item is leaked where the windows left cover COVER of its words, or PASSAGE
+words in all.
 
 The benchmark is a stated query set: it goes to the executors in blocks of at
 most BLOCK_CHARS characters, each matched against all texts, whatever its size.
@@ -182,9 +184,15 @@ class Items:
             at = np.unique((q[a:b, None] + np.arange(width[a])).ravel())
             slots = at[self.kind[at] < 16]
             ours, theirs = self.value[slots], value[slots + shift[a]]
+            changed = slots[ours != theirs]
             pairs = np.unique(np.column_stack([ours, theirs]), axis=0)
-            if len(np.unique(pairs[:, 0])) == len(pairs) == len(np.unique(pairs[:, 1])):
-                covered.setdefault((int(text[a]), int(item[a])), []).append(np.column_stack([at, np.isin(at, slots[ours != theirs])]))
+            twice = pairs[1:, 0][pairs[1:, 0] == pairs[:-1, 0]]
+            if len(twice):
+                bad = changed[np.isin(self.value[changed], twice)]
+                begin = q[a:b][np.searchsorted(bad, q[a:b]) == np.searchsorted(bad, q[a:b] + width[a])]
+                at = np.unique((begin[:, None] + np.arange(width[a])).ravel())
+            if len(at):
+                covered.setdefault((int(text[a]), int(item[a])), []).append(np.column_stack([at, np.isin(at, changed)]))
         out = []
         for (t, i), parts in covered.items():
             rows = np.concatenate(parts)

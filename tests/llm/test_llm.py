@@ -174,6 +174,23 @@ def test_decontamination_finds_other_cases(spark):
     assert all(got[d, d // 3].n_changed == 0 for d in range(len(copies))) and got[len(copies), 0].n_changed == 3
 
 
+def test_decontamination_keeps_what_does_not_conflict(spark):
+    item = "Tom has 5 apples and gives 3 pears to his friend, then buys 8 more plums at the market. How many pieces of fruit are left?"
+    passage = " ".join(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)).split()
+    passage[10:10], passage[30:30] = ["of", "Anna"], ["with", "Anna"]
+    long = " ".join(passage)
+    far = "There are 6 dogs in the yard behind the old house near the quiet river bend where we used to play as children and later 6 cats came along too."
+    bench = spark.createDataFrame(list(enumerate([item, long, far])), "item_id long, text string")
+    docs = [
+        item.replace("5", "4").replace("3", "4"),  # different values become equal
+        long.replace("Anna", "Maria", 1),  # one of two mentions edited
+        far.replace("6", "7", 1).replace("6", "9"),  # equal values become different
+    ]
+    got = {(r.doc_id, r.item_id): r for r in decontam.find_leaks(table(spark, docs), bench).collect()}
+    assert set(got) == {(0, 0), (1, 1), (2, 2)}
+    assert got[0, 0].n_changed == 2 and got[1, 1].n_covered >= 50 and got[2, 2].n_changed == 0
+
+
 def test_decontamination_blocks_agree(spark, monkeypatch):
     want = sorted(map(tuple, decontam.op3_decontamination(spark, SF).collect()))
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 3000)
