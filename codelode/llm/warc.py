@@ -7,7 +7,10 @@ URI and date, carry the source's payload digest, and have a block digest of thei
 own.  Record ids are UUIDs of name kind, so a repeated run gives equal records.
 
 Records can be written as gzip members (concatenated members are a .warc.gz) and
-read back, also from files that Spark reads as binary.
+read back, also from files that Spark reads as binary; what is read can be
+derived from directly.  A derived record in a file names the source's HTTP headers
+in WARC-Source-Headers (percent-encoded, as they are several lines).  The payload
+digest and length are those of the source's bytes, whatever their charset.
 
 Defined results: a null body is empty and gives an empty conversion and its
 metadata; a null URI is the empty URI; pages are told apart by id and URI, so
@@ -25,6 +28,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +49,7 @@ TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
 LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([\w-]+)""", re.I)
 CHARSET = re.compile(r"""<meta\b[^>]*?\bcharset\s*=\s*["']?([\w-]+)""", re.I)
+HTTP_CHARSET = re.compile(r"""^content-type:[^\r\n]*\bcharset\s*=\s*["']?([\w-]+)""", re.I | re.M)
 SPACES = re.compile(r"[ \t\r\f\v\xa0]+")
 
 
@@ -67,10 +72,19 @@ def one_line(x: str) -> str:
     return SPACES.sub(" ", x.replace("\n", " ")).strip()
 
 
-def metadata_fields(page: str, payload_digest: str) -> str:
+def decode(payload: bytes, headers: str) -> str:
+    """A payload as text by the charset that its headers or its beginning name, else as UTF-8."""
+    named = HTTP_CHARSET.search(headers) or CHARSET.search(payload[:1024].decode("latin-1"))
+    try:
+        return payload.decode(named[1] if named else "utf-8", "replace").encode("utf-8", "replace").decode()
+    except (LookupError, UnicodeError):
+        return payload.decode("utf-8", "replace")
+
+
+def metadata_fields(page: str, payload_digest: str, length: int) -> str:
     title, lang, charset = TITLE.search(page), LANG.search(page), CHARSET.search(page)
     fields = [("title", one_line(html.unescape(title[1])) if title else ""), ("language", lang[1] if lang else ""), ("charset", charset[1].lower() if charset else "")]
-    fields += [("source-payload-digest", payload_digest), ("source-length", str(len(page.encode())))]
+    fields += [("source-payload-digest", payload_digest), ("source-length", str(length))]
     links = [one_line(html.unescape(a or b or c)) for a, b, c in LINK.findall(HIDDEN.sub(" ", page))]
     fields += [("outlink", x) for x in dict.fromkeys(links)]
     return "".join(f"{k}: {v}\r\n" for k, v in fields if v)
@@ -96,14 +110,17 @@ def responses(pages: DataFrame) -> DataFrame:
 
 
 def derive(records: DataFrame) -> DataFrame:
-    """Two linked records for every response record."""
+    """Two linked records for every response record; of a table with record types, others are left out.
 
-    def rows(source, rid, uri, date, headers, body):
+    payload_digest and payload_length are the source's where records have them, else those of the body as UTF-8."""
+
+    def rows(source, rid, uri, date, headers, body, paid, length):
         body = body or ""
-        payload = body.encode()
-        paid = digest(payload)
+        if paid is None or length is None:
+            payload = body.encode()
+            paid, length = paid or digest(payload), len(payload) if length is None else length
         rid = rid or record_id("response", uri, str(source))
-        for kind, media, block in (("metadata", FIELDS_TYPE, metadata_fields(body, paid)), ("conversion", TEXT_TYPE, plain_text(body))):
+        for kind, media, block in (("metadata", FIELDS_TYPE, metadata_fields(body, paid, length)), ("conversion", TEXT_TYPE, plain_text(body))):
             raw = block.encode()
             yield (source, kind, record_id(kind, rid), rid, uri, date, media, len(raw), digest(raw), paid, headers, block)
 
@@ -117,7 +134,10 @@ def derive(records: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], k) for i, k in enumerate(kinds)], names=NAMES)
 
     tune(records.sparkSession)
-    return records.select("source_id", "record_id", "target_uri", "warc_date", "http_headers", "body").mapInArrow(run, RECORD)
+    if "record_type" in records.columns:
+        records = records.filter("record_type = 'response'")
+    source = [F.col(c) if c in records.columns else F.lit(None).cast(k).alias(c) for c, k in (("payload_digest", "string"), ("payload_length", "long"))]
+    return records.select("source_id", "record_id", "target_uri", "warc_date", "http_headers", "body", *source).mapInArrow(run, RECORD)
 
 
 def serialise(row) -> bytes:
@@ -125,6 +145,7 @@ def serialise(row) -> bytes:
     block = (row["block"] or "").encode()
     head = [("WARC-Type", row["record_type"]), ("WARC-Record-ID", row["record_id"]), ("WARC-Refers-To", row["refers_to"]), ("WARC-Target-URI", row["target_uri"])]
     head += [("WARC-Date", row["warc_date"]), ("WARC-Block-Digest", row["block_digest"]), ("WARC-Source-Payload-Digest", row["source_payload_digest"])]
+    head += [("WARC-Source-Headers", quote(row["source_headers"] or "", safe="/:;,=()\"'+*?&"))]
     head += [("Content-Type", row["content_type"]), ("Content-Length", str(len(block)))]
     lines = "".join(f"{k}: {v}\r\n" for k, v in head if v)
     return f"{VERSION}\r\n{lines}\r\n".encode() + block + b"\r\n\r\n"
@@ -171,23 +192,39 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += 2
 
 
+def _header_text(front: bytes) -> str:
+    try:
+        return front.decode()
+    except UnicodeDecodeError:
+        return front.decode("latin-1")
+
+
 def read_records(files: DataFrame) -> DataFrame:
-    """Records of binary files (a table with a column `content`): type, ids, URI, date, payload digest, HTTP headers and body."""
-    schema = "record_type string, record_id string, refers_to string, target_uri string, warc_date string, payload_digest string, http_headers string, body string"
+    """Records of binary files (a table with a column `content`): type, ids, URI, date, payload digest, HTTP headers and body; of derived ones, the source's digest and headers.
+
+    Where a record of HTTP names no payload digest, it is computed of the payload's bytes.  source_id is a hash of the record id."""
+    schema = (
+        "record_type string, record_id string, refers_to string, target_uri string, warc_date string, payload_digest string, http_headers string, body string, "
+        "source_id long, payload_length long, source_payload_digest string, source_headers string"
+    )
     names = [x.split()[0] for x in schema.split(", ")]
+    kinds = [pa.int64() if n in ("source_id", "payload_length") else pa.string() for n in names]
 
     def run(batches):
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 rows = []
                 for head, block in parse(content or b""):
-                    http, body = "", block
+                    http, body, paid = "", block, head.get("warc-payload-digest")
                     if head.get("content-type", "").startswith("application/http"):
                         front, _, body = block.partition(b"\r\n\r\n")
-                        http = front.decode("utf-8", "replace")
-                    keys = ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date", "warc-payload-digest")
-                    rows.append((*[head.get(k) for k in keys], http, body.decode("utf-8", "replace")))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(names))], names=names)
+                        http, paid = _header_text(front), paid or digest(body)
+                    own = [head.get(k) for k in ("warc-type", "warc-record-id", "warc-refers-to", "warc-target-uri", "warc-date")]
+                    name = own[1] or "\0".join(["", own[3] or "", own[4] or "", digest(block)])
+                    source = int.from_bytes(hashlib.sha1(name.encode()).digest()[:8], "big", signed=True)
+                    theirs = head.get("warc-source-headers")
+                    rows.append((*own, paid, http, decode(body, http) if http else body.decode("utf-8", "replace"), source, len(body), head.get("warc-source-payload-digest"), theirs and unquote(theirs)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     tune(files.sparkSession)
     return files.select("content").mapInArrow(run, schema)

@@ -135,6 +135,29 @@ def test_warc_reads_responses(spark):
     assert (row.http_headers, row.body, row.record_id) == ("HTTP/1.1 200 OK\r\nX: y", "<p>hi</p>", "<urn:uuid:1>")
 
 
+def test_warc_file_to_derivatives_to_file(spark):
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nX-Rate: 100% é "
+    payload, binary = "<title>Café</title><p>été</p>".encode("latin-1"), bytes(range(256))
+    named = "sha1:AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA"
+
+    def record(kind, n, front, payload, more=""):
+        block = front.encode("latin-1") + b"\r\n\r\n" + payload
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:uuid:{n}>\r\nWARC-Target-URI: http://a/{n}\r\nContent-Type: application/http;msgtype={kind}\r\n{more}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    file = record("request", 0, "GET / HTTP/1.1", b"") + record("response", 1, http, payload) + record("response", 2, "HTTP/1.1 200 OK", binary, f"WARC-Payload-Digest: {named}\r\n")
+    read = warc.read_records(spark.createDataFrame([(bytearray(file),)], "content binary"))
+    rows = warc.derive(read).collect()
+    assert len(rows) == 4 and len({r.source_id for r in rows}) == 2
+    files = spark.createDataFrame([(bytearray(b"".join(r.member for r in warc.members(warc.derive(read)).collect())),)], "content binary")
+    back = {(r.refers_to, r.record_type): r for r in warc.read_records(files).collect()}
+    for n, paid, headers, size in ((1, warc.digest(payload), http, len(payload)), (2, named, "HTTP/1.1 200 OK", 256)):
+        for kind in ("metadata", "conversion"):
+            row = back[f"<urn:uuid:{n}>", kind]
+            assert (row.source_payload_digest, row.source_headers) == (paid, headers)
+        assert f"source-payload-digest: {paid}\r\nsource-length: {size}\r\n" in back[f"<urn:uuid:{n}>", "metadata"].body
+    assert back["<urn:uuid:1>", "conversion"].body == "Café\nété" and "title: Café\r\n" in back["<urn:uuid:1>", "metadata"].body
+
+
 # ---- 3: decontamination
 
 
