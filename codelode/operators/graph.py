@@ -1,8 +1,8 @@
 """Graph queries over edges(src, dst, rel_type) and nodes(id, name, qualified_name, kind, visibility).
 
 Paths are trails: an edge occurs at most once in a path.  Every step is a join of
-the frontier with the edges, so its cost follows the paths found, and depth is
-bounded.
+the frontier with the edges, so its cost follows the paths found.  Calls are
+walked to a bounded depth; cycles without a length are followed to their end.
 """
 
 from __future__ import annotations
@@ -48,6 +48,21 @@ def trails(edges: DataFrame, start: DataFrame, depth: int, back: bool = False) -
     return reduce(DataFrame.union, levels)
 
 
+def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """origin, node of every node that start(id) reaches by an edge or more; runs a job for each level."""
+    steps = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct().localCheckpoint()
+    new = start.select(F.col("id").alias("origin"), F.col("id").alias("node")).distinct()
+    seen, level = new.limit(0), 0
+    while True:
+        new = new.join(steps, F.col("node") == F.col("a")).select("origin", F.col("b").alias("node")).distinct()
+        new = new.join(seen, ["origin", "node"], "left_anti").localCheckpoint()
+        if new.isEmpty():
+            return seen
+        seen, level = seen.union(new), level + 1
+        if level % 10 == 0:  # a short plan, however deep
+            seen = seen.coalesce(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))).localCheckpoint()
+
+
 def _found(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     names = nodes.select(F.col("id").alias("node"), "qualified_name")
     return paths.select("node", "depth").distinct().join(names, "node").select("qualified_name", "depth").distinct()
@@ -119,29 +134,52 @@ def unused(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return private.join(called, "id", "left_anti").select("qualified_name")
 
 
-def cycles(edges: DataFrame, nodes: DataFrame, length: int = 3, canonical: bool = False, limit: int | None = MOST_CYCLES) -> DataFrame:
+def cycles(edges: DataFrame, nodes: DataFrame, length: int | None = None, canonical: bool = False, limit: int | None = MOST_CYCLES) -> DataFrame:
     """path (qualified names, first and last equal), length: import trails that return to a module through another one.
 
     A simple cycle of n modules gives n * (n - 1) rows in bag mode (start and middle module); canonical mode gives each once,
-    beginning at its smallest name."""
+    beginning at its smallest name.  Without a length, trails within strongly connected modules are extended level by level
+    until none is left or, as the shortest come first, `limit` rows are found."""
     names = nodes.select("id", "qualified_name")
     steps = of_type(edges, "IMPORTS").join(names.select(F.col("id").alias("src"), F.col("qualified_name").alias("a")), "src").join(names.select(F.col("id").alias("dst"), F.col("qualified_name").alias("b")), "dst").select("a", "b").distinct()
     modules = nodes.filter("kind = 'Module'").select(F.col("qualified_name").alias("start"))
     edge = F.struct("a", "b")
-    now = modules.join(steps, F.col("start") == F.col("a")).select("start", F.col("b").alias("node"), F.array(edge).alias("trail"))
+    middle = modules.select(F.col("start").alias("mid"))
+
+    def first(steps: DataFrame) -> DataFrame:
+        return modules.join(steps, F.col("start") == F.col("a")).select("start", F.col("b").alias("node"), F.array(edge).alias("trail"))
+
+    def extended(now: DataFrame, steps: DataFrame) -> DataFrame:
+        return now.join(steps, F.col("node") == F.col("a")).filter(~F.array_contains("trail", edge)).select("start", F.col("b").alias("node"), F.array_append("trail", edge).alias("trail"))
+
+    def reported(closed: DataFrame) -> DataFrame:
+        path = F.concat(F.array("start"), F.transform("trail", lambda e: e["b"]))
+        closed = closed.select(path.alias("path"), "length", "start", F.slice(F.transform("trail", lambda e: e["b"]), 1, F.col("length") - 1).alias("inner"))
+        if canonical:
+            return closed.filter((F.size("inner") > 0) & F.forall("inner", lambda x: x > F.col("start"))).select("path", "length")
+        return closed.select("path", "length", "start", F.explode("inner").alias("mid")).filter("mid <> start").join(middle, "mid", "left_semi").select("path", "length")
+
     levels = []
-    for n in range(1, clamp(length, 2, MOST_DEPTH) + 1):
-        if n > 1:
-            now = now.join(steps, F.col("node") == F.col("a")).filter(~F.array_contains("trail", edge)).select("start", F.col("b").alias("node"), F.array_append("trail", edge).alias("trail"))
-        levels.append(now.filter("node = start").withColumn("length", F.lit(n)))
-    closed = reduce(DataFrame.union, levels)
-    path = F.concat(F.array("start"), F.transform("trail", lambda e: e["b"]))
-    closed = closed.select(path.alias("path"), "length", "start", F.slice(F.transform("trail", lambda e: e["b"]), 1, F.col("length") - 1).alias("inner"))
-    if canonical:
-        found = closed.filter((F.size("inner") > 0) & F.forall("inner", lambda x: x > F.col("start"))).select("path", "length")
+    if length is not None and length <= MOST_DEPTH:
+        now = first(steps)
+        for n in range(1, max(length, 2) + 1):
+            if n > 1:
+                now = extended(now, steps)
+            levels.append(now.filter("node = start").withColumn("length", F.lit(n)))
+        found = reported(reduce(DataFrame.union, levels))
     else:
-        middle = modules.select(F.col("start").alias("mid"))
-        found = closed.select("path", "length", "start", F.explode("inner").alias("mid")).filter("mid <> start").join(middle, "mid", "left_semi").select("path", "length")
+        reach = closure(steps.select(F.col("a").alias("src"), F.col("b").alias("dst")), steps.select(F.col("a").alias("id")))
+        steps = steps.join(reach, (F.col("b") == F.col("origin")) & (F.col("a") == F.col("node")), "left_semi").localCheckpoint()
+        now, n, many = first(steps), 1, 0
+        while True:
+            # a canonical trail never passes a name before its start, and ends there
+            now = (now.filter("node >= start") if canonical else now).localCheckpoint()
+            levels.append(reported(now.filter("node = start").withColumn("length", F.lit(n))).localCheckpoint())
+            many += levels[-1].count()
+            if n == length or (limit and many >= limit) or now.isEmpty():
+                break
+            now, n = extended(now.filter("node > start") if canonical else now, steps), n + 1
+        found = reduce(DataFrame.union, levels)
     return found.orderBy("length", "path").limit(limit) if limit else found
 
 

@@ -119,6 +119,16 @@ def test_cycles(spark):
         assert [r.path for r in graph.cycles(edges, nodes, 5, canonical=True).collect()] == [[f"q::{x}" for x in names + names[0]]]
 
 
+def test_cycles_of_any_length(spark):
+    names = "abcdefghijkl"
+    ring = [(names[i], names[(i + 1) % 12]) for i in range(12)]
+    edges, nodes = make(spark, [*ring, ("l", "x"), ("x", "y"), ("y", "z"), ("z", "y")], "IMPORTS", dict.fromkeys(names + "xyz", "Module"))
+    found = graph.cycles(edges, nodes, canonical=True, limit=None)
+    assert sorted(r.path for r in found.collect()) == [[f"q::{x}" for x in names + "a"], ["q::y", "q::z", "q::y"]]
+    edges, nodes = make(spark, [("a", "b"), ("b", "c"), ("c", "d"), ("d", "a"), ("d", "e")], "IMPORTS", dict.fromkeys("abcde", "Module"))
+    assert [r.length for r in graph.cycles(edges, nodes).collect()] == [4] * 12
+
+
 def test_other_graph_queries(spark):
     kinds = {"i": "Impl", "t": "Trait", "s": "Struct", "k": "Class"}
     e1, nodes = make(spark, [("i", "t"), ("k", "t")], "IMPLEMENTS", kinds)
