@@ -2,11 +2,13 @@
 
 Paths are trails: an edge occurs at most once in a path.  Every step is a join of
 the frontier with the edges, so its cost follows the paths found.  Calls are
-walked to a bounded depth; cycles without a length are followed to their end.
+walked to a bounded depth; cycles without a length, inheritance and contents are
+followed to their end.
 """
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -48,19 +50,27 @@ def trails(edges: DataFrame, start: DataFrame, depth: int, back: bool = False) -
     return reduce(DataFrame.union, levels)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """df computed once, in the folder of spark.checkpoint.dir (a temporary one where it is unset)."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codelode-"))
+    return df.checkpoint()
+
+
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """origin, node of every node that start(id) reaches by an edge or more; runs a job for each level."""
-    steps = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct().localCheckpoint()
+    steps = _kept(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
     new = start.select(F.col("id").alias("origin"), F.col("id").alias("node")).distinct()
     seen, level = new.limit(0), 0
     while True:
         new = new.join(steps, F.col("node") == F.col("a")).select("origin", F.col("b").alias("node")).distinct()
-        new = new.join(seen, ["origin", "node"], "left_anti").localCheckpoint()
+        new = _kept(new.join(seen, ["origin", "node"], "left_anti"))
         if new.isEmpty():
             return seen
         seen, level = seen.union(new), level + 1
         if level % 10 == 0:  # a short plan, however deep
-            seen = seen.coalesce(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))).localCheckpoint()
+            seen = _kept(seen.coalesce(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _found(paths: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -97,25 +107,28 @@ def implementations(edges: DataFrame, nodes: DataFrame, trait: str, direct: bool
     return by_block.union(impl.filter("kind <> 'Impl'").select("trait_name", F.col("src_name").alias("type_name"))) if direct else by_block
 
 
-def hierarchy(edges: DataFrame, nodes: DataFrame, name: str, depth: int = MOST_DEPTH) -> DataFrame:
-    """path: the simple names of every inheritance path of at least one edge from the class."""
+def hierarchy(edges: DataFrame, nodes: DataFrame, name: str, depth: int | None = None) -> DataFrame:
+    """path: the simple names of every inheritance path of at least one edge (and at most `depth`, if given) from the class."""
     classes = nodes.filter(F.col("kind").isin("Class", "Struct")).select("id", "name")
     steps = of_type(edges, "INHERITS_FROM").join(classes.select(F.col("id").alias("dst"), F.col("name").alias("next")), "dst", "left")
     start = named(nodes, name).filter(F.col("kind").isin("Class", "Struct"))
     now = start.select(F.col("id").alias("node"), F.array("name").alias("path"), F.array("id").alias("ids"))
-    levels = []
-    for _ in range(clamp(depth, 1, MOST_DEPTH)):
+    steps, levels = _kept(steps), []
+    while depth is None or len(levels) < max(depth, 1):
         now = now.join(steps, F.col("node") == F.col("src")).filter(~F.array_contains("ids", F.col("dst")))
-        now = now.select(F.col("dst").alias("node"), F.array_append("path", F.col("next")).alias("path"), F.array_append("ids", F.col("dst")).alias("ids"), "next")
+        now = _kept(now.select(F.col("dst").alias("node"), F.array_append("path", F.col("next")).alias("path"), F.array_append("ids", F.col("dst")).alias("ids"), "next"))
         levels.append(now.filter("next IS NOT NULL").select("path"))
+        if now.isEmpty():
+            break
         now = now.drop("next")
     return reduce(DataFrame.union, levels)
 
 
-def contents(edges: DataFrame, nodes: DataFrame, module: str, depth: int = MOST_DEPTH) -> DataFrame:
-    """qualified_name of every function inside the module, however deep."""
+def contents(edges: DataFrame, nodes: DataFrame, module: str, depth: int | None = None) -> DataFrame:
+    """qualified_name of every function inside the module, however deep unless a depth is given."""
     start = nodes.filter((F.col("qualified_name") == module) & (F.col("kind") == "Module")).select("id")
-    inside = trails(of_type(edges, "CONTAINS"), start, depth).select(F.col("node").alias("id")).distinct()
+    steps = of_type(edges, "CONTAINS")
+    inside = (closure(steps, start) if depth is None else trails(steps, start, depth)).select(F.col("node").alias("id")).distinct()
     return nodes.filter("kind = 'Function'").join(inside, "id", "left_semi").select("qualified_name")
 
 
@@ -169,12 +182,12 @@ def cycles(edges: DataFrame, nodes: DataFrame, length: int | None = None, canoni
         found = reported(reduce(DataFrame.union, levels))
     else:
         reach = closure(steps.select(F.col("a").alias("src"), F.col("b").alias("dst")), steps.select(F.col("a").alias("id")))
-        steps = steps.join(reach, (F.col("b") == F.col("origin")) & (F.col("a") == F.col("node")), "left_semi").localCheckpoint()
+        steps = _kept(steps.join(reach, (F.col("b") == F.col("origin")) & (F.col("a") == F.col("node")), "left_semi"))
         now, n, many = first(steps), 1, 0
         while True:
             # a canonical trail never passes a name before its start, and ends there
-            now = (now.filter("node >= start") if canonical else now).localCheckpoint()
-            levels.append(reported(now.filter("node = start").withColumn("length", F.lit(n))).localCheckpoint())
+            now = _kept(now.filter("node >= start") if canonical else now)
+            levels.append(_kept(reported(now.filter("node = start").withColumn("length", F.lit(n)))))
             many += levels[-1].count()
             if n == length or (limit and many >= limit) or now.isEmpty():
                 break

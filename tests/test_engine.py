@@ -119,6 +119,15 @@ def test_cycles(spark):
         assert [r.path for r in graph.cycles(edges, nodes, 5, canonical=True).collect()] == [[f"q::{x}" for x in names + names[0]]]
 
 
+def test_contents_and_hierarchy_of_any_depth(spark):
+    names = "abcdefghijklm"
+    chain = list(zip(names, names[1:], strict=False))
+    edges, nodes = make(spark, chain, "CONTAINS", {**dict.fromkeys(names[:-1], "Module"), "m": "Function"})
+    assert [r[0] for r in graph.contents(edges, nodes, "q::a").collect()] == ["q::m"]
+    edges, nodes = make(spark, chain, "INHERITS_FROM", dict.fromkeys(names, "Class"))
+    assert sorted("".join(r.path) for r in graph.hierarchy(edges, nodes, "a").collect()) == [names[:n] for n in range(2, 14)]
+
+
 def test_cycles_of_any_length(spark):
     names = "abcdefghijkl"
     ring = [(names[i], names[(i + 1) % 12]) for i in range(12)]
