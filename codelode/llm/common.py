@@ -29,14 +29,45 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def even_keys(spark: SparkSession) -> np.ndarray:
-    """One integer for each shuffle partition that hash partitioning sends there: packed buckets then spread evenly."""
-    n, tries = partitions(spark), 16
+#: Packed bytes that one bucket is to hold; there are as many buckets as the measured input needs.
+BUCKET_BYTES = 32 << 20
+
+
+def total_bytes(docs: DataFrame, text: str = "text") -> int:
+    """Bytes of all texts."""
+    return int(docs.agg(F.sum(F.octet_length(text))).first()[0] or 0)
+
+
+def bucket_count(spark: SparkSession, size: float) -> int:
+    """Buckets for so many packed bytes: at least one for each shuffle partition."""
+    return max(partitions(spark), int(size // BUCKET_BYTES) + 1)
+
+
+def _int_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash of integers (Murmur3 with seed 42)."""
+    u = lambda v: np.uint32(v)
+    turn = lambda v, r: (v << u(r)) | (v >> u(32 - r))
+    h = u(42) ^ turn(x.astype(np.uint32) * u(0xCC9E2D51), 15) * u(0x1B873593)
+    h = turn(h, 13) * u(5) + u(0xE6546B64)
+    h ^= u(4)
+    h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+    h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+    return (h ^ (h >> u(16))).view(np.int32)
+
+
+def even_keys(spark: SparkSession, buckets: int | None = None) -> np.ndarray:
+    """Names (integers) of buckets that hash partitioning deals to the shuffle partitions in turn: they spread evenly."""
+    n = partitions(spark)
+    buckets, tries = buckets or n, 16
+    each = -(-buckets // n)
     while True:
-        ids = spark.range(0, tries * n, 1, 1).select(F.col("id").cast("int").alias("k"))
-        found = dict(ids.select(F.pmod(F.hash("k"), F.lit(n)).alias("p"), "k").orderBy(F.desc("k")).collect())
-        if len(found) == n:
-            return np.array([found[p] for p in range(n)], np.int64)
+        ids = np.arange(tries * n * each, dtype=np.int32)
+        to = _int_hash(ids).astype(np.int64) % n
+        order = np.argsort(to, kind="stable")
+        held = np.bincount(to, minlength=n)
+        if held.min() >= each:
+            begin = np.cumsum(held) - held
+            return ids[order[(begin[None, :] + np.arange(each)[:, None]).ravel()[:buckets]]].astype(np.int64)
         tries *= 2
 
 
@@ -50,11 +81,13 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where it is unset and driver and executors are one process."""
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = sc._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = current.get() if current.isDefined() else os.path.join(tempfile.gettempdir(), "codelode-shared")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(folder)

@@ -8,24 +8,27 @@ many small pieces such that equal strings always meet in one piece:
    fingerprint in it (the leftmost of equal ones).  Windows in a row with one
    anchor form a segment, at most 2 * WIDTH - GRAM bytes.  Equal windows have
    equal anchors, so they lie in segments of one anchor.
-2. Segments meet by anchor as fingerprints only.  An anchor seen once is done.
-   Of equal segments the first stands for all; each later one is removed whole.
-   Segments that share an anchor but differ are contested.
-3. The bytes of contested segments meet by anchor.  Each piece is one text, and
-   its suffixes are sorted in two stages: those smaller than their successor are
-   sorted directly, all others are induced from them by a scan over the buckets
-   of first symbols.  Adjacent common prefixes then give the groups of equal
-   WIDTH-byte windows; all but the first of each group are removed.
-   An anchor with more than HOT contested segments (a common line in many
-   contexts) would fill one piece: its windows meet one by one instead, as in
-   step 2, each by its own fingerprint, which spreads them.
+2. Anchors meet as fingerprints only, one for each HELD bytes of text that have
+   them.  An anchor that occurs once holds no repeated window and is done; the
+   documents of all others learn which of their segments to send.
+   An anchor in front of many different segments (a common line in many contexts)
+   would fill one piece: its segments are split by all bytes of their windows,
+   each window being a segment of its own, and these meet in the same way.
+3. The bytes of the segments left meet by anchor (or window).  Equal segments,
+   compared byte by byte, enter a piece once, as their first place; the others
+   are later copies of it.
+   Each piece is one text, and its suffixes are sorted in two stages: those
+   smaller than their successor are sorted directly, all others are induced from
+   them by a scan over the buckets of first symbols.  Adjacent common prefixes
+   give the groups of equal windows; all but the first place of each go.
 4. The removed ranges of a document meet its text, and the rest is kept.
 
-Copies collapse within a block before anything is moved, so a large group of
-copies sends one segment per block.  Defined results: null text is empty; texts
-shorter than WIDTH keep all; rows of one doc_id are one document seen twice (no
-row removes the other's bytes); a null doc_id is a document before all others;
-an empty table gives an empty table; other columns are ignored.
+Fingerprints only choose what meets; every removal is decided on bytes.  Defined
+results: null text is empty; texts shorter than WIDTH keep all; rows of one
+doc_id are one document seen twice (no row removes the other's bytes); a null
+doc_id is a document before all others; an empty table gives an empty table;
+other columns are ignored; long texts are cut into overlapping parts of PART
+bytes, which changes no window.
 """
 
 from __future__ import annotations
@@ -37,23 +40,57 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, even_keys, materialise, mix, pack, read, text_blocks, tune, unpack
-from .ngram_join import LISTS, range_of, rows_of, split
+from .common import Rolling, bucket_count, even_keys, materialise, mix, pack, read, text_blocks, total_bytes, tune, unpack
+from .ngram_join import range_of, split
 
 WIDTH, GRAM = 100, 32
-#: Contested segments of one anchor beyond which its windows are dealt apart.
-HOT = 2000
-#: Bytes of one suffix array; an anchor is never split, so HOT segments bound it too.
+#: Different segments of one anchor beyond which they are split by their windows, and the most anchors that are.
+HOT, HOT_KEYS = 20_000, 1 << 22
+#: Bytes of one suffix array; an anchor's segments stay in one.
 PIECE = 1 << 20
-#: Low bits of a packed minimum hold the place in the block (blocks are smaller, but for one longer text).
-PLACE = 30
+#: Bytes of text whose keys, and bytes of segments, that a worker holds before it sends them.
+HELD, HELD_BYTES = 32 << 20, 8 << 20
+#: Bytes of a text looked at together; low bits of a packed minimum hold the place in it.
+PART, PLACE = 4 << 20, 24
 NO_ID = -(2**63)
+EVEN = np.uint64(2**64 - 2)
 
 
-def segments(data: np.ndarray, offsets: np.ndarray, rolling: Rolling, second: Rolling) -> tuple[np.ndarray, ...]:
-    """anchor, content fingerprint, text number, first window and number of windows of every segment of a block."""
+class Fingerprints:
+    """The two families of fingerprints: of anchors and windows, and of contents."""
+
+    def __init__(self):
+        self.first, self.second = Rolling(31), Rolling(32)
+
+
+def _parts(offsets: np.ndarray):
+    """Runs of whole texts as (from, to, first text); a text beyond PART bytes in overlapping runs of its own."""
+    a, n = 0, len(offsets) - 1
+    while a < n:
+        b = max(int(np.searchsorted(offsets, offsets[a] + PART, "right")) - 1, a + 1)
+        if b > a + 1 or offsets[b] - offsets[a] <= PART:
+            yield int(offsets[a]), int(offsets[b]), a, b
+        else:
+            for at in range(int(offsets[a]), int(offsets[b]) - WIDTH + 1, PART - WIDTH + 1):
+                yield at, min(at + PART, int(offsets[b])), a, b
+        a = b
+
+
+def segments(data: np.ndarray, offsets: np.ndarray, marks: Fingerprints) -> tuple[np.ndarray, ...]:
+    """anchor, content fingerprint, text number, first window (from the text's start) and number of windows of every segment of a block."""
+    none = np.zeros(0, np.int64)
+    out = [(none.astype(np.uint64), none.astype(np.uint64), none, none, none)]
+    for lo, hi, a, b in _parts(offsets):
+        inner = np.clip(offsets[a : b + 1], lo, hi) - lo
+        key, content, of, start, length = _segments(data[lo:hi], inner, marks)
+        of = of + a
+        out.append((key, content, of, start + lo - offsets[of], length))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _segments(data: np.ndarray, offsets: np.ndarray, marks: Fingerprints) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
-    grams = rolling.windows(rolling.prefix(data), GRAM)
+    grams = marks.first.windows(marks.first.prefix(data), GRAM)
     n = len(data) - WIDTH + 1
     if n <= 0:
         return none.astype(np.uint64), none.astype(np.uint64), none, none, none
@@ -71,13 +108,26 @@ def segments(data: np.ndarray, offsets: np.ndarray, rolling: Rolling, second: Ro
     edge = np.empty(n, bool)
     edge[0] = True
     edge[1:] = (anchor[1:] != anchor[:-1]) | (valid[1:] != valid[:-1])
-    starts = np.flatnonzero(edge)
+    begin = np.zeros(n + 1, bool)
+    begin[offsets[:-1][offsets[:-1] <= n]] = True  # the last window of a text and the first of the next are never neighbours
+    starts = np.flatnonzero(edge | begin[:n])
     length = np.diff(np.append(starts, n))
     keep = valid[starts]
     starts, length = starts[keep], length[keep]
-    content = second.spans(second.prefix(data), starts, starts + length + WIDTH - 1)
+    content = marks.second.spans(marks.second.prefix(data), starts, starts + length + WIDTH - 1)
     of = np.searchsorted(offsets, starts, "right") - 1
-    return grams[anchor[starts]], content, of, starts - offsets[of], length
+    return grams[anchor[starts]] & EVEN, content, of, starts, length
+
+
+def windows_of(data: np.ndarray, offsets: np.ndarray, of: np.ndarray, at: np.ndarray, length: np.ndarray, marks: Fingerprints) -> tuple[np.ndarray, ...]:
+    """The windows of the given segments, as segments of one window each: key, text number, place."""
+    step = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    of, at = np.repeat(of, length), np.repeat(at, length) + step
+    if not len(of):
+        return np.zeros(0, np.uint64), of, at
+    prefix = marks.second.prefix(data)
+    place = at + offsets[of]
+    return marks.second.spans(prefix, place, place + WIDTH) & EVEN, of, at
 
 
 def by_planes(values: np.ndarray, kind: str) -> bytes:
@@ -90,38 +140,6 @@ def from_planes(raw: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
-def write_segments(key, content, doc, at, length) -> bytes:
-    """Segments in rising order of key; documents as a list and places in it."""
-    docs, local = np.unique(doc, return_inverse=True)
-    head = np.array([len(docs), len(key)], np.int64).tobytes()
-    return head + docs.tobytes() + pack(key) + content.astype("<u8").tobytes() + by_planes(local, "<u4") + by_planes(at, "<u4") + by_planes(length, "<u2")
-
-
-def read_segments(body: bytes) -> tuple[np.ndarray, ...]:
-    docs, n = (int(x) for x in np.frombuffer(body, np.int64, 2))
-    ids, at, out = np.frombuffer(body, np.int64, docs, 16), 16 + 8 * docs, []
-    for kind, width in (("key", 8), ("<u8", 8), ("<u4", 4), ("<u4", 4), ("<u2", 2)):
-        raw = body[at : at + width * n]
-        out.append(unpack(raw) if kind == "key" else np.frombuffer(raw, np.uint64) if kind == "<u8" else from_planes(raw, kind).astype(np.int64))
-        at += width * n
-    return out[0], out[1], ids[out[2]], out[3], out[4]
-
-
-def first_of_each(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, fresh, again) for rows (class columns..., doc, at): the sorted order; where a class begins; where a later start repeats it."""
-    order = np.lexsort(columns[::-1])
-    rows = [c[order] for c in columns]
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in rows[:-2]]) if len(order) else fresh[1:]
-    first = np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0)) if len(order) else order
-    again = (rows[-2] != rows[-2][first]) | (rows[-1] != rows[-1][first])
-    return order, fresh, again
-
-
-RANGE_SCHEMA = pa.schema([("doc", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("anchor", pa.int64()), ("hot", pa.bool_())])
-RANGES = "doc long, lo long, hi long, anchor long, hot boolean"
-
-
 def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ranges of each document joined where they touch or overlap."""
     if not len(doc):
@@ -135,115 +153,207 @@ def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray,
     return doc[cut], lo[cut], top[np.append(cut[1:], len(doc)) - 1]
 
 
-def range_table(doc, lo, hi, anchor=None, hot=None) -> pa.Table:
-    n = len(doc)
-    anchor = pa.nulls(n, pa.int64()) if anchor is None else pa.array(anchor.view(np.int64))
-    hot = pa.nulls(n, pa.bool_()) if hot is None else pa.array(hot)
-    return pa.table([pa.array(doc, pa.int64()), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), anchor, hot], schema=RANGE_SCHEMA)
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), "text")
 
 
 def spread(key: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of each key; anchors are least fingerprints, so their own ranges would be uneven."""
-    return range_of(mix(key), buckets)
+    return range_of(mix(key.copy()), buckets)
+
 
+# ---- step 2: keys that occur again
 
-def collapsed(key, content, doc, at, length, names: np.ndarray) -> list[tuple[int, bytes]]:
-    """Lists by range of the key: the first segment of each class of this block; later ones, marked by length + 32768, by document."""
-    order, fresh, again = first_of_each(key, content, doc, at)
-    key, content, doc, at, length = (x[order] for x in (key, content, doc, at, length))
-    keep = fresh | again
-    key, content, doc, at, length, again = (x[keep] for x in (key, content, doc, at, length, again))
-    to = np.where(again, spread(doc.view(np.uint64), len(names)), spread(key, len(names)))
-    length = np.where(again, length + 32768, length)
-    return [(b, write_segments(key[i], content[i], doc[i], at[i], length[i])) for b, i in split(to, names)]
+
+def write_keys(key: np.ndarray, doc: np.ndarray, mark: np.ndarray) -> bytes:
+    """Keys in rising order with their documents (as a list and places in it) and marks."""
+    docs, local = np.unique(doc, return_inverse=True)
+    return np.array([len(docs), len(key)], np.int64).tobytes() + docs.tobytes() + pack(key) + by_planes(local, "<u4") + by_planes(mark, "<u4")
 
 
-def meeting(docs: DataFrame, names: np.ndarray) -> DataFrame:
-    """Step 1: packed segments of every whole text."""
+def read_keys(body: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    docs, n = (int(x) for x in np.frombuffer(body, np.int64, 2))
+    ids, at = np.frombuffer(body, np.int64, docs, 16), 16 + 8 * docs
+    planes = [from_planes(body[i : i + 4 * n], "<u4").astype(np.int64) for i in (at + 8 * n, at + 12 * n)]
+    return unpack(body[at : at + 8 * n]), ids[planes[0]], planes[1]
+
+
+def once_each(key: np.ndarray, content: np.ndarray, doc: np.ndarray, names: np.ndarray) -> list[tuple[int, bytes]]:
+    """Lists by bucket: each key once, marked by twice the number of its contents, plus 1 if it occurs again here; mark 0: a key of a document, known to occur again."""
+    order = np.lexsort((doc, content, key))
+    key, content, doc = key[order], content[order], doc[order]
+    fresh = np.ones(len(key), bool)
+    fresh[1:] = key[1:] != key[:-1]
+    other = fresh.copy()
+    other[1:] |= content[1:] != content[:-1]
+    group = np.cumsum(fresh) - 1
+    again = np.bincount(group) > 1
+    mark = 2 * np.bincount(group, other).astype(np.int64) + again
+    known = again[group]
+    pairs = np.unique(np.column_stack([doc[known], key[known].view(np.int64)]), axis=0)
+    known_doc, known_key = pairs[:, 0], np.ascontiguousarray(pairs[:, 1]).view(np.uint64)
+    all_keys, all_docs = np.concatenate([key[fresh], known_key]), np.concatenate([doc[fresh], known_doc])
+    marks = np.concatenate([mark, np.zeros(len(pairs), np.int64)])
+    to = np.concatenate([spread(key[fresh], len(names)), spread(known_doc.view(np.uint64), len(names))])
+    order = np.argsort(all_keys, kind="stable")
+    all_keys, all_docs, marks, to = all_keys[order], all_docs[order], marks[order], to[order]
+    return [(b, write_keys(all_keys[i], all_docs[i], marks[i])) for b, i in split(to, names)]
+
+
+def lists_of(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "body"])
+
+
+def meeting(docs: DataFrame, names: np.ndarray, hot: np.ndarray | None = None) -> DataFrame:
+    """Packed keys of the segments of every whole text; with hot, of the windows of segments whose anchor is one of these."""
 
     def run(batches):
-        rolling, second = Rolling(31), Rolling(32)
+        marks, held, size = Fingerprints(), [], 0
         for rows, data, offsets in text_blocks(batches):
             ids = np.asarray(rows.column(0))
-            key, content, of, at, length = segments(data, offsets, rolling, second)
-            if len(key):
-                yield rows_of(collapsed(key, content, ids[of], at, length, names))
+            key, content, of, at, length = segments(data, offsets, marks)
+            if hot is not None:
+                wide = np.isin(key, hot)
+                key, of, _ = windows_of(data, offsets, of[wide], at[wide], length[wide], marks)
+                content = key
+            held.append((key, content, ids[of]))
+            size += max(len(data), 40 * len(key))
+            if size > HELD:
+                yield lists_of(once_each(*(np.concatenate(x) for x in zip(*held, strict=True)), names))
+                held, size = [], 0
+        if held:
+            yield lists_of(once_each(*(np.concatenate(x) for x in zip(*held, strict=True)), names))
 
     tune(docs.sparkSession)
     return _keyed(docs).mapInArrow(run, "bucket int, body binary")
 
 
-def judged(lists: DataFrame, hot: int = HOT) -> DataFrame:
-    """Step 2: removed ranges (anchor null) and contested segments (with their anchor)."""
+def recurring(lists: DataFrame, limit: int) -> DataFrame:
+    """doc and keys (packed) of its segments whose key occurs again; doc null: a key with more than `limit` contents, and their number."""
+    schema = pa.schema([("doc", pa.int64()), ("keys", pa.binary()), ("hot", pa.int64()), ("contents", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [read_segments(x.as_py()) for x in table.column("body")]
-        key, content, doc, at, length = (np.concatenate(x) for x in zip(*parts, strict=True))
-        gone = length >= 32768
-        out = [range_table(*merged(doc[gone], at[gone], at[gone] + length[gone] - 32768 + WIDTH - 1))]
-        key, content, doc, at, length = (x[~gone] for x in (key, content, doc, at, length))
-        by = np.argsort(key, kind="stable")
-        same = key[by][1:] == key[by][:-1]
-        twice = np.zeros(len(key), bool)
-        twice[by[1:]] |= same
-        twice[by[:-1]] |= same
-        key, content, doc, at, length = (x[twice] for x in (key, content, doc, at, length))
-        order, fresh, again = first_of_each(key, content, doc, at)
-        key, doc, at, end = key[order], doc[order], at[order], (at + length)[order] + WIDTH - 1
-        out.append(range_table(*merged(doc[again], at[again], end[again])))
-        key, doc, at, end = key[fresh], doc[fresh], at[fresh], end[fresh]
-        if len(key):
-            group = np.cumsum(np.concatenate([[True], key[1:] != key[:-1]])) - 1
-            kinds = np.bincount(group)[group]
-            c = kinds > 1
-            out.append(range_table(doc[c], at[c], end[c], key[c], kinds[c] > hot))
-        return pa.concat_tables(out)
-
-    return lists.groupBy("bucket").applyInArrow(run, RANGES)
-
-
-def contested(docs: DataFrame, claims: DataFrame, names: np.ndarray) -> DataFrame:
-    """Step 3: packed bytes of the contested segments by anchor; packed single windows (hot true) where the anchor is hot."""
-    own = claims.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "anchor", "hot"))).alias("claims"))
-    rows = _keyed(docs).join(own.hint("shuffle_hash"), "doc").select("doc", "text", "claims")
+        parts = [read_keys(x.as_py()) for x in table.column("body")]
+        key, doc, mark = (np.concatenate(x) for x in zip(*parts, strict=True))
+        told = mark == 0
+        known_key, known_doc = key[told], doc[told]
+        key, doc, mark = key[~told], doc[~told], mark[~told]
+        order = np.argsort(key, kind="stable")
+        key, doc, mark = key[order], doc[order], mark[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        group = np.cumsum(fresh) - 1
+        contents = np.bincount(group, mark >> 1).astype(np.int64)
+        tell = (np.bincount(group)[group] > 1) & (mark & 1 == 0) if len(key) else fresh
+        key_, doc_ = np.concatenate([key[tell], known_key]), np.concatenate([doc[tell], known_doc])
+        order = np.argsort(doc_, kind="stable")
+        key_, doc_ = key_[order], doc_[order]
+        starts = np.flatnonzero(np.concatenate([[True], doc_[1:] != doc_[:-1]])) if len(doc_) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(doc_))
+        bodies = [key_[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        wide = np.flatnonzero(contents > limit)
+        n, m = len(starts), len(wide)
+        return pa.table(
+            [
+                pa.array([*doc_[starts].tolist(), *[None] * m], pa.int64()),
+                pa.array([*bodies, *[None] * m], pa.binary()),
+                pa.array([*[None] * n, *key[fresh][wide].view(np.int64).tolist()], pa.int64()),
+                pa.array([*[None] * n, *contents[wide].tolist()], pa.int64()),
+            ],
+            schema=schema,
+        )
+
+    return lists.groupBy("bucket").applyInArrow(run, "doc long, keys binary, hot long, contents long")
+
+
+# ---- step 3: their bytes
+
+
+def gather(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(length)
+    return data[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - length), length)]
+
+
+def representatives(key: np.ndarray, content: np.ndarray, doc: np.ndarray, at: np.ndarray, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, later): the segments that stand for all that equal them byte by byte under their key, and the ones with another place."""
+    order = np.lexsort((at, doc, length, content, key))
+    same = np.zeros(len(order), bool)
+    same[1:] = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (key, content, length)])
+    rank = np.arange(len(order))
+    first = order[np.maximum.accumulate(np.where(same, 0, rank))] if len(order) else order
+    step = max(1, (4 << 20) // (2 * WIDTH))
+    wrong = []
+    again = np.flatnonzero(same)
+    for i in range(0, len(again), step):
+        a, b = order[again[i : i + step]], first[again[i : i + step]]
+        differ = gather(data, start[a], length[a]) != gather(data, start[b], length[b])
+        wrong += again[i : i + step][np.add.reduceat(differ, np.cumsum(length[a]) - length[a]) > 0].tolist()
+    seen: dict[tuple[int, bytes], int] = {}
+    for i in wrong:  # fingerprints agreed, bytes did not
+        x = order[i]
+        first[i] = seen.setdefault((int(key[x]), data[start[x] : start[x] + length[x]].tobytes()), int(x))
+    own = first == order
+    later = ~own & ((doc[order] != doc[first]) | (at[order] != at[first]))
+    return order[own], order[later]
+
+
+def write_bytes(key, doc, lo, length, data) -> bytes:
+    return np.concatenate([[len(key)], key.view(np.int64), doc, lo, length]).astype(np.int64).tobytes() + data.tobytes()
+
+
+def sending(docs: DataFrame, told: DataFrame, hot: np.ndarray, names: np.ndarray) -> DataFrame:
+    """Packed bytes of the segments with recurring keys, equal ones once (bucket, body); ranges of their later copies (doc, lo, hi)."""
+    own = told.groupBy("doc").agg(F.collect_list("keys").alias("keys"))
+    rows = _keyed(docs).join(own.hint("shuffle_hash"), "doc").select("doc", "text", "keys")
+    schema = pa.schema([("bucket", pa.int32()), ("body", pa.binary()), ("doc", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+
+    def flush(held) -> pa.RecordBatch:
+        key, content, doc, at, length, data = (np.concatenate(x) for x in zip(*held, strict=True))
+        start = np.cumsum(length) - length
+        first, later = representatives(key, content, doc, at, data, start, length)
+        gone = merged(doc[later], at[later], at[later] + length[later])
+        to = spread(key[first], len(names))
+        lists = [(b, write_bytes(key[i], doc[i], at[i], length[i], gather(data, start[i], length[i]))) for b, i in ((b, first[i]) for b, i in split(to, names))]
+        n, m = len(lists), len(gone[0])
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([*[b for b, _ in lists], *[None] * m], pa.int32()),
+                pa.array([*[x for _, x in lists], *[None] * m], pa.binary()),
+                *[pa.array([*[None] * n, *x.tolist()], pa.int64()) for x in gone],
+            ],
+            schema=schema,
+        )
 
     def run(batches):
-        rolling, second = Rolling(33), Rolling(34)
+        marks, held, size = Fingerprints(), [], 0
         for rows, data, offsets in text_blocks(batches):
             ids = np.asarray(rows.column(0))
-            count = np.asarray(rows.column(2).value_lengths())
-            flat = rows.column(2).flatten()
-            lo, hi, anchor = (np.asarray(flat.field(i)) for i in range(3))
-            hot = np.asarray(flat.field(3).cast(pa.int8())) > 0
-            of = np.repeat(np.arange(len(count)), count)
-            doc, start, length = ids[of], lo + offsets[of], hi - lo
-            if hot.any():
-                first, second_ = rolling.windows(rolling.prefix(data), WIDTH), second.windows(second.prefix(data), WIDTH)
-                many = length[hot] - WIDTH + 1
-                step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                w = np.repeat(start[hot], many) + step
-                lists = collapsed(first[w], second_[w], np.repeat(doc[hot], many), np.repeat(lo[hot], many) + step, np.ones(len(w), np.int64), names)
-                yield marked(lists, True)
-            key, doc, lo, start, length = (x[~hot] for x in (anchor.view(np.uint64), doc, lo, start, length))
-            out = []
-            for b, i in split(spread(key, len(names)), names):
-                ends = np.cumsum(length[i])
-                take = np.arange(int(ends[-1])) + np.repeat(start[i] - (ends - length[i]), length[i])
-                numbers = np.concatenate([[len(i)], key[i].view(np.int64), doc[i], lo[i], length[i]]).astype(np.int64)
-                out.append((b, numbers.tobytes() + data[take].tobytes()))
-            if out:
-                yield marked(out, False)
-
-    return rows.mapInArrow(run, "bucket int, body binary, hot boolean")
-
-
-def marked(lists: list[tuple[int, bytes]], hot: bool) -> pa.RecordBatch:
-    rows = rows_of(lists)
-    return pa.RecordBatch.from_arrays([*rows.columns, pa.array([hot] * len(rows), pa.bool_())], names=[*LISTS.names, "hot"])
+            keys = [np.frombuffer(b"".join(x), np.uint64) for x in rows.column(2).to_pylist()]
+            stride = np.uint64(0x9E3779B97F4A7C15)
+            asked = np.sort(mix(np.concatenate(keys) + np.repeat(np.arange(len(keys), dtype=np.uint64), [len(k) for k in keys]) * stride))
+
+            def wanted(key, of, asked=asked):
+                mine = mix(key + of.astype(np.uint64) * stride)
+                return asked[np.minimum(np.searchsorted(asked, mine), len(asked) - 1)] == mine if len(asked) else np.zeros(len(mine), bool)
+
+            key, content, of, at, length = segments(data, offsets, marks)
+            if len(hot):
+                wide = np.isin(key, hot)
+                key1, of1, at1 = windows_of(data, offsets, of[wide], at[wide], length[wide], marks)
+                key, content, of, at, length = (np.concatenate([x[~wide], y]) for x, y in zip((key, content, of, at, length), (key1, key1, of1, at1, np.ones(len(of1), np.int64)), strict=True))
+            ok = wanted(key, of)
+            key, content, of, at, length = (x[ok] for x in (key, content, of, at, length))
+            length = length + WIDTH - 1
+            part = gather(data, at + offsets[of], length)
+            held.append((key, content, ids[of], at, length, part))
+            size += len(part) + 40 * len(key)
+            if size > HELD_BYTES:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return rows.mapInArrow(run, "bucket int, body binary, doc long, lo long, hi long")
 
 
 class SuffixArray:
@@ -382,7 +492,7 @@ def pieces(key: np.ndarray, length: np.ndarray, limit: int):
 
 
 def sorted_out(lists: DataFrame) -> DataFrame:
-    """Removed ranges found by suffix sorting, anchors by anchors."""
+    """Removed ranges: places of equal windows by suffix sorting, all but the first of each group."""
 
     def run(table: pa.Table) -> pa.Table:
         columns, data = [], []
@@ -394,24 +504,41 @@ def sorted_out(lists: DataFrame) -> DataFrame:
         key, doc, lo, length = np.concatenate(columns, axis=1)
         data = np.concatenate(data)
         begin = np.cumsum(length) - length
-        out = [range_table(*[np.zeros(0, np.int64)] * 3)]
+        rolling = Rolling(32)
+        content = np.zeros(len(key), np.uint64)
+        for i in range(0, len(key), 20_000):  # fingerprints of bounded parts
+            a, b = begin[i], begin[min(i + 20_000, len(key)) - 1] + length[min(i + 20_000, len(key)) - 1]
+            s, e = begin[i : i + 20_000] - a, begin[i : i + 20_000] + length[i : i + 20_000] - a
+            content[i : i + 20_000] = rolling.spans(rolling.prefix(data[a:b]), s, e)
+        first, later = representatives(key, content, doc, lo, data, begin, length)
+        out = [merged(doc[later], lo[later], lo[later] + length[later])]
+        key, doc, lo, length, begin = (x[first] for x in (key, doc, lo, length, begin))
         for i in pieces(key, length, PIECE):
-            ends = np.cumsum(length[i])
-            take = np.arange(int(ends[-1])) + np.repeat(begin[i] - (ends - length[i]), length[i])
-            found, at = repeats(doc[i], lo[i], length[i], data[take])
-            out.append(range_table(*merged(found, at, at + WIDTH)))
-        return pa.concat_tables(out)
+            found, at = repeats(doc[i], lo[i], length[i], gather(data, begin[i], length[i]))
+            out.append(merged(found, at, at + WIDTH))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        return pa.table([pa.array(x, pa.int64()) for x in columns], names=["doc", "lo", "hi"])
 
-    return lists.groupBy("bucket").applyInArrow(run, RANGES)
+    return lists.groupBy("bucket").applyInArrow(run, "doc long, lo long, hi long")
 
 
-def removed_ranges(docs: DataFrame, hot: int | None = None) -> DataFrame:
+def removed_ranges(docs: DataFrame) -> DataFrame:
     """doc, lo, hi: byte ranges to remove (they may overlap)."""
-    names = even_keys(docs.sparkSession)
-    first = materialise(judged(meeting(docs, names), HOT if hot is None else hot))
-    found = materialise(contested(docs, first.filter("anchor IS NOT NULL"), names))
-    second = materialise(sorted_out(found.filter("NOT hot").drop("hot")).union(judged(found.filter("hot").drop("hot"))))
-    return first.filter("anchor IS NULL").select("doc", "lo", "hi").union(second.select("doc", "lo", "hi"))
+    spark = docs.sparkSession
+    size = total_bytes(docs)
+    names = even_keys(spark, bucket_count(spark, size / 3))
+    limit = max(HOT, size // ((2 * WIDTH - GRAM) // 4) // HOT_KEYS)
+    told = materialise(recurring(meeting(docs, names), limit))
+    hot = told.filter("doc IS NULL").orderBy(F.desc("contents"), "hot").limit(HOT_KEYS).select("hot").collect()
+    told = told.filter("doc IS NOT NULL").select("doc", "keys")
+    hot = np.sort(np.array([r.hot for r in hot], np.int64).view(np.uint64))
+    if len(hot):
+        more = materialise(recurring(meeting(docs, names, hot), 2**62))
+        told = told.union(more.select("doc", "keys"))
+    names = even_keys(spark, bucket_count(spark, 2 * size))
+    sent = materialise(sending(docs, told, hot, names))
+    found = materialise(sorted_out(sent.filter("bucket IS NOT NULL").select("bucket", "body")))
+    return sent.filter("bucket IS NULL").select("doc", "lo", "hi").union(found)
 
 
 def cut(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int]:
