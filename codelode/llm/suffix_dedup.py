@@ -359,57 +359,61 @@ def sending(docs: DataFrame, told: DataFrame, hot: np.ndarray, names: np.ndarray
 class SuffixArray:
     """Suffixes of a list of byte strings, sorted by WIDTH symbols at least; a separator (symbol 0) follows each string."""
 
-    WORD = 7  # symbols of 9 bits in a word
-
     def __init__(self, data: np.ndarray, lengths: np.ndarray, width: int = WIDTH):
         self.width = width
         ends = np.cumsum(lengths + 1)
         text = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
         inside = np.ones(len(text), bool)
         inside[ends - 1] = False
-        text[inside] = data.astype(np.int64) + 1
+        used = np.bincount(data, minlength=256) > 0
+        text[inside] = np.cumsum(used)[data]  # symbols in the order of the bytes, without gaps
         self.text, self.n = text, len(text)
         self.left = np.repeat(ends - 1, lengths + 1) - np.arange(len(text))  # bytes up to the separator
-        padded = np.concatenate([text, np.zeros(width + 2 * self.WORD, np.int64)])
-        m = self.n + width + self.WORD
+        self.bits = max(1, int(used.sum()).bit_length())
+        self.symbols = 63 // self.bits  # in a word
+        padded = np.concatenate([text, np.zeros(width + 2 * self.symbols, np.int64)])
+        m = self.n + width + self.symbols
         self.word = np.zeros(m, np.int64)
-        for j in range(self.WORD):
-            self.word = (self.word << 9) | padded[j : j + m]
+        for j in range(self.symbols):
+            self.word = (self.word << self.bits) | padded[j : j + m]
         self.order = self._induce(self._sorted_small())
 
     def _small(self) -> np.ndarray:
         """Whether each suffix is smaller than its successor; decided by the next different symbol."""
         t = self.text
+        if not len(t):
+            return np.zeros(0, bool)
         change = np.flatnonzero(t[1:] != t[:-1])
-        after = np.append(change, self.n - 1)[np.searchsorted(change, np.arange(self.n))]
-        following = np.append(t, -1)[after + 1]
-        return t < following
+        rises = np.append(t[change] < t[change + 1], False)  # the last run is followed by nothing
+        return np.repeat(rises, np.diff(np.concatenate([[-1], change, [self.n - 1]])))
 
     def _sorted_small(self) -> np.ndarray:
-        """Stage one: direct sort of the suffixes smaller than their successors, word by word, within tied groups only."""
+        """Stage one: direct sort of the suffixes smaller than their successors, some symbols at a time, within tied groups only."""
         self.small = self._small()
         at = np.flatnonzero(self.small)
-        order = np.argsort(self.word[at], kind="stable")
-        at = at[order]
+        at = at[np.argsort(self.word[at])]
         value = self.word[at]
-        tied = np.concatenate([[False], value[1:] == value[:-1]]) if len(at) else np.zeros(0, bool)
-        group = np.cumsum(~tied)
-        depth = self.WORD
-        while depth < self.width + self.WORD:
-            # groups of one are settled
-            member = tied | np.append(tied[1:], False) if len(at) else tied
-            places = np.flatnonzero(member)
+        tied = np.zeros(len(at), bool)
+        tied[1:] = value[1:] == value[:-1]
+        depth = self.symbols
+        while depth < self.width + self.symbols:
+            member = tied.copy()
+            member[:-1] |= tied[1:]
+            places = np.flatnonzero(member)  # groups of one are settled
             if not len(places):
                 break
-            sub, g = at[places], group[places]
-            value = self.word[np.minimum(sub + depth, len(self.word) - 1)]
-            order = np.lexsort((value, g))
+            group = np.cumsum(~tied[places])
+            take = min((63 - int(group[-1]).bit_length()) // self.bits, self.symbols)
+            sub = at[places]
+            value = self.word[np.minimum(sub + depth, len(self.word) - 1)] >> (self.bits * (self.symbols - take))
+            key = (group << (self.bits * take)) | value
+            order = np.argsort(key)
             at[places] = sub[order]
-            value = value[order]
-            same = np.concatenate([[False], (value[1:] == value[:-1]) & (g[1:] == g[:-1])])
+            key = key[order]
+            same = np.zeros(len(key), bool)
+            same[1:] = key[1:] == key[:-1]
             tied[places] = same
-            group = np.cumsum(~tied)
-            depth += self.WORD
+            depth += take
         return at
 
     def _induce(self, small: np.ndarray) -> np.ndarray:
@@ -452,8 +456,10 @@ class SuffixArray:
         a = self.order
         same = np.zeros(len(a), bool)
         live = np.flatnonzero((self.left[a[1:]] >= self.width) & (self.left[a[:-1]] >= self.width)) + 1
-        for depth in [*range(0, self.width - self.WORD, self.WORD), self.width - self.WORD]:
-            live = live[self.word[a[live] + depth] == self.word[a[live - 1] + depth]]
+        step = min(self.symbols, self.width)
+        for depth in [*range(0, self.width - step, step), self.width - step]:
+            drop = self.bits * (self.symbols - step)
+            live = live[self.word[a[live] + depth] >> drop == self.word[a[live - 1] + depth] >> drop]
         same[live] = True
         return same
 
