@@ -301,28 +301,23 @@ def write_bytes(key, doc, lo, length, data) -> bytes:
     return np.concatenate([[len(key)], key.view(np.int64), doc, lo, length]).astype(np.int64).tobytes() + data.tobytes()
 
 
+def write_ranges(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
+    """Told from segments by a negative number."""
+    return np.concatenate([[-len(doc)], doc, lo, hi]).astype(np.int64).tobytes()
+
+
 def sending(docs: DataFrame, told: DataFrame, hot: np.ndarray, names: np.ndarray) -> DataFrame:
-    """Packed bytes of the segments with recurring keys, equal ones once (bucket, body); ranges of their later copies (doc, lo, hi)."""
+    """Packed bytes of the segments with recurring keys, equal ones once, by key; ranges of their later copies, by document."""
     own = told.groupBy("doc").agg(F.collect_list("keys").alias("keys"))
     rows = _keyed(docs).join(own.hint("shuffle_hash"), "doc").select("doc", "text", "keys")
-    schema = pa.schema([("bucket", pa.int32()), ("body", pa.binary()), ("doc", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
 
     def flush(held) -> pa.RecordBatch:
         key, content, doc, at, length, data = (np.concatenate(x) for x in zip(*held, strict=True))
         start = np.cumsum(length) - length
         first, later = representatives(key, content, doc, at, data, start, length)
-        gone = merged(doc[later], at[later], at[later] + length[later])
-        to = spread(key[first], len(names))
-        lists = [(b, write_bytes(key[i], doc[i], at[i], length[i], gather(data, start[i], length[i]))) for b, i in ((b, first[i]) for b, i in split(to, names))]
-        n, m = len(lists), len(gone[0])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([*[b for b, _ in lists], *[None] * m], pa.int32()),
-                pa.array([*[x for _, x in lists], *[None] * m], pa.binary()),
-                *[pa.array([*[None] * n, *x.tolist()], pa.int64()) for x in gone],
-            ],
-            schema=schema,
-        )
+        lists = [(b, write_bytes(key[i], doc[i], at[i], length[i], gather(data, start[i], length[i]))) for b, i in ((b, first[i]) for b, i in split(spread(key[first], len(names)), names))]
+        gone, lo, hi = merged(doc[later], at[later], at[later] + length[later])
+        return lists_of(lists + [(b, write_ranges(gone[i], lo[i], hi[i])) for b, i in split(spread(gone.view(np.uint64), len(names)), names)])
 
     def run(batches):
         marks, held, size = Fingerprints(), [], 0
@@ -353,7 +348,7 @@ def sending(docs: DataFrame, told: DataFrame, hot: np.ndarray, names: np.ndarray
         if held:
             yield flush(held)
 
-    return rows.mapInArrow(run, "bucket int, body binary, doc long, lo long, hi long")
+    return rows.mapInArrow(run, "bucket int, body binary")
 
 
 class SuffixArray:
@@ -498,13 +493,16 @@ def pieces(key: np.ndarray, length: np.ndarray, limit: int):
 
 
 def sorted_out(lists: DataFrame) -> DataFrame:
-    """Removed ranges: places of equal windows by suffix sorting, all but the first of each group."""
+    """Removed ranges: the given ones, and the places of equal windows by suffix sorting, all but the first of each group."""
 
     def run(table: pa.Table) -> pa.Table:
-        columns, data = [], []
+        columns, data, out = [np.zeros((4, 0), np.int64)], [np.zeros(0, np.uint8)], []
         for x in table.column("body"):
             body = x.as_py()
             n = int(np.frombuffer(body, np.int64, 1)[0])
+            if n < 0:
+                out.append(tuple(np.frombuffer(body, np.int64, -1, 8).reshape(3, -n)))
+                continue
             columns.append(np.frombuffer(body, np.int64, 4 * n, 8).reshape(4, n))
             data.append(np.frombuffer(body, np.uint8, -1, 8 + 32 * n))
         key, doc, lo, length = np.concatenate(columns, axis=1)
@@ -517,7 +515,7 @@ def sorted_out(lists: DataFrame) -> DataFrame:
             s, e = begin[i : i + 20_000] - a, begin[i : i + 20_000] + length[i : i + 20_000] - a
             content[i : i + 20_000] = rolling.spans(rolling.prefix(data[a:b]), s, e)
         first, later = representatives(key, content, doc, lo, data, begin, length)
-        out = [merged(doc[later], lo[later], lo[later] + length[later])]
+        out.append(merged(doc[later], lo[later], lo[later] + length[later]))
         key, doc, lo, length, begin = (x[first] for x in (key, doc, lo, length, begin))
         for i in pieces(key, length, PIECE):
             found, at = repeats(doc[i], lo[i], length[i], gather(data, begin[i], length[i]))
@@ -542,9 +540,7 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
         more = materialise(recurring(meeting(docs, names, hot), 2**62))
         told = told.union(more.select("doc", "keys"))
     names = even_keys(spark, bucket_count(spark, 2 * size))
-    sent = materialise(sending(docs, told, hot, names))
-    found = materialise(sorted_out(sent.filter("bucket IS NOT NULL").select("bucket", "body")))
-    return sent.filter("bucket IS NULL").select("doc", "lo", "hi").union(found)
+    return materialise(sorted_out(sending(docs, told, hot, names)))
 
 
 def cut(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int]:

@@ -309,6 +309,37 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot):
     assert got == brute_cut(list(enumerate(texts)))
 
 
+def test_suffix_dedup_cuts_long_texts_and_confirms_bytes(spark, monkeypatch):
+    """Texts beyond PART are looked at in parts; fingerprints that collide decide nothing."""
+    texts = planted(np.random.default_rng(9), 40)
+    texts.append("".join(texts[:30]))
+    monkeypatch.setattr(suffix_dedup, "PART", 300)
+    docs = table(spark, texts).repartition(3)
+    get = lambda: {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(docs).collect()}
+    assert get() == brute_cut(list(enumerate(texts)))
+    key = np.zeros(4, np.uint64)
+    data = np.frombuffer(b"aaaabbbbaaaabbbb", np.uint8)
+    at, length = np.arange(4), np.full(4, 4)
+    first, later = suffix_dedup.representatives(key, key, at, at * 0, data, at * 4, length)  # one fingerprint for all
+    assert sorted(first.tolist()) == [0, 1] and sorted(later.tolist()) == [2, 3]
+
+
+def test_suffix_dedup_hot_anchor(spark):
+    """A line in more different contexts than HOT: its anchors' segments are split by their windows."""
+    rng = np.random.default_rng(5)
+    line = "all rights reserved by the publisher of these pages; no part may be copied, sold or lent without consent, ever"
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9))
+    texts = [f"{word()} {word()} {word()} {line} {word()} {word()}" for _ in range(2300)]
+    monkeypatch = pytest.MonkeyPatch()
+    monkeypatch.setattr(suffix_dedup, "HOT", 2000)
+    docs = table(spark, texts).repartition(4)
+    names = suffix_dedup.even_keys(spark, 8)
+    hot = suffix_dedup.recurring(suffix_dedup.meeting(docs, names), 2000).filter("doc IS NULL").count()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.deduplicate(docs).collect()}
+    monkeypatch.undo()
+    assert hot > 0 and got == brute_cut(list(enumerate(texts)))
+
+
 def test_suffix_dedup_edges(spark, edge, empty):
     got = suffix_dedup.deduplicate(edge).collect()
     assert len(got) == len(TEXTS) + 1
