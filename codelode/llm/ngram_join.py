@@ -15,7 +15,9 @@
    are then connected need no more tests.  The last round tests every pair of sets
    that are still in different components, so no link between components is missed
    and no group is expanded into all its pairs while it is connected.
-   A group of more than GROUP sets is dealt as pairs of blocks, so no task holds it.
+   A group of more than GROUP sets is dealt in blocks, each with the most central
+   set of all; in the last round, if it is not yet connected, in pairs of blocks.
+   So no task holds it.
 5. Candidates pass the suffix filter, a bound on how much the rest of both sets
    differs: first by parity bitmaps of BITS bits that travel with the prefixes,
    then by counts in ranges of the fingerprint order.  Each pair is then verified
@@ -28,7 +30,8 @@ they come last in any order.  Which ones count as hot has no effect on results.
 Defined results: null text and text without words have an empty set and are
 linked with nothing; fewer words than a shingle make one shingle; repeated rows
 are one node; rows that share a doc_id are documents of their own; an empty table
-gives an empty table; other columns are ignored.  Fingerprints have 64 bits.
+gives an empty table; other columns are ignored.  Fingerprints have 64 bits.  The
+number of buckets follows the measured bytes, so what a worker holds does not grow.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, even_keys, materialise, mix, pack, read, text_blocks, texts, tune, unpack
+from .common import Rolling, bucket_count, even_keys, materialise, mix, pack, read, text_blocks, texts, total_bytes, tune, unpack
 from .components import components
 
 WORDS = 5
@@ -47,8 +50,10 @@ BLOCK = 2 << 20
 HOT_KEYS, HOT_SETS = 65_536, 1000
 #: Bits of the bitmaps and ranges of the suffix filter; groups up to SMALL try all their pairs at once; rounds before the last.
 BITS, RANGES, SMALL, ROUNDS = 512, 256, 6, 1
-#: Sets of one prefix fingerprint that one task holds.
-GROUP = 20_000
+#: Sets of one prefix fingerprint in a block.
+GROUP = 1000
+#: Bytes of packed postings for a byte of text.
+POSTING = 2.5
 SEED = 3
 
 
@@ -114,25 +119,25 @@ class Shingler:
 
 
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """kind 0: doc_id, n and sid of every document (sid null if n is 0); kind 1: sid is a fingerprint that n sets of a block hold."""
+    """kind 0: doc_id, n and sid of every document (sid null if n is 0), h a hash of its text; kind 1: sid is a fingerprint that n sets of a block hold."""
 
     def run(batches):
         make, often = Shingler(words), {}
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64())])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("h", pa.int64())])
         for rows, data, offsets in text_blocks(batches, limit=BLOCK):
             key, owner, size, mark = make.sets(data, offsets)
             sid = pa.array(mark.view(np.int64), mask=size == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(size), np.int32)), rows.column(0).cast(pa.int64()), pa.array(size.astype(np.int64)), sid], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(size), np.int32)), rows.column(0).cast(pa.int64()), pa.array(size.astype(np.int64)), sid, rows.column(2)], schema=schema)
             runs = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
             held = np.diff(np.append(runs, len(key)))
             for i in np.flatnonzero(held >= max(16, len(size) // 20)):
                 k = int(key[runs[i]].view(np.int64))
                 often[k] = often.get(k, 0) + int(held[i])
         keys, counts = list(often), list(often.values())
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.nulls(len(keys), pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int32)), pa.nulls(len(keys), pa.int64()), pa.array(counts, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(keys), pa.int64())], schema=schema)
 
     tune(docs.sparkSession)
-    return texts(docs).mapInArrow(run, "kind int, doc_id long, n long, sid long")
+    return texts(docs, F.xxhash64(F.col("text").cast("string")).alias("h")).mapInArrow(run, "kind int, doc_id long, n long, sid long, h long")
 
 
 def write_lists(sid: np.ndarray, n: np.ndarray, owner: np.ndarray, key: np.ndarray, more: np.ndarray | None = None) -> bytes:
@@ -332,15 +337,23 @@ def candidates(rows: DataFrame, last: bool, names: np.ndarray) -> DataFrame:
         out = np.unique(np.concatenate(found), axis=0)
         return pa.table({"x": pa.array(out[:, 0]), "y": pa.array(out[:, 1])})
 
-    large = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > GROUP)
-    large = materialise(large.select("key", F.ceil(F.col("m") / GROUP).cast("int").alias("blocks")))
+    size = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("own") / F.col("n")).alias("least")).filter(F.col("m") > GROUP)
+    blocks = F.when(F.col("lo") == F.col("hi"), 0).otherwise(F.ceil(F.col("m") / GROUP)).cast("int")
+    large = materialise(size.select("key", blocks.alias("blocks"), "least"))
     if not large.isEmpty():
-        # every row of a large group goes to each pair of blocks that its own block is in
-        rows = rows.join(large, "key", "left")
+        central = rows.join(large, "key").filter(F.col("own") / F.col("n") == F.col("least")).groupBy("key").agg(F.min("sid").alias("center"))
+        rows = rows.join(materialise(large.join(central, "key").select("key", "blocks", "center")), "key", "left").filter("blocks IS NULL OR blocks > 0")
         own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-        tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: F.xxhash64("key", F.least(b, own), F.greatest(b, own)))
-        rows = rows.withColumn("key", F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(tasks))).drop("blocks")
-    name = F.element_at(F.array(*[F.lit(int(k)) for k in names]), F.pmod(F.xxhash64("key"), F.lit(len(names))).cast("int") + 1)
+        every = F.sequence(F.lit(0), F.col("blocks") - 1)
+        if last:  # every row goes to each pair of blocks that its own block is in
+            tasks = F.transform(every, lambda b: F.xxhash64("key", F.least(b, own), F.greatest(b, own)))
+        else:  # every row goes to its own block, the most central one to all
+            tasks = F.transform(F.when(F.col("sid") == F.col("center"), every).otherwise(F.array(own)), lambda b: F.xxhash64("key", b))
+        rows = rows.withColumn("key", F.explode(F.when(F.col("blocks").isNull(), F.array("key")).otherwise(tasks))).drop("blocks", "center")
+    few = names[:4096]  # a literal of the plan; so many spread evenly by chance, too
+    name = F.element_at(F.array(*[F.lit(int(k)) for k in few]), F.pmod(F.xxhash64("key"), F.lit(len(few))).cast("int") + 1)
+    if len(names) > len(few):
+        name = F.pmod(F.xxhash64("key"), F.lit(len(names))).cast("int")
     return rows.withColumn("bucket", name).groupBy("bucket").applyInArrow(run, "x long, y long").distinct()
 
 
@@ -369,9 +382,9 @@ def links(pairs: DataFrame, alive: DataFrame) -> DataFrame:
 
 
 def join_sets(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents with n and sid, verified links x y that join all components, labels node root of linked sets)."""
+    """(documents with n, sid and h, verified links x y that join all components, labels node root of linked sets)."""
     spark = docs.sparkSession
-    names = even_keys(spark)
+    names = even_keys(spark, bucket_count(spark, POSTING * total_bytes(docs)))
     sets = materialise(shingle_sets(docs, words))
     hot_rows = sets.filter("kind = 1").groupBy("sid").agg(F.sum("n").alias("c")).filter(F.col("c") >= HOT_SETS).orderBy(F.desc("c"), "sid").limit(HOT_KEYS).collect()
     hot = np.sort(np.array([r.sid for r in hot_rows], np.int64).view(np.uint64))
@@ -389,38 +402,51 @@ def join_sets(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame
         labels = components(all_links, "x", "y")
     empty = spark.createDataFrame([], "x long, y long")
     labels = labels if labels is not None else empty.toDF("node", "root")
-    return sets.filter("kind = 0").select("doc_id", "n", "sid"), all_links if all_links is not None else empty, labels
+    return sets.filter("kind = 0").select("doc_id", "n", "sid", "h"), all_links if all_links is not None else empty, labels
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links)."""
+    """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), root (of its component, null for an empty set), h (hash of the text)."""
     found, _, labels = join_sets(docs, words)
     first = found.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"))
     of = first.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
     least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = of.join(least, "root").select(F.col("sid").alias("of"), "component_id")
-    return found.join(of, F.col("sid") == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of = of.join(least, "root").select(F.col("sid").alias("of"), "component_id", "root")
+    return found.join(of, F.col("sid") == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root", "h")
 
 
-#: Ids of dropped documents that may be sent to every executor (8 bytes each); beyond, they are joined by id.
+#: Ids of dropped documents that may be sent to every executor (16 bytes each); beyond, they are joined by id.
 BROADCAST_IDS = 500_000
 
 
 def keep_one(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """The documents with all their columns, of each component only the one of smallest doc_id; equal rows once."""
+    """The documents with all their columns, of each component only the one of smallest doc_id; equal rows once.
+
+    Of several texts with that doc_id the one of least hash stays; rows without a doc_id stay."""
     found = materialise(near_duplicates(docs, words))
-    gone = found.filter("component_id != doc_id").select("doc_id").distinct()
-    kept = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
-    twice = found.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    gone = found.filter("component_id != doc_id").select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"))
+    twice = found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__twice"))
     n = twice.count()
+    if n:  # some ids stand for several rows: each is a document of its own
+        same = found.filter("component_id = doc_id AND root IS NOT NULL").join(twice, F.col("doc_id") == F.col("__twice"))
+        least = same.groupBy(F.col("root").alias("of"), F.col("doc_id").alias("id")).agg(F.min("h").alias("least"))
+        worse = same.join(least, (F.col("root") == F.col("of")) & (F.col("doc_id") == F.col("id"))).filter("h != least")
+        gone = gone.union(worse.select("doc_id", "h"))
+    gone = gone.distinct()
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    same_row = docs["doc_id"] == F.col("__doc")
+    if n:
+        same_row = same_row & (F.xxhash64(docs["text"].cast("string")) == F.col("__h"))
+    kept = docs.join(gone, same_row, "left_anti")
     if not n:
         return kept
     twice = F.broadcast(twice) if n <= BROADCAST_IDS else twice
-    return kept.join(twice, "doc_id", "left_anti").union(kept.join(twice, "doc_id", "left_semi").dropDuplicates())
+    of = kept["doc_id"] == F.col("__twice")
+    return kept.join(twice, of, "left_anti").union(kept.join(twice, of, "left_semi").dropDuplicates())
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = r"""
