@@ -214,12 +214,95 @@ def test_decontamination_keeps_what_does_not_conflict(spark):
     assert got[0, 0].n_changed == 2 and got[1, 1].n_covered >= 50 and got[2, 2].n_changed == 0
 
 
-def test_decontamination_blocks_agree(spark, monkeypatch):
+def test_decontamination_ignores_the_size_of_the_bitmap(spark, monkeypatch):
     want = sorted(map(tuple, decontam.op3_decontamination(spark, SF).collect()))
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", 3000)
+    monkeypatch.setattr(decontam, "MAP_BITS", 64)
     assert sorted(map(tuple, decontam.op3_decontamination(spark, SF).collect())) == want
 
 
+def brute_words(text):
+    """(word as read, type or None, folded, begins a sentence) of every word, by the rules of the docstring."""
+    out, begins = [], True
+    for raw in (text or "").split():
+        word = raw.strip(decontam.OUTER)
+        low = word.casefold()
+        if low:
+            unit = re.fullmatch(r"[+-]?[0-9][0-9.,]*([a-zµ°]{1,3})", low)
+            if re.fullmatch(r"[+-]?[$€£]?[0-9][0-9.,:/]*(e[+-]?[0-9]+)?%?", low) or low in decontam.NUMBER_WORDS:
+                kind = "number"
+            elif unit and unit[1] in decontam.UNITS:
+                kind = "measure"
+            else:
+                kind = "unit" if low in decontam.UNITS else "name" if word[0].isupper() else None
+            out.append((word, kind, low, begins))
+        begins = raw.rstrip("\"')]»”’")[-1:] in (".", "!", "?", ":")
+    plain = {w for w, *_ in out if w[:1].islower()}
+    return [(w, k, low, first, first and w[:1].isupper() and low in plain) for w, k, low, first in out]
+
+
+def brute_readings(window):
+    named = [f"<{k}>" if k else low for _, k, low, _, _ in window]
+    mixed = [low if k == "name" and first else f"<{k}>" if k else low for _, k, low, first, _ in window]
+    plain = [low if k == "name" else f"<{k}>" if k else low for _, k, low, *_ in window]
+    need = min(3, len(window) - 1)
+    full = lambda r: sum(not x.startswith("<") for x in r) >= need
+    return {tuple(r) for r in (named, mixed, plain) if full(r)} | (set() if full(named) else {tuple(x[2] for x in window)})
+
+
+def brute_leaks(docs, items):
+    out = set()
+    for (d, text), (i, item) in ((x, y) for x in docs for y in items):
+        theirs, ours = brute_words(text), brute_words(item)
+        width = min(len(ours), 8)
+        if not width or (width < 4 and len(theirs) != width):
+            continue
+        shifts = collections.defaultdict(dict)
+        for q in range(len(ours) - width + 1):
+            mine = ours[q : q + width]
+            for p in range(len(theirs) - width + 1):
+                pairs = list(zip(mine, theirs[p : p + width], strict=True))
+                fits = all(a[2] == b[2] or (a[1] and a[1] == b[1] and not (a[1] == "name" and (a[4] or b[4]))) for a, b in pairs)
+                if fits and brute_readings(mine) & brute_readings([b for _, b in pairs]):
+                    shifts[p - q][q] = [(q + k, a[2], b[2]) for k, (a, b) in enumerate(pairs) if a[1]]
+        covered = set()
+        for found in shifts.values():
+            values = collections.defaultdict(set)
+            for slots in found.values():
+                for _, a, b in slots:
+                    values[a].add(b)
+            for q, slots in found.items():
+                if all(a == b or len(values[a]) == 1 for _, a, b in slots):
+                    covered |= set(range(q, q + width))
+        if covered and (len(covered) >= 20 or 2 * len(covered) >= len(ours)):
+            out.add((d, i, len(covered)))
+    return out
+
+
+PEOPLE = "Tom has 3 red apples. Anna takes 2 of them. Peter buys 5 more pears. Julia eats 4 of those plums. Karl sells 7 old books."
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = np.random.default_rng(12)
+    other = "Max has 9 red apples. Lisa takes 8 of them. Otto buys 6 more pears. Eva eats 1 of those plums. Ben sells 12 old books."
+    items = [PEOPLE, "Anna 3 kg, Ben 5 kg, Carl 7 kg, Dora 9 kg", "Why?", "two words", "A short item here", "The boat with 20 seats leaves the pier at 9 and the crew counts 17 guests.", None]
+    texts = [PEOPLE, other, PEOPLE.upper(), PEOPLE.lower(), "so: " + items[1], items[1].replace("Ben", "Bob"), "why?", "why not?", "Two words", "two words more"]
+    texts += ["and a short item here or there", "The boat with 30 seats leaves the pier at 8 and the crew counts 30 guests.", "Boat The boat with 20 seats leaves the pier at 9 and the crew counts 17 guests.", None, ""]
+    texts += ["Red apples. Max has 9 red apples. The takes 8 of them. the Otto buys 6 more pears.", PEOPLE.replace("Tom", "The").replace("Peter", "the")]
+    for _ in range(60):
+        words = str(rng.choice([PEOPLE, other, items[5], items[1]])).split()
+        for _ in range(rng.integers(0, 5)):
+            k = rng.integers(0, len(words))
+            words[k] = str(rng.choice(["Tom", "7", "apples.", "the", "Boat", "kg", "9"]))
+        texts.append(" ".join([*words[rng.integers(0, 6) :], *words[: rng.integers(0, 12)]]))
+    docs, bench = table(spark, texts).repartition(4), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_covered) for r in decontam.find_leaks(docs, bench).collect()}
+    assert got == brute_leaks(list(enumerate(texts)), list(enumerate(items)))
+    assert {(0, 0), (1, 0), (2, 0), (3, 0), (4, 1), (6, 2), (8, 3), (10, 4), (11, 5)} <= {(d, i) for d, i, _ in got} and not {d for d, *_ in got} & {7, 9, 13, 14}
+    twice = docs.union(docs.filter("doc_id = 0"))
+    assert {(r.doc_id, r.item_id, r.n_covered) for r in decontam.find_leaks(twice, bench).collect()} == got
+    assert sorted(r.doc_id for r in decontam.clean(twice, bench).collect()) == sorted(set(range(len(texts))) - {d for d, *_ in got})
+
+
 # ---- 4: quality
 
 
