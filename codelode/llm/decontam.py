@@ -40,10 +40,9 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest as digest
 
 from .common import BUCKET_BYTES, materialise, mix, read, text_blocks, texts, tune
 
@@ -72,11 +71,6 @@ OUTER, ENDS = "\"'`.,;:!?()[]{}<>*_#&|~«»“”‘’¿¡-–—…", (".", "!
 BETWEEN = "\x1f"
 
 
-def code(word: str) -> int:
-    """A 64-bit value of a literal word, above the placeholders."""
-    return xxhash.xxh3_64_intdigest(word) | 16
-
-
 class Words(dict):
     """Index of each different raw word into tables: template code (capitalised words as names), the same (as words), value, ends a sentence."""
 
@@ -90,9 +84,9 @@ class Words(dict):
         self.rows: list[tuple[int, int, int, int]] = []  # not yet in the table
         self.table = np.zeros((0, 4), np.uint64)
 
-    def kinds(self, word: str, low: str) -> tuple[int, int]:
+    def kinds(self, word: str, low: str, value: int) -> tuple[int, int]:
         """Codes of a word without its outer punctuation: as a name where it has a capital; as a word."""
-        if low and low[0] in "0123456789+-$€£":
+        if low[0] in "0123456789+-$€£":
             if NUMBER.fullmatch(low):
                 return NUM, NUM
             if (m := NUMBER_UNIT.fullmatch(low)) and m[1] in self.units:
@@ -101,14 +95,17 @@ class Words(dict):
             return NUM, NUM
         if low in self.units:
             return UNIT, UNIT
-        value = code(low) if low else 0
-        return (NAME if word[:1].isupper() else value), value
+        return (NAME if word[0].isupper() else value), value
 
     def __missing__(self, raw: str) -> int:
         word = raw.strip(OUTER)
         low = word.casefold()
         self[raw] = place = len(self.table) + len(self.rows)
-        self.rows.append((*self.kinds(word, low), code(low) if low else 0, int(raw.rstrip("\"')]»”’")[-1:] in ENDS)))
+        if low:
+            value = digest(low) | 16  # above the placeholders
+            self.rows.append((*self.kinds(word, low, value), value, int(raw[-1] != word[-1] and raw.rstrip("\"')]»”’")[-1:] in ENDS)))
+        else:
+            self.rows.append((0, 0, 0, int(raw.rstrip("\"')]»”’")[-1:] in ENDS)))
         return place
 
     def templates(self, texts: list[str]) -> tuple[np.ndarray, ...]:
@@ -247,7 +244,7 @@ def compatible(ours: list[str], theirs: list[str], common: str, their_common: st
     for i, (a, b) in enumerate(zip(ours, theirs, strict=True)):
         x, y = a.strip(OUTER), b.strip(OUTER)
         low, other = x.casefold(), y.casefold()
-        mine, its = vocabulary.kinds(x, low)[0], vocabulary.kinds(y, other)[0]
+        mine, its = vocabulary.kinds(x, low, 16)[0], vocabulary.kinds(y, other, 16)[0]
         if low != other and (mine != its or mine >= 16 or (mine == NAME and "c" in (common[i], their_common[i]))):
             return False, []
         if mine < 16:
