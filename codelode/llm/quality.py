@@ -119,6 +119,11 @@ def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 5
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """False for a null doc_id: such rows are neither learned from nor held out."""
+    return F.coalesce(remainder(doc_id) == 0, F.lit(False)).alias("held_out")
+
+
 class Model:
     """Standardisation, Fourier features, ridge weights, calibration; all of fixed size."""
 
@@ -223,7 +228,7 @@ def score(stats: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
     scored = stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (remainder() == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -3,15 +3,20 @@
 A text is the set of its words and of their beginnings of 3 to 6 bytes, lower
 case.  Logistic regression over the features that go with the label is fitted
 with two penalties: the usual one on the weights, and one on what swapping an
-identity term changes.  Every sentence of the training rows that names a group is
-rewritten with the other terms of its kind and with the neutral word; the squared
-change of the score, summed over all rewritten sentences, is penalised.  Merely
-naming a group then adds nothing to a score.
+identity term changes.  Every sentence of the training rows is rewritten:
+* a sentence that names a group, with each other term of its kind;
+* any sentence, with the neutral word of each kind in the place of one of its words
+  (the one of least fingerprint), and then with each other term there.
+The squared change of the score, summed over all rewritten sentences, is
+penalised.  Merely naming a group then adds nothing to a score.  Terms are those of
+four languages; which language a row is in is not asked.
 
 Rows to learn from: labelled rows whose crc32(doc_id as text) mod 5 is not 0; of
 these at most TRAIN_ROWS, those of least hash of doc_id.  The model has at most
-MAX_FEATURES weights; nothing else reaches the driver but sums by feature and the
-selected features of the training rows.
+MAX_FEATURES weights; nothing else reaches the driver but sums by feature, the
+selected features of the training rows, and the penalty, summed by the workers for
+each pair of features that a swap changes together (at most what the list of terms
+has, whatever the number of rows).
 
 Defined results: null text scores as the empty text; null labels and labels
 without a document are ignored; repeated rows get the same score; without labels
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Rolling, read, text_blocks, texts, tune
-from .quality import remainder
+from .quality import held_out, remainder
 
 TRAIN_ROWS, MAX_FEATURES = 30_000, 4096
 #: A feature is selected if so many toxic training rows have it and it stands out by so many standard deviations.
@@ -38,15 +43,33 @@ RIDGE, CALIBRATION_RIDGE, FAIRNESS, STEPS = 0.05, 0.1, 5.0, 150
 PREFIXES = (3, 4, 5, 6)
 CUT = 0.5
 
-# Identity terms by kind; the first of each kind is the neutral word.
+# Identity terms by language and kind; the first of each kind is the neutral word.
 IDENTITY = {
-    "people": "people men women boys girls teenagers elders immigrants refugees foreigners".split(),
-    "person": "person man woman boy girl immigrant refugee foreigner teenager".split(),
-    "faith": "believers christians muslims jews hindus buddhists sikhs atheists catholics protestants".split(),
-    "faithful": "religious christian muslim jewish hindu buddhist sikh atheist catholic protestant".split(),
-    "origin": "local black white asian african european american latino arab indian chinese mexican".split(),
-    "orientation": "married gay lesbian bisexual straight transgender queer".split(),
-    "ability": "healthy disabled blind deaf autistic".split(),
+    "en people": "people men women boys girls teenagers elders immigrants refugees foreigners",
+    "en person": "person man woman boy girl immigrant refugee foreigner teenager",
+    "en faith": "believers christians muslims jews hindus buddhists sikhs atheists catholics protestants",
+    "en faithful": "religious christian muslim jewish hindu buddhist sikh atheist catholic protestant",
+    "en origin": "local black white asian african european american latino arab indian chinese mexican",
+    "en orientation": "married gay lesbian bisexual straight transgender queer",
+    "en ability": "healthy disabled blind deaf autistic",
+    "fr people": "gens hommes femmes garçons filles adolescents immigrés réfugiés étrangers",
+    "fr person": "personne homme femme garçon fille immigré réfugié étranger",
+    "fr faith": "croyants chrétiens musulmans juifs hindous bouddhistes athées catholiques protestants",
+    "fr origin": "local noir blanc asiatique africain européen américain arabe indien chinois mexicain",
+    "fr orientation": "marié gay lesbienne bisexuel hétérosexuel transgenre homosexuel",
+    "fr ability": "valide handicapé aveugle sourd autiste",
+    "de people": "leute männer frauen jungen mädchen jugendliche einwanderer flüchtlinge ausländer",
+    "de person": "person mann frau junge mädchen einwanderer flüchtling ausländer",
+    "de faith": "gläubige christen muslime juden hindus buddhisten atheisten katholiken protestanten",
+    "de origin": "einheimisch schwarz weiß asiatisch afrikanisch europäisch amerikanisch arabisch indisch chinesisch mexikanisch",
+    "de orientation": "verheiratet schwul lesbisch bisexuell heterosexuell transgender queer",
+    "de ability": "gesund behindert blind taub autistisch",
+    "es people": "gente hombres mujeres chicos chicas adolescentes inmigrantes refugiados extranjeros",
+    "es person": "persona hombre mujer chico chica inmigrante refugiado extranjero",
+    "es faith": "creyentes cristianos musulmanes judíos hindúes budistas ateos católicos protestantes",
+    "es origin": "local negro blanco asiático africano europeo americano árabe indio chino mexicano",
+    "es orientation": "casado gay lesbiana bisexual heterosexual transgénero homosexual",
+    "es ability": "sano discapacitado ciego sordo autista",
 }
 SENTENCE = np.zeros(256, bool)
 SENTENCE[[ord(c) for c in ".!?\n"]] = True
@@ -173,6 +196,7 @@ class Model:
         self.weights = np.zeros(len(keys))
         self.bias = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
         self.constant = prior if prior in (0.0, 1.0) else None
+        self.rewritten = 0  # sentences that the penalty saw
         self.seen = np.zeros(1 << 20, bool)
         self.seen[self.keys >> np.uint64(44)] = True
 
@@ -202,21 +226,22 @@ class Model:
         z = self.bias + np.bincount(of, self.weights[at], minlength=n)[:n]
         return np.round(1 / (1 + np.exp(-np.clip(z, -30, 30))), 6)
 
-    def fit(self, of: np.ndarray, at: np.ndarray, y: np.ndarray, changes: np.ndarray) -> None:
-        """Damped diagonal steps on the summed logistic loss with both penalties; changes: one row of feature changes per rewritten sentence, weighted."""
+    def fit(self, of: np.ndarray, at: np.ndarray, y: np.ndarray, fair: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
+        """Damped diagonal steps on the summed logistic loss with both penalties; fair: the penalty's matrix as (row, column, value)."""
         n, d = len(y), len(self.keys)
         if not d:
             return
-        fair = changes.T @ changes if len(changes) else np.zeros((1, 1))
+        i, j, v = fair
         w, b = np.zeros(d), self.bias
         rate = np.bincount(at, minlength=d)
+        bound = np.bincount(i, np.abs(v), minlength=d)
+        active = np.bincount(of, minlength=n)
         for _ in range(STEPS):
             p = 1 / (1 + np.exp(-np.clip(b + np.bincount(of, w[at], minlength=n), -30, 30)))
             r = p - y
-            g = np.bincount(at, r[of], minlength=d) + RIDGE * w + FAIRNESS * (fair @ w if len(changes) else 0)
+            g = np.bincount(at, r[of], minlength=d) + RIDGE * w + FAIRNESS * np.bincount(i, v * w[j], minlength=d)
             # a bound on the curvature of each feature: diagonal steps need no dense matrix of the data
-            active = np.bincount(of, minlength=n)
-            h = np.bincount(at, (np.maximum(p * (1 - p), 0.02) * np.maximum(active, 1))[of], minlength=d) + RIDGE + FAIRNESS * np.abs(fair).sum(1)
+            h = np.bincount(at, (np.maximum(p * (1 - p), 0.02) * np.maximum(active, 1))[of], minlength=d) + RIDGE + FAIRNESS * bound
             w = np.maximum(w - g / np.maximum(h, 1e-9), 0)  # selected features speak for the label only
             b -= r.sum() / (0.25 * n)
         w[rate == 0] = 0
@@ -225,38 +250,76 @@ class Model:
         self.weights, self.bias = slope * w, slope * b + shift
 
 
-def change_rows(reader: Reader, model: Model, data: np.ndarray, offsets: np.ndarray, swaps: dict[int, list[tuple]]) -> Counter:
-    """How often swapping a term in a sentence changes the features in a given way: a key lists (index, -1 or 1)."""
-    marks, of, start = reader.words(data, offsets)
-    found: Counter = Counter()
-    named = np.flatnonzero(np.isin(marks[-1], np.array(list(swaps), np.uint64)))
-    if not len(named):
-        return found
-    breaks = np.cumsum(SENTENCE[data])
-    sentence = breaks[start] + of * (int(breaks[-1]) + 2)
-    order = np.argsort(sentence, kind="stable")
-    for w in named.tolist():
-        lo, hi = np.searchsorted(sentence[order], [sentence[w], sentence[w] + 1])
-        rest = order[lo:hi]
-        rest = rest[rest != w]
-        others = {int(x) for m in marks for x in m[rest]}
-        for old, new in swaps[int(marks[-1][w])]:
-            lost, won = set(old) - set(new) - others, set(new) - set(old) - others
-            keys = np.array([*lost, *won], np.uint64)
-            at = model.places(keys)
-            change = tuple(sorted((int(i), -1 if j < len(lost) else 1) for j, i in enumerate(at) if i >= 0))
-            if change:
-                found[change] += 1
-    return found
-
-
-def all_swaps(reader: Reader) -> dict[int, list[tuple]]:
-    out: dict[int, list[tuple]] = {}
-    for terms in IDENTITY.values():
-        for a in terms:
-            features = reader.word(a)
-            out.setdefault(features[-1], []).extend((features, reader.word(b)) for b in terms if b != a)
-    return out
+class Swaps:
+    """What swapping terms changes: selected features of every term, and the penalty's matrix summed over sentences."""
+
+    def __init__(self, reader: Reader, model: Model):
+        self.model = model
+        self.terms: list[tuple[int, list[frozenset]]] = []  # fingerprint of a term; features of the terms of its kind, its own first
+        self.places: dict[int, list[int]] = {}  # fingerprint: places in terms
+        self.inserts: list[tuple[frozenset, frozenset]] = []
+        for words in IDENTITY.values():
+            marks = [reader.word(w) for w in words.split()]
+            features = [frozenset(i for i in model.places(np.array(m, np.uint64)).tolist() if i >= 0) for m in marks]
+            self.inserts += [(features[0], x) for x in features[1:]]
+            for k, m in enumerate(marks):
+                self.places.setdefault(m[-1], []).append(len(self.terms))
+                self.terms.append((m[-1], [features[k], *features[:k], *features[k + 1 :]]))
+        self.mine = np.zeros(len(model.keys) + 1, bool)  # features of any term; the last entry is for -1
+        for _, features in self.terms:
+            self.mine[list(features[0])] = True
+        self.named_marks = np.array(list(self.places), np.uint64)
+        self.carriers: Counter = Counter()
+        self.named: Counter = Counter()
+
+    def count(self, reader: Reader, data: np.ndarray, offsets: np.ndarray) -> None:
+        """Count the sentences of a block by the term features that their other words have."""
+        marks, of, start = reader.words(data, offsets)
+        if not len(of):
+            return
+        breaks = np.cumsum(SENTENCE[data])
+        sentence = breaks[start] + of * (int(breaks[-1]) + 2)
+        begin = np.flatnonzero(np.concatenate([[True], sentence[1:] != sentence[:-1]]))
+        number = np.cumsum(np.concatenate([[0], sentence[1:] != sentence[:-1]]))
+        least = np.minimum.reduceat(marks[-1], begin)
+        replaced = np.full(len(begin), -1)
+        hit = np.flatnonzero(marks[-1] == least[number])
+        replaced[number[hit][::-1]] = hit[::-1]
+        held: dict[int, list[tuple[int, int]]] = {}
+        for m in marks:
+            at = self.model.places(m)
+            for w in np.flatnonzero(self.mine[at]).tolist():
+                held.setdefault(int(number[w]), []).append((w, int(at[w])))
+        self.carriers[()] += len(begin) - len(held)
+        for s, pairs in held.items():
+            self.carriers[tuple(sorted({i for w, i in pairs if w != replaced[s]}))] += 1
+        for w in np.flatnonzero(np.isin(marks[-1], self.named_marks)).tolist():
+            rest = tuple(sorted({i for x, i in held.get(int(number[w]), []) if x != w}))
+            for k in self.places[int(marks[-1][w])]:
+                self.named[k, rest] += 1
+
+    def matrix(self) -> tuple[int, dict[tuple[int, int], float]]:
+        """Rewritten sentences, and the sum of the outer products of what they change."""
+        total: dict[tuple[int, int], float] = {}
+        rewritten = 0
+
+        def add(old: frozenset, new: frozenset, others: frozenset, times: int) -> None:
+            change = [(i, -1) for i in old - new - others] + [(i, 1) for i in new - old - others]
+            for i, a in change:
+                for j, b in change:
+                    total[i, j] = total.get((i, j), 0.0) + times * a * b
+
+        for rest, times in self.carriers.items():
+            rewritten += times * len(self.inserts)
+            for old, new in self.inserts:
+                if old or new:
+                    add(old, new, frozenset(rest), times)
+        for (k, rest), times in self.named.items():
+            own, *others = self.terms[k][1]
+            rewritten += times * len(others)
+            for new in others:
+                add(own, new, frozenset(rest), times)
+        return rewritten, total
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
@@ -268,31 +331,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         return Model(np.zeros(0, np.uint64), 1.0 if n1 else 0.0)
     model = Model(select_features(rows, n1, n0), n1 / (n1 + n0))
 
+    schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("y", pa.int64()), ("body", pa.binary()), ("value", pa.float64())])
+
     def small(batches):
         reader = Reader()
-        swaps, changes = all_swaps(reader), Counter()
+        swaps = Swaps(reader, model)
         for block, data, offsets in text_blocks(batches):
             of, at = model.selected(reader, data, offsets)
-            changes += change_rows(reader, model, data, offsets, swaps)
+            swaps.count(reader, data, offsets)
             cuts = np.searchsorted(of, np.arange(len(block) + 1))
             lists = [at[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-            y = block.column(2).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(block), np.int32)), block.column(0), y, pa.array(lists, pa.binary())], names=["kind", "doc_id", "y", "body"])
-        flat = [np.array(k, np.int32).tobytes() for k in changes]
-        n = len(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.nulls(n, pa.int64()), pa.array(list(changes.values()), pa.int64()), pa.array(flat, pa.binary())], names=["kind", "doc_id", "y", "body"])
-
-    found = rows.mapInArrow(small, "kind int, doc_id long, y long, body binary").groupBy("kind", "doc_id", "body").agg(F.sum("y").alias("s"), F.max("y").alias("y")).collect()
+            n = len(block)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * n, pa.int32()), block.column(0), block.column(2).cast(pa.int64()), pa.array(lists, pa.binary()), pa.array([0.0] * n)], schema=schema)
+        rewritten, total = swaps.matrix()
+        bodies = [b"", *[np.array(k, np.int32).tobytes() for k in total]]
+        n = len(bodies)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([2, *[1] * (n - 1)], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(bodies, pa.binary()), pa.array([float(rewritten), *total.values()])], schema=schema
+        )
+
+    found = rows.mapInArrow(small, "kind int, doc_id long, y long, body binary, value double").groupBy("kind", "doc_id", "body").agg(F.max("y").alias("y"), F.sum("value").alias("value")).collect()
     known = sorted((r for r in found if r.kind == 0), key=lambda r: (r.doc_id, bytes(r.body)))
     lists = [np.frombuffer(r.body, np.int32) for r in known]
     of = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     at = np.concatenate(lists).astype(int) if lists else np.zeros(0, int)
-    swapped = sorted((bytes(r.body), r.s) for r in found if r.kind == 1)
-    changes = np.zeros((len(swapped), len(model.keys)))
-    for row, (body, times) in zip(changes, swapped, strict=True):
-        i, sign = np.frombuffer(body, np.int32).reshape(-1, 2).T
-        np.add.at(row, i, sign * np.sqrt(times))
-    model.fit(of, at, np.array([r.y for r in known], float), changes)
+    fair = sorted((bytes(r.body), r.value) for r in found if r.kind == 1)
+    pairs = np.array([np.frombuffer(b, np.int32) for b, _ in fair], int).reshape(-1, 2)
+    model.rewritten = int(sum(r.value for r in found if r.kind == 2))
+    model.fit(of, at, np.array([r.y for r in known], float), (pairs[:, 0], pairs[:, 1], np.array([v for _, v in fair])))
     return model
 
 
@@ -307,7 +373,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     tune(docs.sparkSession)
     scored = texts(docs).mapInArrow(run, "doc_id long, score double")
-    return scored.select("doc_id", (remainder() == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
