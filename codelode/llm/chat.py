@@ -1,12 +1,24 @@
 """Chat formatting in budgeted windows, in DataFrame operations only.
 
-Prefix sums of turn tokens cut a conversation into spans that end at turns: a
-turn belongs to span number (tokens up to its end - 1) / half the budget, so a
-span holds at most the budget unless one turn alone is larger.  Each span is
-formatted as one window: the leading system turn again, the last turns of the
-span before (up to a token limit) as history, then its own turns.  Only the
-texts of a window's own assistant turns are under its loss mask, so repeated
-turns never count twice.
+Prefix sums of turn tokens cut a conversation into spans that end at turns.  BUDGET
+less SYSTEM (kept free for the system turn) and HISTORY is the room of a span's own
+turns.  A turn of more than a quarter of the room is a span of its own; the others
+between two such turns are cut where their prefix sum passes a multiple of three
+quarters of the room, so a span never has more than the room.  Each span is
+formatted as one window: the leading system turn again, the last turns of the span
+before as history (up to HISTORY tokens, and only what the budget leaves), then its
+own turns.  A window exceeds BUDGET only if the system turn and one turn alone do, or
+if the system turn has more than SYSTEM + HISTORY tokens.  Only the texts of a
+window's own assistant turns are under its loss mask, so repeated turns never count
+twice.
+
+Tokens are the matches of TOKEN, counted in the JVM (ASCII letters and digits in
+threes, every other sign, line feed and run of spaces), plus MARKS for the turn's marks; or
+the column that the caller names, for instance counts of a tokenizer.
+
+Prefix sums are taken in blocks of BLOCK turn numbers, then over the blocks' sums, so
+a long conversation is many tasks.  The digests below need a conversation's whole text
+in one row, as SHA-256 cannot be merged; the windows do not.
 
 Turns are written between start and end marks.  Control strings inside roles and
 texts get an escape character after their first character; the escape character
@@ -15,8 +27,8 @@ gives back the exact text.
 
 Defined results: null role and null text are empty; rows of one turn number are
 ordered by role and text, repeated rows stay; a null conv_id is a conversation of
-its own; an empty table gives an empty table; other columns are ignored.  The
-digest of a conversation needs its whole text in one row; windows are bounded.
+its own; a null turn comes first; an empty table gives an empty table; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -26,8 +38,9 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-#: Tokens of a window's own turns and of its history; characters a token stands for; tokens of a turn's marks.
-BUDGET, HISTORY, CHARS, MARKS = 2048, 256, 4, 4
+#: Tokens of a window, of its history, and those kept free for the system turn; tokens of a turn's marks; turn numbers in a block.
+BUDGET, HISTORY, SYSTEM, MARKS, BLOCK = 2048, 256, 512, 4, 4096
+TOKEN = r"[A-Za-z]{1,3}|\p{N}{1,3}|[\x09-\x0D]|[^\x20\x09-\x0DA-Za-z\p{N}]|\x20{2,}"
 START, END, ESCAPE = "<|im_start|>", "<|im_end|>\n", "␛"
 #: Control strings of common chat templates, split after the first character.
 CONTROL = r"(<|\[)(\|im_start\|>|\|im_end\|>|\|endoftext\|>|\|system\|>|\|user\|>|\|assistant\|>|s>|/s>|<SYS>>|</SYS>>|INST\]|/INST\])"
@@ -47,28 +60,64 @@ def unescape(x: Column) -> Column:
     return x
 
 
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """One row per window: conv_id, span, formatted, n_context (repeated turns in front), loss (start, length in code points)."""
-    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", F.ceil(F.length("text") / CHARS) + MARKS)
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+def _same(a: DataFrame, b: DataFrame, *keys: str) -> Column:
+    """Equal keys, null equal to null."""
+    out = F.lit(True)
+    for k in keys:
+        out = out & a[k].eqNullSafe(b["__" + k])
+    return out
+
+
+def _renamed(df: DataFrame, *keys: str) -> DataFrame:
+    return df.withColumnsRenamed({k: "__" + k for k in keys})
+
+
+def spans_of(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, system: int = SYSTEM, tokens: str | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """(turns with their place, tokens, span, tokens of the conversation so far; spans with their tokens, those of the next, and the last turn's prefix sum)."""
+    room = budget - system - history
+    if room < 8:
+        raise ValueError("the budget leaves no room for turns")
+    counted = F.regexp_count("text", F.lit(TOKEN)) if tokens is None else F.coalesce(F.col(tokens), F.lit(0))
+    rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *([] if tokens is None else [tokens]))
+    rows = rows.select("conv_id", "turn", "role", "text", (counted + MARKS).cast("long").alias("tokens"), F.coalesce(F.floor(F.col("turn") / block), F.lit(-(2**62))).alias("block"))
+    rows = rows.withColumn("wide", (F.col("tokens") * 4 > room).cast("long"))
+    order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumns({"ends": F.sum("tokens").over(so_far), "at": F.row_number().over(order), "head": F.first(F.struct("role", "text")).over(so_far)})
-    spans = (
-        rows.withColumn("span", F.floor((F.col("ends") - 1) / (budget // 2)))
-        .groupBy("conv_id", "span")
-        .agg(F.sort_array(F.collect_list(F.struct("at", "role", "text", "tokens", "ends"))).alias("own"), F.first("head").alias("head"))
-    )
-    spans = spans.withColumn("before", F.lag("own").over(Window.partitionBy("conv_id").orderBy("span")))
-    system = F.col("head.role") == "system"
-    kept = F.when(system & F.col("before").isNotNull(), F.array("head")).otherwise(F.array().cast("array<struct<role:string,text:string>>"))
-    end = F.element_at("before", -1)["ends"]
-    recent = F.filter("before", lambda t: (end - t["ends"] + t["tokens"] <= history) & ~(system & (t["at"] == 1)))
-    short = lambda ts: F.transform(ts, lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    context = F.concat(kept, short(F.coalesce(recent, F.array().cast(spans.schema["own"].dataType))))
-    spans = spans.select("conv_id", "span", "own", context.alias("context"))
-    written = F.transform(F.concat("context", short(F.col("own"))), lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("front"), escape(t["text"]).alias("body")))
-    spans = spans.select("conv_id", "span", F.size("context").alias("n_context"), written.alias("written"))
+    narrow = F.when(F.col("wide") == 0, F.col("tokens")).otherwise(0)
+    rows = rows.withColumns({"at": F.row_number().over(order), "n_wide": F.sum("wide").over(so_far), "n_narrow": F.sum(narrow).over(so_far), "ends": F.sum("tokens").over(so_far)})
+    sums = rows.groupBy("conv_id", "block").agg(F.sum("wide").alias("b_wide"), F.sum(narrow).alias("b_narrow"), F.sum("tokens").alias("b_tokens"))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("conv_id", "block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("b_wide", "b_narrow", "b_tokens")])
+    sums = _renamed(sums, "conv_id", "block")
+    rows = rows.join(sums, _same(rows, sums, "conv_id", "block")).drop("__conv_id", "__block")
+    major = 2 * (F.col("n_wide") + F.col("b_wide")) - F.col("wide")
+    minor = F.when(F.col("wide") == 1, 0).otherwise(F.floor((F.col("n_narrow") + F.col("b_narrow") - 1) / (room - room // 4)))
+    rows = rows.select("conv_id", "block", "at", "role", "text", "tokens", major.alias("major"), minor.cast("long").alias("minor"), (F.col("ends") + F.col("b_tokens")).alias("ends"))
+    spans = rows.groupBy("conv_id", "major", "minor").agg(F.sum("tokens").alias("own"), F.max("ends").alias("last"))
+    line = Window.partitionBy("conv_id").orderBy("major", "minor")
+    return rows, spans.withColumns({"span": F.row_number().over(line).cast("long") - 1, "next_own": F.lead("own").over(line)})
+
+
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, system: int = SYSTEM, tokens: str | None = None, block: int = BLOCK) -> DataFrame:
+    """One row per window: conv_id, span, n_tokens, formatted, n_context (repeated turns in front), loss (start, length in code points)."""
+    rows, spans = spans_of(turns, budget, history, system, tokens, block)
+    head = (F.col("ends") == F.col("tokens")) & (F.col("role") == "system")  # every turn has tokens, so only the first is all there is so far
+    heads = _renamed(rows.filter(head).select("conv_id", F.col("role").alias("h_role"), F.col("text").alias("h_text"), F.col("tokens").alias("h_tokens")), "conv_id")
+    spans = spans.join(heads, _same(spans, heads, "conv_id"), "left").drop("__conv_id")
+    place = _renamed(spans.select("conv_id", "major", "minor", "span", "last", "next_own", "h_tokens"), "conv_id", "major", "minor")
+    placed = rows.join(place, _same(rows, place, "conv_id", "major", "minor"))
+    tail = F.col("last") - F.col("ends") + F.col("tokens")
+    left = F.lit(budget) - F.coalesce("h_tokens", F.lit(0)) - F.col("next_own")
+    part = lambda kind, span: ["conv_id", span.alias("span"), F.struct(F.lit(kind).alias("kind"), "block", "at", "role", "text", "tokens").alias("t")]
+    own = placed.select(*part(2, F.col("span")))
+    recent = placed.filter(F.col("next_own").isNotNull() & (tail <= history) & (tail <= left) & ~head).select(*part(1, F.col("span") + 1))
+    first = spans.filter("span > 0 AND h_role IS NOT NULL").select("conv_id", "span", F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), F.lit(0).alias("at"), F.col("h_role").alias("role"), F.col("h_text").alias("text"), F.col("h_tokens").alias("tokens")).alias("t"))
+    spans = own.union(recent).union(first).groupBy("conv_id", "span").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    n_context = F.size(F.filter("turns", lambda t: t["kind"] < 2))
+    n_tokens = F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t["tokens"])
+    spans = spans.select("conv_id", "span", "turns", n_context.alias("n_context"), n_tokens.alias("n_tokens"))
+    written = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n")).alias("front"), escape(t["text"]).alias("body")))
+    spans = spans.select("conv_id", "span", "n_tokens", "n_context", written.alias("written"))
     ends = F.transform("written", lambda t: F.length(t["front"]) + F.length(t["body"]) + len(END))
     spans = spans.withColumn("lengths", ends)
     starts = F.transform(
@@ -81,7 +130,7 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     )
     loss = F.transform(F.filter(starts, lambda s: s["counts"]), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
     text = F.array_join(F.transform("written", lambda t: F.concat(t["front"], t["body"], F.lit(END))), "")
-    return spans.select("conv_id", "span", text.alias("formatted"), "n_context", loss.alias("loss"))
+    return spans.select("conv_id", "span", "n_tokens", text.alias("formatted"), "n_context", loss.alias("loss"))
 
 
 def read_turns(windows: DataFrame) -> DataFrame:
@@ -144,34 +193,40 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ESC = r"regexp_replace(replace({x}, chr(9243), chr(9243) || 'e'), '" + CONTROL + r"', '\1' || chr(9243) || 'x\2', 'g')"
+_ROOM = BUDGET - SYSTEM - HISTORY
 ORACLE = f"""
 WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'
 ), sized AS (
-  SELECT *, CAST(ceil(length(text) / {CHARS}.0) AS BIGINT) + {MARKS} AS tokens,
+  SELECT *, CAST(len(regexp_extract_all(text, '{TOKEN}')) AS BIGINT) + {MARKS} AS tokens,
     length('{START}') + length(replace({_ESC.format(x='role')}, chr(10), chr(9243) || 'n')) + 1
       + length({_ESC.format(x='text')}) + length('{END.strip()}') + 1 AS chars
   FROM rows_
 ), summed AS (
-  SELECT *, sum(tokens) OVER w AS ends, row_number() OVER w AS at_, first_value(role) OVER w AS head, first_value(chars) OVER w AS head_chars
+  SELECT *, sum(tokens) OVER w AS ends, sum(CASE WHEN 4 * tokens > {_ROOM} THEN 0 ELSE tokens END) OVER w AS narrow,
+    sum(CASE WHEN 4 * tokens > {_ROOM} THEN 1 ELSE 0 END) OVER w AS wide, row_number() OVER w AS at_
   FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-), spanned AS (SELECT *, CAST(floor((ends - 1) / {BUDGET // 2}.0) AS BIGINT) AS span FROM summed),
+), spanned AS (
+  SELECT *, CASE WHEN 4 * tokens > {_ROOM} THEN 2 * wide - 1 ELSE 2 * wide END AS major,
+    CASE WHEN 4 * tokens > {_ROOM} THEN 0 ELSE CAST(floor((narrow - 1) / {_ROOM - _ROOM // 4}.0) AS BIGINT) END AS minor FROM summed
+), heads AS (SELECT conv_id, tokens AS h_tokens, chars AS h_chars FROM spanned WHERE at_ = 1 AND role = 'system'),
 spans AS (
-  SELECT conv_id, span, max(ends) AS last_, sum(chars) AS own_chars, any_value(head) AS head, any_value(head_chars) AS head_chars
-  FROM spanned GROUP BY conv_id, span
-), chained AS (SELECT *, lag(span) OVER (PARTITION BY conv_id ORDER BY span) AS before FROM spans),
-history AS (
-  SELECT s.conv_id, s.span, sum(s.chars) AS chars FROM spanned s JOIN spans p USING (conv_id, span)
-  WHERE p.last_ - s.ends + s.tokens <= {HISTORY} AND NOT (s.head = 'system' AND s.at_ = 1) GROUP BY s.conv_id, s.span
+  SELECT conv_id, major, minor, sum(tokens) AS own, sum(chars) AS own_chars, max(ends) AS last_ FROM spanned GROUP BY ALL
+), chained AS (
+  SELECT *, lead(own) OVER (PARTITION BY conv_id ORDER BY major, minor) AS next_own, row_number() OVER (PARTITION BY conv_id ORDER BY major, minor) AS n FROM spans
+), history AS (
+  SELECT s.conv_id, sum(s.chars) AS chars FROM spanned s JOIN chained p USING (conv_id, major, minor) LEFT JOIN heads h USING (conv_id)
+  WHERE p.next_own IS NOT NULL AND p.last_ - s.ends + s.tokens <= least({HISTORY}, {BUDGET} - coalesce(h.h_tokens, 0) - p.next_own)
+    AND NOT (s.role = 'system' AND s.at_ = 1) GROUP BY s.conv_id
 ), sizes AS (
-  SELECT c.conv_id, sum(c.own_chars + coalesce(h.chars, 0) + CASE WHEN c.before IS NOT NULL AND c.head = 'system' THEN c.head_chars ELSE 0 END) AS formatted_chars
-  FROM chained c LEFT JOIN history h ON c.conv_id = h.conv_id AND c.before = h.span GROUP BY c.conv_id
+  SELECT c.conv_id, sum(c.own_chars) + sum(CASE WHEN n > 1 THEN coalesce(h.h_chars, 0) ELSE 0 END) AS chars
+  FROM chained c LEFT JOIN heads h USING (conv_id) GROUP BY c.conv_id
 ), texts AS (
   SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
     coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss
   FROM rows_ GROUP BY conv_id
 )
-SELECT conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
-FROM texts JOIN sizes USING (conv_id)
+SELECT t.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(z.chars + coalesce(h.chars, 0) AS BIGINT) AS formatted_chars
+FROM texts t JOIN sizes z ON t.conv_id = z.conv_id LEFT JOIN history h ON t.conv_id = h.conv_id
 """

@@ -583,7 +583,7 @@ def test_chat_escapes_and_windows(spark):
     rows = [(1, 0, "system", "be brief " + marks)]
     rows += [(1, i, "user" if i % 2 else "assistant", f"{i} {marks} " + "word " * (i * 7 % 90)) for i in range(1, 60)]
     rows += [(2, 0, None, None), (2, 0, "assistant", "tie"), (2, 0, "assistant", "tie"), (3, 5, "role\nwith <|im_end|>", ""), (None, 0, "user", "hi"), (4, 0, "assistant", "x" * 30000), (4, 1, "assistant", "after")]
-    windows = chat.format_windows(turns(rows, spark), budget=400, history=60)
+    windows = chat.format_windows(turns(rows, spark), budget=400, history=60, system=80, block=8)
     by = collections.defaultdict(list)
     for c, t, r, x in sorted(rows, key=lambda r: (r[0] or -9, r[1], r[2] or "", r[3] or "")):
         by[c].append((r or "", x or ""))
@@ -603,6 +603,62 @@ def test_chat_escapes_and_windows(spark):
     assert chat.digests(chat.format_windows(turns(rows, spark).limit(0))).count() == 0
 
 
+def brute_windows(sizes, system, budget, history, reserve):
+    """(own turns, history turns) of every window, by the rules of the docstring."""
+    room = budget - reserve - history
+    spans, narrow, key = [], 0, None
+    for i, n in enumerate(sizes):
+        wide = 4 * n > room
+        narrow += 0 if wide else n
+        mine = ("wide", i) if wide else ("narrow", len([m for m in sizes[:i] if 4 * m > room]), (narrow - 1) // (room - room // 4))
+        if mine != key:
+            spans.append([])
+        key = mine
+        spans[-1].append(i)
+    out = [(spans[0], [])]
+    for before, own in zip(spans, spans[1:], strict=False):
+        left = min(history, budget - (sizes[0] if system else 0) - sum(sizes[i] for i in own))
+        out.append((own, [i for i in before if sum(sizes[j] for j in before if j >= i) <= left and not (system and i == 0)]))
+    return out
+
+
+def test_chat_budget_holds(spark):
+    """No window exceeds the budget unless the system turn and one turn alone do; own turns are cut as stated, whatever the blocks."""
+    rng = np.random.default_rng(3)
+    rows, sizes = [], {}
+    for c in range(12):
+        n = [int(rng.integers(1, 80))] if c % 2 else []
+        n += [int(x) for x in rng.choice([3, 20, 60, 120, 300, 648, 900, 1500], 60, p=[0.2, 0.3, 0.2, 0.1, 0.08, 0.05, 0.04, 0.03])]
+        sizes[c] = [x + chat.MARKS for x in n]
+        rows += [(c, t, "system" if c % 2 and t == 0 else ("user", "assistant")[t % 2], " ".join(["w"] * x)) for t, x in enumerate(n)]
+    rows += [(50, t, "user", " ".join(["w"] * x)) for t, x in enumerate([648, 1500, 924])]
+    sizes[50] = [652, 1504, 928]
+    for block in (4, 4096):
+        made = collections.defaultdict(dict)
+        for r in chat.format_windows(turns(rows, spark), block=block).collect():
+            made[r.conv_id][r.span] = r
+        for c, n in sizes.items():
+            want = brute_windows(n, c % 2 == 1 and c < 50, chat.BUDGET, chat.HISTORY, chat.SYSTEM)
+            assert len(made[c]) == len(want)
+            for span, (own, recent) in enumerate(want):
+                r, head = made[c][span], n[0] if c % 2 and c < 50 and span else 0
+                assert (r.n_context, r.n_tokens) == (len(recent) + (head > 0), sum(n[i] for i in own + recent) + head)
+                assert r.n_tokens <= chat.BUDGET or len(own) == 1 and head + n[own[0]] > chat.BUDGET
+
+
+def test_chat_counts_of_a_tokenizer(spark):
+    """Counts of a vocabulary's tokens may be given; the count of the JVM is near them."""
+    talk = spark.read.parquet(f"{SF}/conversations.parquet")
+    codec = bpe.Codec(bpe.vocabulary())
+    texts = [(i, r.text or "") for i, r in enumerate(talk.collect())]
+    own = spark.createDataFrame(texts, "i long, text string").select("i", "text", chat.F.regexp_count("text", chat.F.lit(chat.TOKEN)).alias("n")).collect()
+    true = [len(codec.encode(r.text)) for r in own]
+    assert 0.8 < sum(r.n for r in own) / sum(true) < 1.5
+    given = [(1, t, "user", x, 40) for t, (_, x) in enumerate(texts[:80])]
+    made = chat.format_windows(spark.createDataFrame(given, "conv_id long, turn long, role string, text string, n_ids int"), budget=600, history=100, system=100, tokens="n_ids").collect()
+    assert max(r.n_tokens for r in made) <= 600 and sum(r.formatted.count(chat.START) - r.n_context for r in made) == 80
+
+
 def test_chat_sql(spark):
     got = chat.op8_chat_format(spark, SF)
     assert sorted(map(tuple, got.collect())) == sorted(views().execute(chat.ORACLE).fetchall())
