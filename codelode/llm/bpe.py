@@ -49,6 +49,9 @@ class Codec:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        before = spec.get("pre_tokenizer") or {}
+        if spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True):
+            raise ValueError("only vocabularies of plain byte-level BPE, without a normaliser, are encoded as their library does")
         letters = byte_letters()
         vocabulary = {bytes(letters[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if all(c in letters for c in piece)}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}

@@ -7,12 +7,14 @@ equations, and the solved ridge gives raw scores.  A fifth of the training rows,
 left out of the fit, gives the monotone map from raw scores to probabilities
 (pool adjacent violators over counts in fixed bins).
 
-Rows to learn from: labelled rows whose crc32(doc_id as text) mod 5 is not 0.
-Nothing but the text enters a score.  What reaches the driver has a fixed size.
+Rows to learn from: labelled rows whose crc32(doc_id as text) mod 5 is not 0; of
+these at most TRAIN_ROWS, those of least hash of doc_id.  Only their texts are looked
+at for learning, so every other text is read and scored once.  Nothing but the text
+enters a score.  What reaches the driver has a fixed size.
 
 Defined results: null text scores as the empty text; a null doc_id is never
 learned from; labels that are null or have no document are ignored; of repeated
-rows each gets the same score; without labels of both kinds the score is the
+labels of a document the highest counts; repeated rows get the same score; without labels of both kinds the score is the
 share of label 1 (0.5 without labels); an empty table gives an empty table.
 """
 
@@ -20,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +31,10 @@ from .common import Rolling, materialise, read, text_blocks, texts, tune
 FOURIER, RIDGE, WIDTH, BINS = 256, 1e-3, 0.15, 2000
 #: A row is predicted good from this score on.
 CUT = 0.3
-#: Sums of partitions meet in so many groups before they reach the driver.
-GROUPS = 8
+#: Most rows to learn from.
+TRAIN_ROWS = 200_000
+#: Sums of partitions meet in so many groups, these in so many, before they reach the driver.
+GROUPS = (1024, 32)
 CLASSES = 12
 
 
@@ -102,19 +107,6 @@ def features(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray, rolling
     )
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and its statistics as packed doubles, over every whole text."""
-
-    def run(batches):
-        classes, rolling = _byte_classes(), Rolling(5)
-        for rows, data, offsets in text_blocks(batches):
-            x = features(data, offsets, classes, rolling)
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "x"])
-
-    tune(docs.sparkSession)
-    return texts(docs).mapInArrow(run, "doc_id long, x binary")
-
-
 def remainder(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string")) % 5
 
@@ -148,7 +140,7 @@ class Model:
 
 
 def partition_sums(rows: DataFrame, of, size: int) -> np.ndarray:
-    """The sum of of(x, y) over all rows (x packed, y double): by partition, then in GROUPS groups, then on the driver."""
+    """The sum of of(x, y) over all rows (x packed, y double): by partition, then level by level in GROUPS groups, then on the driver."""
 
     def part(batches):
         total = np.zeros(size)
@@ -156,15 +148,17 @@ def partition_sums(rows: DataFrame, of, size: int) -> np.ndarray:
             if len(batch):
                 x = np.frombuffer(b"".join(batch.column(0).to_pylist()), float).reshape(len(batch), -1)
                 total += of(x, np.asarray(batch.column(1), float)).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(total[:64].tobytes(), "little") % GROUPS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "total"])
 
     def merge(table: pa.Table) -> pa.Table:
         total = np.zeros(size)
         for x in table.column("total").to_pylist():
             total += np.frombuffer(x, float)
-        return pa.table({"total": pa.array([total.tobytes()], pa.binary())})
+        return pa.table({"g": table.column("g").slice(0, 1), "total": pa.array([total.tobytes()], pa.binary())})
 
-    sums = rows.select("x", "y").mapInArrow(part, "g int, total binary").groupBy("g").applyInArrow(merge, "total binary")
+    sums = rows.select("x", "y").mapInArrow(part, "g int, total binary")
+    for groups in GROUPS:
+        sums = sums.withColumn("g", F.col("g") % groups).groupBy("g").applyInArrow(merge, "g int, total binary")
     return sum((np.frombuffer(r.total, float) for r in sums.collect()), np.zeros(size))
 
 
@@ -183,11 +177,25 @@ def pool(weight: np.ndarray, good: np.ndarray) -> np.ndarray:
     return levels[np.maximum(np.searchsorted(starts, np.arange(len(weight)), "right") - 1, 0)]
 
 
-def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
+def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = TRAIN_ROWS) -> DataFrame:
+    """x (statistics as packed doubles), y and aside (left out of the fit) of the rows to learn from; their labels go to the texts, not the texts to them."""
+    marks = labels.filter(F.col(label).isin(0, 1) & (remainder() != 0)).groupBy("doc_id").agg(F.max(label).cast("double").alias("y"))
+    chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("__doc"), "y")
+    rows = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc")).select("text", "y", (F.xxhash64("doc_id", F.lit(7)) % 5 == 0).alias("aside"))
+
+    def run(batches):
+        classes, rolling = _byte_classes(), Rolling(5)
+        for block, data, offsets in text_blocks(batches):
+            x = features(data, offsets, classes, rolling)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), block.column(1), block.column(2)], names=["x", "y", "aside"])
+
+    tune(docs.sparkSession)
+    return rows.mapInArrow(run, "x binary, y double, aside boolean")
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     """Train on the labelled rows whose remainder is not 0."""
-    marks = labels.filter(F.col(label).isin(0, 1)).select(F.col("doc_id").alias("__doc"), F.col(label).cast("double").alias("y"))
-    rows = stats.filter(remainder() != 0).join(marks, F.col("doc_id") == F.col("__doc"))
-    rows = materialise(rows.select("x", "y", (F.xxhash64("doc_id", F.lit(7)) % 5 == 0).alias("aside")))
+    rows = materialise(training_rows(docs, labels, label))
     model = Model()
     k, d = N_FEATURES, FOURIER + 1
     moments = partition_sums(rows, lambda x, y: np.concatenate([[len(y), y.sum()], x.sum(0), (x * x).sum(0)]), 2 + 2 * k)
@@ -218,33 +226,33 @@ def fit(stats: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
     return model
 
 
-def score(stats: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, held_out, score, predicted of every whole text."""
 
     def run(batches):
-        for batch in batches:
-            if len(batch):
-                x = np.frombuffer(b"".join(batch.column(1).to_pylist()), float).reshape(len(batch), -1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
+        classes, rolling = _byte_classes(), Rolling(5)
+        for rows, data, offsets in text_blocks(batches):
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(model.score(features(data, offsets, classes, rolling)))], names=["doc_id", "score"])
 
-    scored = stats.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    tune(docs.sparkSession)
+    scored = texts(docs).mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    stats = materialise(statistics(docs))
-    return score(stats, fit(stats, labels))
+    return score(docs, fit(docs, labels))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents predicted good, with all their columns; texts are not moved."""
-    model = fit(materialise(statistics(docs)), labels)
+    model = fit(docs, labels)
 
     def run(batches):
         classes, rolling = _byte_classes(), Rolling(5)
         for rows, data, offsets in text_blocks(batches):
             yield rows.filter(pa.array(model.score(features(data, offsets, classes, rolling)) >= CUT))
 
+    tune(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

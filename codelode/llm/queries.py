@@ -30,6 +30,7 @@ OPERATORS = (
     op8_chat_format,
     op9_toxicity,
     op10_line_dedup,
+    rules.quality_rules_high_risk,
 )
 
 
@@ -42,6 +43,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_suffix_dedup": suffix_dedup.ORACLE,
         "op6_quality_rules": rules.ORACLE,
+        "quality_rules_high_risk": rules.HIGH_RISK_ORACLE,
         "op7_ngram_join": ngram_join.ORACLE,
         "op8_chat_format": chat.ORACLE,
         "op10_line_dedup": line_dedup.ORACLE,

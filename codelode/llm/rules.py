@@ -8,10 +8,14 @@ below the rule's share of the allowed risk: P(Binomial(n, risk) <= rejected) is
 at most the error level divided by the number of all tests (Bonferroni).  The
 lowest admitted cutoff counts; a rule with none rejects nothing there.
 
+The bound holds for the good rows that pass the base rules, as the base is fixed; how
+many good rows of a stratum the base rejects is returned beside the cutoffs.
+
 Defined results: null text has no words (and fails the base); a null stratum is
-a stratum of its own; labels without a document and documents without a label
-are no evidence; of repeated labels of a document every one counts; an empty
-table gives an empty table.
+a stratum of its own, apart from the empty one; labels without a document and
+documents without a label are no evidence; repeated labels of a document count
+once (as bad if one of them is), and so do its repeated rows, as the bound needs
+independent rows; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -123,37 +127,39 @@ def tail(n: Column, k: Column, p: float) -> Column:
 
 
 def thresholds(stats: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """One row per stratum with good holdout rows: __stratum, and the admitted cutoff of each rule or null.
+    """One row per stratum with good holdout rows: __stratum, n_good, n_base (of these, rejected by the base), and the admitted cutoff of each rule or null.
 
     stats must be written out (materialise): every cutoff reads its columns."""
-    good = labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("__doc"))
-    known = stats.filter(~base_failed()).join(good, F.col("doc_id") == F.col("__doc"))
+    good = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__doc")).agg(F.min("quality").alias("__good")).filter("__good = 1")
+    known = stats.join(good, F.col("doc_id") == F.col("__doc")).drop("__doc", "__good").dropDuplicates()
     names = [(rule, cut) for rule, cuts in CUTOFFS.items() for cut in cuts]
-    by = F.coalesce(F.col(stratum), F.lit(""))
-    of = rates()
-    counts = known.groupBy(by.alias("__stratum")).agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        *[F.sum(F.when(of[rule] > cut, 1).otherwise(0)).cast("double").alias(f"{rule}_{cut}") for rule, cut in names],
+    of, passed = rates(), ~base_failed()
+    counts = known.groupBy(F.col(stratum).alias("__stratum")).agg(
+        F.count(F.lit(1)).alias("n_good"),
+        F.sum(F.when(passed, 1.0).otherwise(0.0)).alias("n"),
+        *[F.sum(F.when(passed & (of[rule] > cut), 1.0).otherwise(0.0)).alias(f"{rule}_{cut}") for rule, cut in names],
     )
-    tests = counts.agg(F.count(F.lit(1)).alias("__strata"))
-    wide = counts.select("__stratum", "n", F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cut"), F.col(f"{rule}_{cut}").alias("k")) for rule, cut in names])).alias("t"))
+    tests = counts.filter("n > 0").agg(F.count(F.lit(1)).alias("__strata"))
+    each = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cut"), F.col(f"{rule}_{cut}").alias("k")) for rule, cut in names])
+    wide = counts.select("__stratum", "n_good", "n", F.explode(each).alias("t")).join(F.broadcast(tests))
     level = error / len(names) / F.col("__strata")
-    admitted = wide.join(F.broadcast(tests)).filter(tail(F.col("n"), F.col("t.k"), risk / len(CUTOFFS)) <= level)
-    return admitted.groupBy("__stratum").agg(*[F.min(F.when(F.col("t.rule") == rule, F.col("t.cut"))).alias(f"__cut_{rule}") for rule in CUTOFFS])
+    admitted = (F.col("n") > 0) & (tail(F.col("n"), F.col("t.k"), risk / len(CUTOFFS)) <= level)
+    cuts = [F.min(F.when(admitted & (F.col("t.rule") == rule), F.col("t.cut"))).alias(f"__cut_{rule}") for rule in CUTOFFS]
+    return wide.groupBy("__stratum").agg(F.first("n_good").alias("n_good"), F.first(F.col("n_good") - F.col("n")).cast("long").alias("n_base"), *cuts)
 
 
 def verdicts(stats: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
     """stats with base_failed, kept and one boolean reject_<rule> for each rule."""
-    cutoffs = materialise(cutoffs)
+    cutoffs = materialise(cutoffs.drop("n_good", "n_base"))
     if cutoffs.count() <= BROADCAST_STRATA:
         cutoffs = F.broadcast(cutoffs)
-    rows = stats.join(cutoffs, F.coalesce(F.col(stratum), F.lit("")) == F.col("__stratum"), "left")
+    rows = stats.join(cutoffs, F.col(stratum).eqNullSafe(F.col("__stratum")), "left")
     of = rates()
     rejects = {rule: F.coalesce(of[rule] > F.col(f"__cut_{rule}"), F.lit(False)) for rule in CUTOFFS}
     kept = ~base_failed()
     for x in rejects.values():
         kept = kept & ~x
-    return rows.select(*stats.columns, base_failed().alias("base_failed"), kept.alias("kept"), *[x.alias(f"reject_{rule}") for rule, x in rejects.items()])
+    return rows.select(*[stats[c] for c in stats.columns], base_failed().alias("base_failed"), kept.alias("kept"), *[x.alias(f"reject_{rule}") for rule, x in rejects.items()])
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,11 +168,27 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-def _oracle() -> str:
+#: The risk of the query below: high enough that the holdout of small tables admits cutoffs.
+HIGH_RISK = 0.2
+
+
+def quality_rules_high_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rules under a risk that small holdouts can prove: what each rule rejects."""
+    stats = materialise(statistics(read(spark, sf_dir, "documents"), keep=("doc_id", "lang")))
+    found = verdicts(stats, thresholds(stats, read(spark, sf_dir, "labels"), risk=HIGH_RISK))
+    return found.select("doc_id", "base_failed", "kept", *[f"reject_{rule}" for rule in CUTOFFS])
+
+
+def _oracle(risk: float = RISK, detail: bool = False) -> str:
     word = r"[^\x20\x09-\x0D]+"
     tests = ", ".join(f"('{rule}', {cut})" for rule, cuts in CUTOFFS.items() for cut in cuts)
     n_tests = sum(map(len, CUTOFFS.values()))
-    p = RISK / len(CUTOFFS)
+    p = risk / len(CUTOFFS)
+    if detail:
+        last = ", ".join(f"coalesce(list_contains(o.rules, '{rule}'), false) AS reject_{rule}" for rule in CUTOFFS)
+        columns = f"b.doc_id, base_failed, NOT base_failed AND o.rules IS NULL AS kept, {last}"
+    else:
+        columns = "b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND o.rules IS NULL AS kept"
     return f"""
 WITH w AS (
   SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS ws,
@@ -185,19 +207,21 @@ r AS (
   SELECT *, (n_symbols * 1000) // nullif(word_chars, 0) AS symbols, (n_dup_lines * 1000) // nullif(n_lines, 0) AS dup_lines,
     (n_repeat_words * 1000) // nullif(n_words, 0) AS repeats, (word_chars * 1000) // nullif(n_words, 0) AS long_words FROM b
 ), tests(rule, cut) AS (VALUES {tests}),
-long AS (UNPIVOT (SELECT doc_id, coalesce(lang, '') AS stratum, symbols, dup_lines, repeats, long_words FROM r) ON symbols, dup_lines, repeats, long_words INTO NAME rule VALUE rate),
-good AS (SELECT r.doc_id, coalesce(lang, '') AS stratum FROM r JOIN labels l ON r.doc_id = l.doc_id WHERE l.quality = 1 AND NOT base_failed),
-sizes AS (SELECT stratum, count(*) AS n FROM good GROUP BY stratum),
+long AS (UNPIVOT (SELECT doc_id, lang IS NULL AS unnamed, coalesce(lang, '') AS stratum, symbols, dup_lines, repeats, long_words FROM r) ON symbols, dup_lines, repeats, long_words INTO NAME rule VALUE rate),
+marks AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+good AS (SELECT r.doc_id, lang IS NULL AS unnamed, coalesce(lang, '') AS stratum FROM r JOIN marks USING (doc_id) WHERE NOT base_failed),
+sizes AS (SELECT unnamed, stratum, count(*) AS n FROM good GROUP BY ALL),
 rejected AS (
-  SELECT z.stratum, z.n, t.rule, t.cut, (SELECT count(*) FROM good g JOIN long x ON x.doc_id = g.doc_id WHERE g.stratum = z.stratum AND x.rule = t.rule AND x.rate > t.cut) AS k
+  SELECT z.unnamed, z.stratum, z.n, t.rule, t.cut,
+    (SELECT count(*) FROM good g JOIN long x ON x.doc_id = g.doc_id WHERE g.unnamed = z.unnamed AND g.stratum = z.stratum AND x.rule = t.rule AND x.rate > t.cut) AS k
   FROM sizes z CROSS JOIN tests t
 ), bound AS (
   SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))) FROM range(0, k + 1) q(i)) AS tail FROM rejected
-), cuts AS (SELECT stratum, rule, min(cut) AS cut FROM bound WHERE tail <= {ERROR} / {n_tests} / (SELECT count(*) FROM sizes) GROUP BY stratum, rule),
-out_ AS (SELECT DISTINCT x.doc_id FROM long x JOIN cuts c ON x.stratum = c.stratum AND x.rule = c.rule AND x.rate > c.cut)
-SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND out_.doc_id IS NULL AS kept
-FROM b LEFT JOIN out_ USING (doc_id)
+), cuts AS (SELECT unnamed, stratum, rule, min(cut) AS cut FROM bound WHERE k < n * {p} AND tail <= {ERROR} / {n_tests} / (SELECT count(*) FROM sizes) GROUP BY ALL),
+out_ AS (SELECT x.doc_id, list(x.rule) AS rules FROM long x JOIN cuts c ON x.unnamed = c.unnamed AND x.stratum = c.stratum AND x.rule = c.rule AND x.rate > c.cut GROUP BY x.doc_id)
+SELECT {columns} FROM b LEFT JOIN out_ o ON b.doc_id = o.doc_id
 """
 
 
 ORACLE = _oracle()
+HIGH_RISK_ORACLE = _oracle(HIGH_RISK, detail=True)

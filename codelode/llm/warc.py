@@ -15,7 +15,9 @@ digest and length are those of the source's bytes, whatever their charset.
 Defined results: a null body is empty and gives an empty conversion and its
 metadata; a null URI is the empty URI; pages are told apart by id and URI, so
 repeated rows give repeated records of equal ids; an empty table gives none;
-other columns are ignored.  A broken record ends the reading of its file there.
+other columns are ignored.  A broken record or gzip member ends the reading of its
+file there: what was read before stays.  Files are read member by member, pages in
+time linear in their length, whatever they hold.
 """
 
 from __future__ import annotations
@@ -42,24 +44,82 @@ RESPONSE_TYPE, FIELDS_TYPE, TEXT_TYPE = "application/http;msgtype=response", "ap
 #: The date of response records made from tables that have none.
 DATE = "2024-01-01T00:00:00Z"
 
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template|svg)\b[^>]*>.*?</\1\s*>", re.S | re.I)
+OPENING = re.compile(r"<!--|<(script|style|noscript|template|svg)\b[^>]*>", re.I)
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template", "svg", "title")}
 BREAK = re.compile(r"</?(?:p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|header|footer|nav|title|body|head|blockquote|pre|hr|dd|dt)\b[^>]*>", re.I)
 TAG = re.compile(r"<[!/?a-zA-Z][^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([\w-]+)""", re.I)
-CHARSET = re.compile(r"""<meta\b[^>]*?\bcharset\s*=\s*["']?([\w-]+)""", re.I)
+TITLE = re.compile(r"<title\b[^>]*>", re.I)
+LINK, META, ROOT = (re.compile(rf"<{name}\b[^>]*>", re.I) for name in ("a", "meta", "html"))
+HREF = re.compile(r"\bhref\s*=\s*", re.I)
+VALUE = re.compile(r"""(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
+LANG = re.compile(r"""\blang\s*=\s*["']?([\w-]+)""", re.I)
+CHARSET = re.compile(r"""\bcharset\s*=\s*["']?([\w-]+)""", re.I)
 HTTP_CHARSET = re.compile(r"""^content-type:[^\r\n]*\bcharset\s*=\s*["']?([\w-]+)""", re.I | re.M)
 SPACES = re.compile(r"[ \t\r\f\v\xa0]+")
 
 
+def visible(page: str) -> str:
+    """The page without comments, scripts and the like, each replaced by a space; what is never closed stays.
+
+    One pass: a closing mark that was once looked for in vain is not looked for again."""
+    end = page.rfind(">") + 1
+    out, at, missing = [], 0, set()
+    for m in OPENING.finditer(page, 0, end):
+        name = (m[1] or "").lower()
+        if m.start() < at or name in missing:
+            continue
+        if name:
+            close = CLOSING[name].search(page, m.end())
+            stop = close.end() if close else -1
+        else:
+            stop = page.find("-->", m.end())
+            stop = stop + 3 if stop >= 0 else -1
+        if stop < 0:
+            missing.add(name)
+            continue
+        out += [page[at : m.start()], " "]
+        at = stop
+    out.append(page[at:])
+    return "".join(out)
+
+
+def without(mark: re.Pattern, page: str, by: str) -> str:
+    """mark replaced; marks end with '>', so nothing is tried beyond the last one."""
+    end = page.rfind(">") + 1
+    return mark.sub(by, page[:end]) + page[end:]
+
+
 def plain_text(page: str) -> str:
     """Visible text: one line per block, runs of space joined, empty lines dropped."""
-    page = TAG.sub("", BREAK.sub("\n", HIDDEN.sub(" ", page.replace("\n", " "))))
+    page = without(TAG, without(BREAK, visible(page.replace("\n", " ")), "\n"), "")
     lines = (SPACES.sub(" ", line).strip() for line in html.unescape(page).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
+def tags(mark: re.Pattern, page: str) -> Iterator[re.Match]:
+    return mark.finditer(page, 0, page.rfind(">") + 1)
+
+
+def attribute(mark: re.Pattern, value: re.Pattern, page: str) -> str:
+    """The value in the first tag of a kind that has it."""
+    return next((m[1] for m in (value.search(page, t.start(), t.end()) for t in tags(mark, page)) if m), "")
+
+
+def title_of(page: str) -> str:
+    start = next(tags(TITLE, page), None)
+    close = CLOSING["title"].search(page, start.end()) if start else None
+    return one_line(html.unescape(page[start.end() : close.start()])) if close else ""
+
+
+def links_of(page: str) -> Iterator[str]:
+    """The first href of every link; a quoted value may hold any sign."""
+    for t in tags(LINK, page):
+        m = HREF.search(page, t.start(), t.end())
+        v = VALUE.match(page, m.end()) if m else None
+        if v:
+            yield one_line(html.unescape(v[1] or v[2] or v[3] or ""))
+
+
 def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
@@ -74,19 +134,18 @@ def one_line(x: str) -> str:
 
 def decode(payload: bytes, headers: str) -> str:
     """A payload as text by the charset that its headers or its beginning name, else as UTF-8."""
-    named = HTTP_CHARSET.search(headers) or CHARSET.search(payload[:1024].decode("latin-1"))
+    named = HTTP_CHARSET.search(headers)
+    name = named[1] if named else attribute(META, CHARSET, payload[:1024].decode("latin-1"))
     try:
-        return payload.decode(named[1] if named else "utf-8", "replace").encode("utf-8", "replace").decode()
+        return payload.decode(name or "utf-8", "replace").encode("utf-8", "replace").decode()
     except (LookupError, UnicodeError):
         return payload.decode("utf-8", "replace")
 
 
 def metadata_fields(page: str, payload_digest: str, length: int) -> str:
-    title, lang, charset = TITLE.search(page), LANG.search(page), CHARSET.search(page)
-    fields = [("title", one_line(html.unescape(title[1])) if title else ""), ("language", lang[1] if lang else ""), ("charset", charset[1].lower() if charset else "")]
+    fields = [("title", title_of(page)), ("language", attribute(ROOT, LANG, page)), ("charset", attribute(META, CHARSET, page).lower())]
     fields += [("source-payload-digest", payload_digest), ("source-length", str(length))]
-    links = [one_line(html.unescape(a or b or c)) for a, b, c in LINK.findall(HIDDEN.sub(" ", page))]
-    fields += [("outlink", x) for x in dict.fromkeys(links)]
+    fields += [("outlink", x) for x in dict.fromkeys(links_of(visible(page)))]
     return "".join(f"{k}: {v}\r\n" for k, v in fields if v)
 
 
@@ -119,6 +178,7 @@ def derive(records: DataFrame) -> DataFrame:
         if paid is None or length is None:
             payload = body.encode()
             paid, length = paid or digest(payload), len(payload) if length is None else length
+        uri = uri or ""
         rid = rid or record_id("response", uri, str(source))
         for kind, media, block in (("metadata", FIELDS_TYPE, metadata_fields(body, paid, length)), ("conversion", TEXT_TYPE, plain_text(body))):
             raw = block.encode()
@@ -164,32 +224,73 @@ def members(records: DataFrame) -> DataFrame:
     return records.select(*NAMES).mapInArrow(run, "record_id string, member binary")
 
 
-def inflate(data: bytes) -> bytes:
-    out = []
-    while data[:2] == b"\x1f\x8b":
+#: Bytes inflated at a time.
+STEP = 1 << 20
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """The bytes of a file in pieces, gzipped or not; a broken member ends them."""
+    view = memoryview(data)
+    if data[:2] != b"\x1f\x8b":
+        yield data
+        return
+    while view[:2] == b"\x1f\x8b":
         z = zlib.decompressobj(31)
-        out.append(z.decompress(data))
-        data = z.unused_data
-    return b"".join(out) or data
+        try:
+            yield z.decompress(view, STEP)
+            while not z.eof:
+                left = z.unconsumed_tail
+                piece = z.decompress(left, STEP)
+                if not piece and not left:
+                    return
+                yield piece
+        except zlib.error:
+            return
+        view = view[len(view) - len(z.unused_data) :]
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of every record of a file, gzipped or not."""
-    data = inflate(data)
-    at = 0
-    while data.startswith(b"WARC/", at):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+    """(headers by lower-case name, block) of every record of a file, gzipped or not; one record is held at a time."""
+    pieces, held = inflated(data), b""
+
+    def more() -> bool:
+        nonlocal held
+        piece = next(pieces, None)
+        held += piece or b""
+        return piece is not None
+
+    while True:
+        while len(held) < 5 and more():
+            pass
+        if not held.startswith(b"WARC/"):
             return
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
+        at = 0
+        while (end := held.find(b"\r\n\r\n", max(at - 3, 0))) < 0:
+            at = len(held)
+            if not more():
+                return
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")[1:]
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         size = head.get("content-length", "")
-        if not size.isdigit() or end + 4 + int(size) > len(data):
+        if not (size.isascii() and size.isdigit()):
             return
-        yield head, data[end + 4 : end + 4 + int(size)]
-        at = end + 4 + int(size)
-        while data[at : at + 2] == b"\r\n":
-            at += 2
+        stop = end + 4 + int(size)
+        if len(held) < stop:
+            parts, have = [held], len(held)
+            while have < stop and (piece := next(pieces, None)) is not None:
+                parts.append(piece)
+                have += len(piece)
+            held = b"".join(parts)
+            if have < stop:
+                return
+        yield head, held[end + 4 : stop]
+        held = held[stop:]
+        while True:
+            while len(held) < 2 and more():
+                pass
+            if held[:2] != b"\r\n":
+                break
+            held = held[2:]
 
 
 def _header_text(front: bytes) -> str:
@@ -210,11 +311,14 @@ def read_records(files: DataFrame) -> DataFrame:
     names = [x.split()[0] for x in schema.split(", ")]
     kinds = [pa.int64() if n in ("source_id", "payload_length") else pa.string() for n in names]
 
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
     def run(batches):
         for batch in batches:
-            for content in batch.column(0).to_pylist():
-                rows = []
-                for head, block in parse(content or b""):
+            rows, size = [], 0
+            for place in range(len(batch)):
+                for head, block in parse(batch.column(0)[place].as_py() or b""):
                     http, body, paid = "", block, head.get("warc-payload-digest")
                     if head.get("content-type", "").startswith("application/http"):
                         front, _, body = block.partition(b"\r\n\r\n")
@@ -224,7 +328,11 @@ def read_records(files: DataFrame) -> DataFrame:
                     source = int.from_bytes(hashlib.sha1(name.encode()).digest()[:8], "big", signed=True)
                     theirs = head.get("warc-source-headers")
                     rows.append((*own, paid, http, decode(body, http) if http else body.decode("utf-8", "replace"), source, len(body), head.get("warc-source-payload-digest"), theirs and unquote(theirs)))
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+                    size += len(block) + 1000
+                    if size > 16 << 20:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+            yield batch_of(rows)
 
     tune(files.sparkSession)
     return files.select("content").mapInArrow(run, schema)

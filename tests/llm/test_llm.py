@@ -78,6 +78,17 @@ def test_bpe_equals_library(spark, edge):
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_refuses_other_vocabularies(tmp_path):
+    import json
+
+    spec = json.load(open(bpe.vocabulary()))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}):
+        path = tmp_path / "v.json"
+        path.write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            bpe.Codec(str(path))
+
+
 def test_bpe_round_trip_and_small_chunks(spark, edge, empty):
     back = bpe.decode(bpe.encode(edge, bpe.vocabulary()), bpe.vocabulary())
     texts = {r.doc_id: r.text or "" for r in edge.collect()}
@@ -135,6 +146,38 @@ def test_warc_reads_responses(spark):
     assert (row.http_headers, row.body, row.record_id) == ("HTTP/1.1 200 OK\r\nX: y", "<p>hi</p>", "<urn:uuid:1>")
 
 
+def test_warc_broken_files_and_missing_fields(spark):
+    import gzip
+
+    def record(n, body=b"x" * 2000):
+        return f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:uuid:{n}>\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+    whole = [gzip.compress(record(i, np.random.default_rng(i).bytes(3_000_000 if i == 1 else 500))) for i in range(3)]
+    cut = whole[0] + whole[2][:-40]  # the last member ends early
+    spoilt = bytearray(b"".join(whole))
+    spoilt[len(whole[0]) + len(whole[1]) + 300] ^= 0xFF
+    files = [b"".join(whole), cut, bytes(spoilt), record(7) + b"junk", record(8)[:-500], b"\x1f\x8bnonsense", b"", gzip.compress(record(4) + record(5))]
+    ids = [[h["warc-record-id"][-2] for h, _ in warc.parse(f)] for f in files]
+    assert ids == [["0", "1", "2"], ["0"], ["0", "1"], ["7"], [], [], [], ["4", "5"]]
+    table_ = spark.createDataFrame([(bytearray(f),) for f in files], "content binary")
+    assert warc.read_records(table_).count() == 9
+    nothing = spark.createDataFrame([(1, None, None, None, None, None)], "source_id long, record_id string, target_uri string, warc_date string, http_headers string, body string")
+    assert {r.record_type for r in warc.derive(nothing).collect()} == {"metadata", "conversion"}
+
+
+def test_warc_hostile_pages_take_linear_time():
+    import time
+
+    n = 100_000
+    pages = ["<script>" * n, "<!--" * n, "<a " * n, "<title>" * n, "<a href=x " * n + ">", "<meta " * n + ">", "<html " * n, "<p" * n, "<script>x</style>" * n, '<a href="' * n + ">", "<svg></svg" * n, "</script" * n + " " * n]
+    began = time.time()
+    for page in pages:
+        warc.plain_text(page), warc.metadata_fields(page, "d", 1)
+    assert time.time() - began < 20
+    assert warc.plain_text("a<!-- x -->b<script>c</SCRIPT >d<style>e<p>f") == "a b de\nf"
+    assert list(warc.links_of("<a class=b href='/1'><a name=q><A HREF=\"/2?a>b\">x</a><a href=/3>")) == ["/1", "/2?a>b", "/3"]
+
+
 def test_warc_file_to_derivatives_to_file(spark):
     http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=ISO-8859-1\r\nX-Rate: 100% é "
     payload, binary = "<title>Café</title><p>été</p>".encode("latin-1"), bytes(range(256))
@@ -328,6 +371,35 @@ def test_quality_edges(spark, edge, empty):
     assert quality.keep(edge, few).columns == edge.columns
 
 
+def test_quality_model_equals_brute_force(spark):
+    """The summed normal equations and the isotonic step against direct ones."""
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(7)
+    marks = spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit(docs, marks)
+    label = {r.doc_id: r.quality for r in marks.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    aside = {r.doc_id for r in docs.select("doc_id", (quality.F.xxhash64("doc_id", quality.F.lit(7)) % 5 == 0).alias("a")).collect() if r.a}
+    rows = sorted((r.doc_id, r.text or "") for r in docs.collect() if r.doc_id in label)
+    x = np.concatenate([quality.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), quality._byte_classes(), quality.Rolling(5)) for _, t in rows])
+    y = np.array([label[d] for d, _ in rows], float)
+    out = np.array([d in aside for d, _ in rows])
+    assert np.allclose(model.mean, x.mean(0)) and np.allclose(model.scale, x.std(0).clip(1e-3), rtol=1e-4)
+    w = np.where(y > 0, len(y) / y.sum(), len(y) / (len(y) - y.sum())) / 2
+    z = model.map(x)[~out]
+    left = z.T @ (z * w[~out, None])
+    want = np.linalg.solve(left + quality.RIDGE * np.trace(left) / len(left) * np.eye(len(left)), z.T @ (w[~out] * y[~out]))
+    assert np.allclose(model.weights, want, rtol=1e-6, atol=1e-8)
+    bins, good = model.bins(x[out]), y[out]
+    for b in set(bins.tolist()):  # isotonic level: the largest over starts of the least mean over ends
+        starts, ends = sorted({c for c in bins if c <= b}), sorted({c for c in bins if c >= b})
+        level = max(min(good[(bins >= s) & (bins <= e)].mean() for e in ends) for s in starts)
+        block = [c for c in set(bins.tolist()) if model.levels[c] == model.levels[b]]
+        held = np.isin(bins, block)
+        assert good[held].mean() == pytest.approx(level) and model.levels[b] == pytest.approx((good[held].sum() + 0.5) / (held.sum() + 1), abs=0.02)
+
+
 def test_isotonic_levels_rise():
     levels = quality.pool(np.array([0, 5, 5, 0, 10, 2]), np.array([0, 1, 0, 0, 9, 1]))
     assert (np.diff(levels) >= 0).all() and levels[0] == levels[1] == levels[2] == levels[3]
@@ -464,6 +536,32 @@ def test_rules_sql_and_edges(spark, edge, empty):
     assert rules.verdicts(none, rules.thresholds(none, marks)).count() == 0
 
 
+def test_rules_reject_under_sql(spark):
+    """Holdouts large enough to admit cutoffs: the thresholds reject, as in SQL."""
+    sf = "/root/testdata/sf0.01"
+    got = rules.quality_rules_high_risk(spark, sf)
+    rows = sorted(tuple(r) for r in got.collect())
+    cur = views(sf).execute(rules.HIGH_RISK_ORACLE)
+    assert [d[0] for d in cur.description] == got.columns and rows == sorted(cur.fetchall())
+    assert sum(not r.base_failed and not r.kept for r in got.collect()) > 20
+    sf = "/root/testdata/sf0.1"
+    found = sorted(map(tuple, rules.op6_quality_rules(spark, sf).select("doc_id", "base_failed", "kept").collect()))
+    assert found == sorted(views(sf).execute(f"SELECT doc_id, base_failed, kept FROM ({rules.ORACLE})").fetchall())
+    assert sum(not base and not kept for _, base, kept in found) > 100
+
+
+def test_rule_holdouts_count_once(spark):
+    """Repeated labels and rows are one piece of evidence; a null stratum is not the empty one; base rejections are counted."""
+    good = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
+    rows = [(i, good, None) for i in range(4)] + [(0, good, None)] + [(i, good, "") for i in range(10, 13)] + [(20, "short", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    stats = materialise(rules.statistics(docs, keep=("doc_id", "lang")))
+    marks = labels_of(spark, [(i, 1, 0) for i in (0, 0, 0, 1, 2, 3, 10, 11, 12, 20)] + [(12, 0, 0)])
+    got = {r["__stratum"]: (r.n_good, r.n_base) for r in rules.thresholds(stats, marks).collect()}
+    assert got == {None: (4, 0), "": (3, 1)}
+    assert rules.verdicts(stats, rules.thresholds(stats, marks)).count() == len(rows)
+
+
 def test_binomial_tail(spark):
     from math import comb
 
@@ -736,9 +834,21 @@ def test_lines_sql_and_edges(spark, edge, empty):
     out = {r.doc_id: r for r in done.collect()}
     assert done.columns[:5] == docs.columns and out[0].text == "body 0\n" and out[0].lines == "a"
     assert out[0]["__n_lines"] == 5 and out[0]["__n_dropped"] == 3 and out[6].text is None and out[8].text == ""
+    again = line_dedup.drop_lines(done, min_pages=3, percent=40)
+    assert again.columns == done.columns and {r["__n_dropped"] for r in again.collect()} == {0}
+    tabs = spark.createDataFrame([(i, "\t\nfoot\n \t \x0b") for i in range(4)], "doc_id long, text string").withColumn("source", line_dedup.F.lit("h"))
+    assert {r.text for r in line_dedup.drop_lines(tabs).collect()} == {"\t\n \t \x0b"}
+    single = spark.createDataFrame([(1, "only page\nof its host", "a"), (2, "menu\nx", "b"), (3, "menu\ny", "b")], "doc_id long, text string, source string")
+    assert sorted(r.text for r in line_dedup.drop_lines(single).collect()) == ["only page\nof its host", "x", "y"]
     assert line_dedup.drop_lines(empty).count() == 0 and line_dedup.drop_lines(edge).count() == len(TEXTS) + 1
 
 
+def test_lines_beyond_the_broadcast(spark, monkeypatch):
+    want = sorted(map(tuple, line_dedup.op10_line_dedup(spark, SF).collect()))
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0)
+    assert sorted(map(tuple, line_dedup.op10_line_dedup(spark, SF).collect())) == want
+
+
 # ---- pipeline
 
 
