@@ -298,7 +298,16 @@ def representatives(key: np.ndarray, content: np.ndarray, doc: np.ndarray, at: n
 
 
 def write_bytes(key, doc, lo, length, data) -> bytes:
-    return np.concatenate([[len(key)], key.view(np.int64), doc, lo, length]).astype(np.int64).tobytes() + data.tobytes()
+    """Segments in rising order of key, compressed; their numbers by planes."""
+    raw = b"".join(by_planes(x.view(np.int64), "<i8") for x in (key, doc, lo, length)) + data.tobytes()
+    return np.array([len(key), len(raw)], np.int64).tobytes() + pa.compress(raw, "zstd", asbytes=True)
+
+
+def read_bytes(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Rows key, doc, lo and length; the bytes."""
+    n, size = (int(x) for x in np.frombuffer(body, np.int64, 2))
+    raw = pa.decompress(body[16:], size, "zstd", asbytes=True)
+    return np.stack([from_planes(raw[8 * n * i : 8 * n * (i + 1)], "<i8") for i in range(4)]), np.frombuffer(raw, np.uint8, -1, 32 * n)
 
 
 def write_ranges(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> bytes:
@@ -503,8 +512,9 @@ def sorted_out(lists: DataFrame) -> DataFrame:
             if n < 0:
                 out.append(tuple(np.frombuffer(body, np.int64, -1, 8).reshape(3, -n)))
                 continue
-            columns.append(np.frombuffer(body, np.int64, 4 * n, 8).reshape(4, n))
-            data.append(np.frombuffer(body, np.uint8, -1, 8 + 32 * n))
+            numbers, part = read_bytes(body)
+            columns.append(numbers)
+            data.append(part)
         key, doc, lo, length = np.concatenate(columns, axis=1)
         data = np.concatenate(data)
         begin = np.cumsum(length) - length
