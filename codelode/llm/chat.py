@@ -16,9 +16,10 @@ Tokens are the matches of TOKEN, counted in the JVM (ASCII letters and digits in
 threes, every other sign, line feed and run of spaces), plus MARKS for the turn's marks; or
 the column that the caller names, for instance counts of a tokenizer.
 
-Prefix sums are taken in blocks of BLOCK turn numbers, then over the blocks' sums, so
-a long conversation is many tasks.  The digests below need a conversation's whole text
-in one row, as SHA-256 cannot be merged; the windows do not.
+Spans and history also end at every multiple of BLOCK turn numbers, so a long
+conversation is many tasks; texts are shuffled once.  A window's span number is
+2**32 times its block plus its place there.  The digests below need a conversation's
+whole text in one row, as SHA-256 cannot be merged; the windows do not.
 
 Turns are written between start and end marks.  Control strings inside roles and
 texts get an escape character after their first character; the escape character
@@ -36,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import materialise, read
 
 #: Tokens of a window, of its history, and those kept free for the system turn; tokens of a turn's marks; turn numbers in a block.
 BUDGET, HISTORY, SYSTEM, MARKS, BLOCK = 2048, 256, 512, 4, 4096
@@ -60,59 +61,66 @@ def unescape(x: Column) -> Column:
     return x
 
 
-def _same(a: DataFrame, b: DataFrame, *keys: str) -> Column:
-    """Equal keys, null equal to null."""
-    out = F.lit(True)
-    for k in keys:
-        out = out & a[k].eqNullSafe(b["__" + k])
-    return out
+#: First turns of conversations of several blocks that may be sent to every executor, in bytes.
+BROADCAST_HEADS = 16 << 20
 
 
-def _renamed(df: DataFrame, *keys: str) -> DataFrame:
-    return df.withColumnsRenamed({k: "__" + k for k in keys})
+def _heads(rows: DataFrame) -> DataFrame | None:
+    """__conv, head: the first turn of every conversation of several blocks; None if there are none."""
+    several = rows.groupBy("conv_id").agg(F.min("block").alias("least"), F.max("block").alias("most")).filter("least < most")
+    several = materialise(several.select(F.col("conv_id").alias("__conv"), "least"))
+    if several.isEmpty():
+        return None
+    first = rows.join(several, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("block") == F.col("least")))
+    heads = materialise(first.groupBy("__conv").agg(F.min(F.struct("turn", "role", "text", "tokens")).alias("head")))
+    size = heads.agg(F.sum(F.octet_length("head.text") + F.octet_length("head.role") + 64)).first()[0]
+    return F.broadcast(heads) if size <= BROADCAST_HEADS else heads
 
 
-def spans_of(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, system: int = SYSTEM, tokens: str | None = None, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(turns with their place, tokens, span, tokens of the conversation so far; spans with their tokens, those of the next, and the last turn's prefix sum)."""
+def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, system: int = SYSTEM, tokens: str | None = None, block: int = BLOCK) -> DataFrame:
+    """One row per window: conv_id, span, n_tokens, formatted, n_context (repeated turns in front), loss (start, length in code points)."""
     room = budget - system - history
     if room < 8:
         raise ValueError("the budget leaves no room for turns")
     counted = F.regexp_count("text", F.lit(TOKEN)) if tokens is None else F.coalesce(F.col(tokens), F.lit(0))
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), *([] if tokens is None else [tokens]))
-    rows = rows.select("conv_id", "turn", "role", "text", (counted + MARKS).cast("long").alias("tokens"), F.coalesce(F.floor(F.col("turn") / block), F.lit(-(2**62))).alias("block"))
-    rows = rows.withColumn("wide", (F.col("tokens") * 4 > room).cast("long"))
+    rows = rows.select("conv_id", "turn", "role", "text", (counted + MARKS).cast("long").alias("tokens"), F.coalesce(F.floor(F.col("turn") / block), F.lit(-(2**30))).alias("block"))
+    heads = _heads(rows)
+    turn = F.struct("turn", "role", "text", "tokens")
     order = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    narrow = F.when(F.col("wide") == 0, F.col("tokens")).otherwise(0)
-    rows = rows.withColumns({"at": F.row_number().over(order), "n_wide": F.sum("wide").over(so_far), "n_narrow": F.sum(narrow).over(so_far), "ends": F.sum("tokens").over(so_far)})
-    sums = rows.groupBy("conv_id", "block").agg(F.sum("wide").alias("b_wide"), F.sum(narrow).alias("b_narrow"), F.sum("tokens").alias("b_tokens"))
-    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("conv_id", "block", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("b_wide", "b_narrow", "b_tokens")])
-    sums = _renamed(sums, "conv_id", "block")
-    rows = rows.join(sums, _same(rows, sums, "conv_id", "block")).drop("__conv_id", "__block")
-    major = 2 * (F.col("n_wide") + F.col("b_wide")) - F.col("wide")
-    minor = F.when(F.col("wide") == 1, 0).otherwise(F.floor((F.col("n_narrow") + F.col("b_narrow") - 1) / (room - room // 4)))
-    rows = rows.select("conv_id", "block", "at", "role", "text", "tokens", major.alias("major"), minor.cast("long").alias("minor"), (F.col("ends") + F.col("b_tokens")).alias("ends"))
-    spans = rows.groupBy("conv_id", "major", "minor").agg(F.sum("tokens").alias("own"), F.max("ends").alias("last"))
-    line = Window.partitionBy("conv_id").orderBy("major", "minor")
-    return rows, spans.withColumns({"span": F.row_number().over(line).cast("long") - 1, "next_own": F.lead("own").over(line)})
-
-
-def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, system: int = SYSTEM, tokens: str | None = None, block: int = BLOCK) -> DataFrame:
-    """One row per window: conv_id, span, n_tokens, formatted, n_context (repeated turns in front), loss (start, length in code points)."""
-    rows, spans = spans_of(turns, budget, history, system, tokens, block)
-    head = (F.col("ends") == F.col("tokens")) & (F.col("role") == "system")  # every turn has tokens, so only the first is all there is so far
-    heads = _renamed(rows.filter(head).select("conv_id", F.col("role").alias("h_role"), F.col("text").alias("h_text"), F.col("tokens").alias("h_tokens")), "conv_id")
-    spans = spans.join(heads, _same(spans, heads, "conv_id"), "left").drop("__conv_id")
-    place = _renamed(spans.select("conv_id", "major", "minor", "span", "last", "next_own", "h_tokens"), "conv_id", "major", "minor")
-    placed = rows.join(place, _same(rows, place, "conv_id", "major", "minor"))
-    tail = F.col("last") - F.col("ends") + F.col("tokens")
-    left = F.lit(budget) - F.coalesce("h_tokens", F.lit(0)) - F.col("next_own")
-    part = lambda kind, span: ["conv_id", span.alias("span"), F.struct(F.lit(kind).alias("kind"), "block", "at", "role", "text", "tokens").alias("t")]
-    own = placed.select(*part(2, F.col("span")))
-    recent = placed.filter(F.col("next_own").isNotNull() & (tail <= history) & (tail <= left) & ~head).select(*part(1, F.col("span") + 1))
-    first = spans.filter("span > 0 AND h_role IS NOT NULL").select("conv_id", "span", F.struct(F.lit(0).alias("kind"), F.lit(0).cast("long").alias("block"), F.lit(0).alias("at"), F.col("h_role").alias("role"), F.col("h_text").alias("text"), F.col("h_tokens").alias("tokens")).alias("t"))
-    spans = own.union(recent).union(first).groupBy("conv_id", "span").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    wide = F.col("tokens") * 4 > room
+    rows = rows.withColumns(
+        {
+            "at": F.row_number().over(order),
+            "n_wide": F.sum(wide.cast("long")).over(so_far),
+            "n_narrow": F.sum(F.when(wide, 0).otherwise(F.col("tokens"))).over(so_far),
+            "ends": F.sum("tokens").over(so_far),
+            "first": F.first(F.when(F.col("role") == "system", turn)).over(so_far),
+        }
+    )
+    major = 2 * F.col("n_wide") - wide.cast("long")
+    minor = F.when(wide, 0).otherwise(F.floor((F.col("n_narrow") - 1) / (room - room // 4)))
+    own = F.struct("at", "role", "text", "tokens", "ends")
+    spans = rows.groupBy("conv_id", "block", major.alias("major"), minor.alias("minor")).agg(F.sort_array(F.collect_list(own)).alias("own"), F.sum("tokens").alias("own_tokens"), F.first("first").alias("head"))
+    line = Window.partitionBy("conv_id", "block").orderBy("major", "minor")
+    spans = spans.withColumns({"n": F.row_number().over(line), "before": F.lag("own").over(line)})
+    begins = F.lit(True)
+    if heads is not None:  # in later blocks the first turn is not the conversation's
+        spans = spans.withColumnRenamed("head", "here").join(heads, F.col("conv_id").eqNullSafe(F.col("__conv")), "left")
+        begins = F.col("__conv").isNull() | (F.col("here") == F.col("head"))
+        spans = spans.withColumn("head", F.when(F.col("__conv").isNull(), F.col("here")).when(F.col("head.role") == "system", F.col("head")))
+        begins = F.coalesce(begins, F.lit(False))
+    spans = spans.withColumn("begins", begins)
+    has_head = F.col("head").isNotNull()
+    plain = "array<struct<kind:int,role:string,text:string,tokens:bigint>>"
+    short = lambda kind, ts: F.transform(ts, lambda t: F.struct(F.lit(kind).alias("kind"), t["role"].alias("role"), t["text"].alias("text"), t["tokens"].alias("tokens")))
+    first = F.when(has_head & ~(F.col("begins") & (F.col("n") == 1)), short(0, F.array("head"))).otherwise(F.array().cast(plain))
+    last = F.element_at("before", -1)["ends"]
+    left = F.least(F.lit(history), F.lit(budget) - F.coalesce(F.col("head.tokens"), F.lit(0)) - F.col("own_tokens"))
+    recent = F.filter("before", lambda t: (last - t["ends"] + t["tokens"] <= left) & ~(F.col("begins") & has_head & (t["at"] == 1)))
+    all_turns = F.concat(first, short(1, F.coalesce(recent, F.array().cast(spans.schema["own"].dataType))), short(2, F.col("own")))
+    spans = spans.select("conv_id", (F.col("block") * 2**32 + F.col("n") - 1).alias("span"), all_turns.alias("turns"))
     n_context = F.size(F.filter("turns", lambda t: t["kind"] < 2))
     n_tokens = F.aggregate("turns", F.lit(0).cast("long"), lambda a, t: a + t["tokens"])
     spans = spans.select("conv_id", "span", "turns", n_context.alias("n_context"), n_tokens.alias("n_tokens"))
@@ -199,26 +207,27 @@ WITH rows_ AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'
 ), sized AS (
-  SELECT *, CAST(len(regexp_extract_all(text, '{TOKEN}')) AS BIGINT) + {MARKS} AS tokens,
+  SELECT *, coalesce(turn // {BLOCK}, -1) AS block, CAST(len(regexp_extract_all(text, '{TOKEN}')) AS BIGINT) + {MARKS} AS tokens,
     length('{START}') + length(replace({_ESC.format(x='role')}, chr(10), chr(9243) || 'n')) + 1
-      + length({_ESC.format(x='text')}) + length('{END.strip()}') + 1 AS chars
+      + length({_ESC.format(x='text')}) + length('{END.strip()}') + 1 AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n_conv
   FROM rows_
 ), summed AS (
   SELECT *, sum(tokens) OVER w AS ends, sum(CASE WHEN 4 * tokens > {_ROOM} THEN 0 ELSE tokens END) OVER w AS narrow,
-    sum(CASE WHEN 4 * tokens > {_ROOM} THEN 1 ELSE 0 END) OVER w AS wide, row_number() OVER w AS at_
-  FROM sized WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    sum(CASE WHEN 4 * tokens > {_ROOM} THEN 1 ELSE 0 END) OVER w AS wide
+  FROM sized WINDOW w AS (PARTITION BY conv_id, block ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 ), spanned AS (
   SELECT *, CASE WHEN 4 * tokens > {_ROOM} THEN 2 * wide - 1 ELSE 2 * wide END AS major,
     CASE WHEN 4 * tokens > {_ROOM} THEN 0 ELSE CAST(floor((narrow - 1) / {_ROOM - _ROOM // 4}.0) AS BIGINT) END AS minor FROM summed
-), heads AS (SELECT conv_id, tokens AS h_tokens, chars AS h_chars FROM spanned WHERE at_ = 1 AND role = 'system'),
+), heads AS (SELECT conv_id, tokens AS h_tokens, chars AS h_chars FROM spanned WHERE n_conv = 1 AND role = 'system'),
 spans AS (
-  SELECT conv_id, major, minor, sum(tokens) AS own, sum(chars) AS own_chars, max(ends) AS last_ FROM spanned GROUP BY ALL
+  SELECT conv_id, block, major, minor, sum(tokens) AS own, sum(chars) AS own_chars, max(ends) AS last_ FROM spanned GROUP BY ALL
 ), chained AS (
-  SELECT *, lead(own) OVER (PARTITION BY conv_id ORDER BY major, minor) AS next_own, row_number() OVER (PARTITION BY conv_id ORDER BY major, minor) AS n FROM spans
+  SELECT *, lead(own) OVER (PARTITION BY conv_id, block ORDER BY major, minor) AS next_own, row_number() OVER (PARTITION BY conv_id ORDER BY block, major, minor) AS n FROM spans
 ), history AS (
-  SELECT s.conv_id, sum(s.chars) AS chars FROM spanned s JOIN chained p USING (conv_id, major, minor) LEFT JOIN heads h USING (conv_id)
+  SELECT s.conv_id, sum(s.chars) AS chars FROM spanned s JOIN chained p USING (conv_id, block, major, minor) LEFT JOIN heads h USING (conv_id)
   WHERE p.next_own IS NOT NULL AND p.last_ - s.ends + s.tokens <= least({HISTORY}, {BUDGET} - coalesce(h.h_tokens, 0) - p.next_own)
-    AND NOT (s.role = 'system' AND s.at_ = 1) GROUP BY s.conv_id
+    AND NOT (s.role = 'system' AND s.n_conv = 1) GROUP BY s.conv_id
 ), sizes AS (
   SELECT c.conv_id, sum(c.own_chars) + sum(CASE WHEN n > 1 THEN coalesce(h.h_chars, 0) ELSE 0 END) AS chars
   FROM chained c LEFT JOIN heads h USING (conv_id) GROUP BY c.conv_id
