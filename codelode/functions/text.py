@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,8 +75,12 @@ def embedding_text(kind: Column, name: Column, qualified: Column, doc: Column, p
     return F.concat_ws(" ", kind, name, qualified, doc, F.nullif(written, F.lit("")), F.concat(F.lit("-> "), returns), content)
 
 
+# Names of main branches.
+MAIN_BRANCHES = ("main", "master", "trunk")
+
+
 def is_main_branch(name: Column) -> Column:
-    return F.lower(name).isin("main", "master", "trunk")
+    return F.lower(name).isin(*MAIN_BRANCHES)
 
 
 def valid_entity_id(x: Column) -> Column:
@@ -95,18 +100,29 @@ def visible_name(kind: Column) -> Column:
     return out
 
 
-# How simple look-up questions begin, and words that make a question relational.
-LOOKUP_PREFIXES = ("find ", "show ", "where is ", "what is ", "get ", "list ", "locate ", "definition of ", "search ", "search for ", "look up ")
+# How simple look-up questions begin, and phrases that make a question relational.
+LOOKUP_PREFIXES = (
+    "find the ", "find function ", "find struct ", "find trait ", "find class ", "find method ", "where is ", "show me the ", "what is the ", "locate the ", "get the ",
+)
 RELATIONAL_WORDS = (
-    "call calls called caller callers callee depend depends dependency dependencies import imports implement implements implementation inherit inherits hierarchy extends uses relationship"
-).split()
+    "calls", "called by", "who calls", "callers", "callees", "implements", "implementors", "inherits", "extends", "uses", "used by", "dependencies", "imports", "related to",
+    "connected to", "hierarchy", "all functions that", "all methods that", "everything that",
+)
 
 
 def is_simple_lookup(query: str) -> bool:
-    q = query.lower().strip()
+    q = query.lower()
     return q.startswith(LOOKUP_PREFIXES) and not any(w in q for w in RELATIONAL_WORDS)
 
 
+def simple_lookup(query: Column) -> Column:
+    """The same of a column: null gives null."""
+    q = F.lower(query)
+    begins = [F.startswith(q, F.lit(p)) for p in LOOKUP_PREFIXES]
+    relational = [F.contains(q, F.lit(w)) for w in RELATIONAL_WORDS]
+    return reduce(lambda a, b: a | b, begins) & ~reduce(lambda a, b: a | b, relational)
+
+
 def xxh3_hex(text: Column) -> Column:
     """32 hex digits of XXH3-128, for identity with stored content hashes; null gives null."""
     import pandas as pd
@@ -138,6 +154,19 @@ def splade_weight(logit: Column) -> Column:
     return F.log1p(F.greatest(logit, F.lit(0.0)))
 
 
+def justification(source: Column, score: Column) -> Column:
+    """Why an entity is among the results: a search hit with its score, or what the graph added."""
+    return F.when(source == "semantic", F.format_string("Semantic match: %.2f", score.cast("double"))).otherwise("Graph context")
+
+
+def prompt_entry(entity_id: Column, kind: Column, qualified: Column, source: Column, origin: Column, relation: Column, score: Column, content: Column) -> Column:
+    """One result as text for a prompt; source: 'semantic' or 'graph' (then from `origin` by `relation`); content is cut at 200 bytes."""
+    via = F.when(source == "graph", F.format_string(" [via %s from %s]", relation, origin)).otherwise("")
+    head = F.concat(F.lit("["), entity_id, F.lit("] "), kind, F.lit(": "), qualified, via)
+    lines = [head, F.format_string("Score: %.2f", score.cast("double")), F.concat(F.lit("Justification: "), justification(source, score))]
+    return F.concat_ws("\n", *lines, F.concat(F.lit("Content: "), F.coalesce(truncate_utf8(content, 200), F.lit("N/A"))))
+
+
 def line_count(location: Column) -> Column:
     return location["end_line"] - location["start_line"] + 1
 

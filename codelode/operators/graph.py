@@ -8,13 +8,13 @@ followed to their end.
 
 from __future__ import annotations
 
-import tempfile
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codelode.operators.retrieval import clamp
+from codelode.operators.tables import kept
 from codelode.schema import EXTRA_LABELS, RENAMED_LABELS
 
 DEPTH, MOST_DEPTH, MOST_CYCLES = 3, 10, 100
@@ -50,36 +50,28 @@ def trails(edges: DataFrame, start: DataFrame, depth: int, back: bool = False) -
     return reduce(DataFrame.union, levels)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """df computed once, in the folder of spark.checkpoint.dir (a temporary one where it is unset)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="codelode-"))
-    return df.checkpoint()
-
-
 def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
     """origin, node of every node that start(id) reaches by an edge or more; runs a job for each level."""
-    steps = _kept(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
+    steps = kept(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
     new = start.select(F.col("id").alias("origin"), F.col("id").alias("node")).distinct()
     seen, level = new.limit(0), 0
     while True:
         new = new.join(steps, F.col("node") == F.col("a")).select("origin", F.col("b").alias("node")).distinct()
-        new = _kept(new.join(seen, ["origin", "node"], "left_anti"))
+        new = kept(new.join(seen, ["origin", "node"], "left_anti"))
         if new.isEmpty():
             return seen
         seen, level = seen.union(new), level + 1
         if level % 10 == 0:  # a short plan, however deep
-            seen = _kept(seen.coalesce(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+            seen = kept(seen.coalesce(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def _found(paths: DataFrame, nodes: DataFrame) -> DataFrame:
     names = nodes.select(F.col("id").alias("node"), "qualified_name")
-    return paths.select("node", "depth").distinct().join(names, "node").select("qualified_name", "depth").distinct()
+    return paths.select("node", "depth").distinct().join(names, "node").select("qualified_name", "depth").distinct().orderBy("depth", "qualified_name")
 
 
 def callers(edges: DataFrame, nodes: DataFrame, qualified: str, depth: int = DEPTH) -> DataFrame:
-    """qualified_name, depth of everything that calls it within `depth` calls; a name may be at several depths."""
+    """qualified_name, depth of everything that calls it within `depth` calls, nearest first; a name may be at several depths."""
     start = nodes.filter(F.col("qualified_name") == qualified).select("id")
     return _found(trails(of_type(edges, "CALLS"), start, clamp(depth, 1, MOST_DEPTH), back=True), nodes)
 
@@ -113,10 +105,10 @@ def hierarchy(edges: DataFrame, nodes: DataFrame, name: str, depth: int | None =
     steps = of_type(edges, "INHERITS_FROM").join(classes.select(F.col("id").alias("dst"), F.col("name").alias("next")), "dst", "left")
     start = named(nodes, name).filter(F.col("kind").isin("Class", "Struct"))
     now = start.select(F.col("id").alias("node"), F.array("name").alias("path"), F.array("id").alias("ids"))
-    steps, levels = _kept(steps), []
+    steps, levels = kept(steps), []
     while depth is None or len(levels) < max(depth, 1):
         now = now.join(steps, F.col("node") == F.col("src")).filter(~F.array_contains("ids", F.col("dst")))
-        now = _kept(now.select(F.col("dst").alias("node"), F.array_append("path", F.col("next")).alias("path"), F.array_append("ids", F.col("dst")).alias("ids"), "next"))
+        now = kept(now.select(F.col("dst").alias("node"), F.array_append("path", F.col("next")).alias("path"), F.array_append("ids", F.col("dst")).alias("ids"), "next"))
         levels.append(now.filter("next IS NOT NULL").select("path"))
         if now.isEmpty():
             break
@@ -182,12 +174,12 @@ def cycles(edges: DataFrame, nodes: DataFrame, length: int | None = None, canoni
         found = reported(reduce(DataFrame.union, levels))
     else:
         reach = closure(steps.select(F.col("a").alias("src"), F.col("b").alias("dst")), steps.select(F.col("a").alias("id")))
-        steps = _kept(steps.join(reach, (F.col("b") == F.col("origin")) & (F.col("a") == F.col("node")), "left_semi"))
+        steps = kept(steps.join(reach, (F.col("b") == F.col("origin")) & (F.col("a") == F.col("node")), "left_semi"))
         now, n, many = first(steps), 1, 0
         while True:
             # a canonical trail never passes a name before its start, and ends there
-            now = _kept(now.filter("node >= start") if canonical else now)
-            levels.append(_kept(reported(now.filter("node = start").withColumn("length", F.lit(n)))))
+            now = kept(now.filter("node >= start") if canonical else now)
+            levels.append(kept(reported(now.filter("node = start").withColumn("length", F.lit(n)))))
             many += levels[-1].count()
             if n == length or (limit and many >= limit) or now.isEmpty():
                 break

@@ -41,6 +41,24 @@ def outbox_rows(rows: DataFrame, operation: Column | str, payload: Column, now:
     return rows.select("*", F.lit(None).cast("timestamp").alias("processed_at"), F.lit(0).alias("retry_count"), F.lit(None).cast("string").alias("last_error"))
 
 
+def store_entities(table: DataFrame, outbox: DataFrame, rows: DataFrame, keys: list[str], payload: Column, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(table, log) after rows came in: both follow from one classification of the rows, so neither is written without the other."""
+    marked = classify(keep_last(rows, keys, *[k for k in ("updated_at",) if k in rows.columns] or keys), table, keys)
+    log = outbox_rows(marked, F.col("operation"), payload, now)
+    return upsert(table, marked.drop("operation"), keys), outbox.unionByName(log, allowMissingColumns=True)
+
+
+def delete_keys(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """table without the rows of the given keys (a store that keeps no deleted rows)."""
+    return table.join(keys.select(*on), on, "left_anti")
+
+
+def counters(batches: DataFrame) -> DataFrame:
+    """One row: every number column summed over the batches, 0 where there are none."""
+    numbers = [f.name for f in batches.schema.fields if f.dataType.typeName() in ("integer", "long", "short", "byte")]
+    return batches.agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in numbers])
+
+
 def soft_delete(table: DataFrame, keys: DataFrame, on: list[str], now: Column) -> DataFrame:
     """deleted_at set where the key is given and the row is live."""
     gone = keys.select(*on, F.lit(True).alias("__gone")).dropDuplicates(on)
@@ -64,6 +82,13 @@ def insert_absent(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFra
     return table.unionByName(new.select(*table.columns))
 
 
+def insert_returning(table: DataFrame, rows: DataFrame, keys: list[str], position: str, name: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(table with the rows of new keys; position and id of every row that came in, in its order, whether its key was new or known)."""
+    new = keep_first(rows, keys, position).join(table.select(*keys), keys, "left_anti").withColumn(name, F.xxhash64(*keys))
+    whole = table.unionByName(new.select(*table.columns))
+    return whole, rows.select(position, *keys).join(whole.select(*keys, name), keys, "left").select(position, name).orderBy(position)
+
+
 def with_ids(table: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
     return table.withColumn(name, F.xxhash64(*keys))
 
@@ -105,9 +130,16 @@ def pending(outbox: DataFrame, store: str | None = None, limit: int | None = Non
     return rows if limit is None else rows.limit(limit)
 
 
-def claim(outbox: DataFrame, limit: int = BATCH) -> DataFrame:
-    """The oldest rows below the retry limit over all stores, then by store, collection and time."""
-    rows = outbox.filter(F.col("processed_at").isNull() & (F.col("retry_count") < MAX_RETRIES)).orderBy("created_at", "outbox_id").limit(limit)
+def pending_count(outbox: DataFrame, store: str | None = None) -> DataFrame:
+    """n: the unprocessed rows."""
+    return pending(outbox, store).agg(F.count(F.lit(1)).alias("n"))
+
+
+def claim(outbox: DataFrame, limit: int | None = BATCH) -> DataFrame:
+    """The oldest rows below the retry limit over all stores (all of them without a limit), then by store, collection and time."""
+    rows = outbox.filter(F.col("processed_at").isNull() & (F.col("retry_count") < MAX_RETRIES))
+    if limit is not None:
+        rows = rows.orderBy("created_at", "outbox_id").limit(limit)
     return rows.orderBy("target_store", "collection_name", "created_at", "outbox_id")
 
 

@@ -7,7 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codelode.functions.text import code_tokens
+from codelode.functions.text import code_tokens, splade_weight
+from codelode.operators.tables import kept
 
 K1, B, DEFAULT_AVGDL = 1.2, 0.75, 50.0
 #: Constant of reciprocal rank fusion (ranks from 1); most rows that one list may bring to it.
@@ -52,7 +53,11 @@ def dense_topk_many(vectors: DataFrame, queries: DataFrame, limit: int, key: str
     """query_id, key, score, rank of the nearest vectors of each query, exactly.
 
     Queries go to the executors in blocks of at most `block` vectors.  Each task keeps its own best rows of
-    each query, so what is shuffled is bounded by queries * limit rows for each task."""
+    each query, so what is shuffled is bounded by queries * limit rows for each task.  Vectors that are null, zero,
+    hold a null or have another dimension than most queries are on neither side."""
+    dimension = queries.groupBy(F.size(vector).alias("n")).count().filter("n > 0").orderBy(F.desc("count"), "n").first()
+    whole = (F.size(vector) == (dimension.n if dimension else 0)) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(vector, lambda x: x != 0)
+    vectors, queries = vectors.filter(whole & F.col(key).isNotNull()), queries.filter(whole & F.col(key).isNotNull())
     n = queries.count()
     parts = -(-n // block) if n else 0
     out = None
@@ -85,7 +90,7 @@ def _block_topk(vectors, ids, q, limit, key, vector) -> DataFrame:
         of = np.repeat(np.array(ids, np.int64), best.shape[1])
         yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(best_id.ravel()), pa.array(best.ravel())], names=["query_id", key, "score"])
 
-    return vectors.filter(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"query_id long, {key} long, score double")
+    return vectors.select(key, vector).mapInArrow(run, f"query_id long, {key} long, score double")
 
 
 # ---- sparse
@@ -123,7 +128,8 @@ def bm25_weight(tf: Column, length: Column, avgdl: Column, k1: float = K1, b: fl
 def bm25_topk(docs: DataFrame, query: str, limit: int, key: str = "doc_id", text: str = "text", group: str = "source") -> DataFrame:
     """key and score: IDF over the corpus, length normalised by the average of the document's group.
 
-    Only the query's terms leave the text: counts per document are computed in place, so nothing of the vocabulary is shuffled."""
+    Only the query's terms leave the text: counts per document are computed in place, once, so nothing of the vocabulary is
+    shuffled and no text is tokenised twice; the small table of counts is kept between the two passes over it."""
     spark = docs.sparkSession
     words = spark.range(1).select(code_tokens(F.lit(query)).alias("t")).first().t
     terms = sorted(set(words))
@@ -132,17 +138,15 @@ def bm25_topk(docs: DataFrame, query: str, limit: int, key: str = "doc_id", text
     rows = docs.select(key, group, code_tokens(F.col(text)).alias("tokens"))
     occurs = lambda t: F.size(F.filter("tokens", lambda x: x == t))
     tf = [occurs(t) for t in terms]
-    rows = rows.select(key, group, F.size("tokens").alias("length"), F.array(*tf).alias("tf"))
-    # one pass for all counts, by group; a second one scores: the small table between them is kept
+    rows = kept(rows.select(key, group, F.size("tokens").alias("length"), F.array(*tf).alias("tf")))
     seen_in = [F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df_{i}") for i in range(len(terms))]
-    groups = rows.groupBy(group).agg(F.avg("length").alias("avgdl"), F.count(F.lit(1)).alias("n"), *seen_in).persist()
+    groups = rows.groupBy(group).agg(F.avg("length").alias("avgdl"), F.count(F.lit(1)).alias("n"), *seen_in)
     seen = groups.agg(F.sum("n").alias("n"), *[F.sum(f"df_{i}").alias(f"df_{i}") for i in range(len(terms))]).first()
     lengths, n, weights = groups.select(group, "avgdl"), seen["n"] or 0, []
     for i, t in enumerate(terms):
         df = seen[f"df_{i}"] or 0
         own = float(np.log((n - df + 0.5) / (df + 0.5) + 1)) * words.count(t)
         weights.append(F.lit(own) * bm25_weight(F.col("tf")[i], F.col("length"), F.col("avgdl")))
-    # every weight of a term that occurs is positive; a filter on the counts would be pushed down and tokenise once for each term
     scored = rows.join(lengths, rows[group].eqNullSafe(lengths[group])).select(key, sum(weights[1:], weights[0]).alias("score"))
     return top(scored.filter("score > 0"), limit, "score", key)
 
@@ -154,6 +158,64 @@ def top_terms(docs: DataFrame, key: str, text: str, k: int = SPARSE_TERMS) -> Da
     return weighted.withColumn("rank", rank).filter(F.col("rank") <= k).select(key, "term", "weight", "rank")
 
 
+def bm25_by_group(docs: DataFrame, query: str, limit: int, key: str, text: str, group: str) -> DataFrame:
+    """group, key, score, rank: the best rows of every group, each scored by its own counts, in one pass over all groups."""
+    spark = docs.sparkSession
+    words = spark.range(1).select(code_tokens(F.lit(query)).alias("t")).first().t
+    terms = sorted(set(words))
+    rows = docs.select(group, key, code_tokens(F.col(text)).alias("tokens"))
+    occurs = lambda t: F.size(F.filter("tokens", lambda x: x == t))
+    tf = [occurs(t) for t in terms] or [F.lit(0)]
+    rows = kept(rows.select(group, key, F.size("tokens").alias("length"), F.array(*tf).alias("tf")))
+    seen = [F.sum((F.col("tf")[i] > 0).cast("long")).alias(f"df_{i}") for i in range(len(terms))]
+    counts = rows.groupBy(F.col(group).alias("__group")).agg(F.avg("length").alias("avgdl"), F.count(F.lit(1)).alias("n"), *seen)
+    weights = [float(words.count(t)) * idf(F.col("n"), F.col(f"df_{i}")) * bm25_weight(F.col("tf")[i], F.col("length"), F.col("avgdl")) for i, t in enumerate(terms)]
+    scored = rows.join(counts, F.col(group).eqNullSafe(F.col("__group"))).select(group, key, (sum(weights[1:], weights[0]) if weights else F.lit(0.0)).alias("score"))
+    return best_by_group(scored.filter("score > 0"), limit, key, group)
+
+
+def dense_by_group(vectors: DataFrame, query: list[float], limit: int, key: str, vector: str, group: str) -> DataFrame:
+    """group, key, score, rank: the nearest vectors of every group."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    return best_by_group(vectors.select(group, key, cosine(F.col(vector), q).alias("score")).filter("score IS NOT NULL"), limit, key, group)
+
+
+def best_by_group(scored: DataFrame, limit: int, key: str, group: str) -> DataFrame:
+    """The rows of rank 1 to limit of every group; Spark keeps only so many of each group before it shuffles."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.isnan("score"), F.desc_nulls_last("score"), key))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= limit)
+
+
+def fuse_by_group(lists: list[DataFrame], limit: int, key: str, group: str, k: int = RRF_K) -> DataFrame:
+    """group, key, score: reciprocal rank fusion within every group of lists with a rank."""
+    whole = None
+    for x in lists:
+        part = x.select(group, key, (F.lit(1.0) / (k + F.col("rank"))).alias("part"))
+        whole = part if whole is None else whole.union(part)
+    return best_by_group(whole.groupBy(group, key).agg(F.sum("part").alias("score")), limit, key, group).drop("rank")
+
+
+def max_pool(logits: DataFrame, key: str, k: int = SPARSE_TERMS) -> DataFrame:
+    """key, term, weight, rank: the largest activation of each term over a sequence (key, term, logit), positive ones, the k heaviest."""
+    pooled = logits.groupBy(key, "term").agg(F.max(splade_weight(F.col("logit"))).alias("weight")).filter("weight > 0")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("weight"), "term"))
+    return pooled.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def sparse_embed(docs: DataFrame, key: str, text: str, provider: str = "bm25", learned=None, k: int = SPARSE_TERMS) -> DataFrame:
+    """key, term, weight, rank of the chosen provider: 'bm25', or 'learned', whose `learned(docs)` gives key, term, logit.
+
+    Where the learned one cannot be had (none given, or it raises when asked), BM25 takes its place; other names are errors."""
+    if provider not in ("bm25", "learned"):
+        raise ValueError(f"unknown sparse provider {provider!r}")
+    if provider == "learned" and learned is not None:
+        try:
+            return max_pool(learned(docs.select(key, text)), key, k)
+        except RuntimeError:
+            pass
+    return top_terms(docs, key, text, k)
+
+
 def first_of_index(postings: DataFrame, key: str, term: str, weight: str, position: str) -> DataFrame:
     """Of repeated terms of a document the first counts."""
     return postings.groupBy(key, term).agg(F.min_by(weight, position).alias(weight))

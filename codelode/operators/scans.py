@@ -28,6 +28,11 @@ def embeddings_of_names(entities: DataFrame, embeddings: DataFrame, names: DataF
     return rows.join(embeddings.select(F.col("id").alias("embedding_id"), "embedding"), "embedding_id").drop("embedding_id")
 
 
+def embeddings_by_ids(embeddings: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, embedding, sparse_indices, sparse_values of the ids asked for (each once)."""
+    return by_keys(embeddings, ids, ["id"]).select("id", "embedding", "sparse_indices", "sparse_values")
+
+
 def token_counts(entities: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Each key with its own token count (null where there is no such row)."""
     return keys.select(*on).distinct().join(entities.select(*on, "bm25_token_count"), on, "left")

@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codelode.functions.text import is_simple_lookup
+from codelode.functions.text import is_simple_lookup, prompt_entry
 from codelode.operators.ingest import keep_first
 
 ITERATIONS, DIRECT_WITH_GRAPH, DIRECT_ALONE, MOST_QUERY = 5, 5, 10, 10_000
@@ -46,6 +46,13 @@ def combine(direct: DataFrame, graph: DataFrame, key: str) -> DataFrame:
     return keep_first(both, [key], "__o").drop("__o")
 
 
+def prompt(results: DataFrame, limit: int) -> str:
+    """The best results as text for a planner (entity_id, entity_type, qualified_name, source, origin, relation, score, content), best first."""
+    entry = prompt_entry(*[F.col(c) for c in ("entity_id", "entity_type", "qualified_name", "source", "origin", "relation", "score", "content")])
+    rows = results.orderBy(F.desc_nulls_last("score"), "entity_id").limit(limit).select(entry.alias("entry")).collect()
+    return "\n\n---\n\n".join(r.entry for r in rows)
+
+
 def run(query: str, search: Callable[[str, int], DataFrame], walk: Callable[[str, str], DataFrame], planner: Planner | None = None, key: str = "qualified_name") -> list[tuple[str, str]]:
     """(key, origin) of the results.  search(text, limit) and walk(kind, name) give tables with a column `key`.
 

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codelode.functions import text as X
-from codelode.functions.embedding import Provider, embed, hashing_provider, word_overlap
+from codelode.functions.embedding import Provider, embed, for_task, hashing_provider, word_overlap
 from codelode.operators import graph, ingest, resolve, retrieval
 from codelode.operators.extract import extract_table
 from codelode.plans import agentic
@@ -96,30 +96,47 @@ class Engine:
         return out
 
     def search(self, r: SearchRequest) -> DataFrame:
-        """Hybrid search: filters before both lists, fusion for each repository, merging, optional reranking."""
+        """Hybrid search: filters before both lists, fusion within each repository, merging, optional reranking.
+
+        All repositories are ranked in one pass; only structural conditions, which ask each repository's graph, are
+        taken one repository at a time."""
         limit = retrieval.clamp(r.limit, 1, 1000)
         n = retrieval.prefetch(limit, r.prefetch_multiplier)
         rows = retrieval.metadata_filter(ingest.live(self.entities), r.filters.entity_types, r.filters.language, r.filters.file_path)
-        names = r.repositories or [x[0] for x in rows.select("repository_id").distinct().orderBy("repository_id").collect()]
-        vector = r.embedding or self.provider([r.query])[0]
-        lists = []
-        for name in names:
-            own = rows.filter(F.col("repository_id") == name)
-            sets = self.structural_sets(r.filters, name)
-            if r.prefilter:
-                own = self._within(own, sets)
-            sparse = retrieval.bm25_topk(own, r.query, n, "entity_id", "content", "repository_id")
-            fused = retrieval.fuse([sparse, retrieval.dense_topk(own, vector, n, "entity_id", "embedding")], limit, "entity_id").withColumn("repository_id", F.lit(name))
-            lists.append(fused if r.prefilter else self._within(fused.join(own.select("entity_id", "name", "qualified_name"), "entity_id"), sets).select(*fused.columns))
-        if not lists:
-            return rows.select(*RESULT).withColumn("score", F.lit(0.0)).limit(0)
+        if r.repositories:
+            rows = rows.filter(F.col("repository_id").isin(r.repositories))
+        allowed = self._allowed(rows, r) if any([r.filters.implements_trait, r.filters.in_module, r.filters.calls, r.filters.called_by]) else None
+        keys = ["repository_id", "entity_id"]
+        own = rows.join(allowed, keys, "left_semi") if allowed is not None and r.prefilter else rows
+        vector = r.embedding or for_task(self.provider, "query")([r.query])[0]
+        lists = [retrieval.bm25_by_group(own, r.query, n, "entity_id", "content", "repository_id"), retrieval.dense_by_group(own, vector, n, "entity_id", "embedding", "repository_id")]
+        best = retrieval.fuse_by_group(lists, limit, "entity_id", "repository_id")
+        if allowed is not None and not r.prefilter:
+            best = best.join(allowed, keys, "left_semi")
         kept = min(r.rerank_candidates, 1000) if r.rerank else limit
-        best = retrieval.merge_lists(lists, kept, "entity_id")
-        found = best.join(ingest.live(self.entities).select(*RESULT), ["repository_id", "entity_id"])
+        found = retrieval.top(best, kept, "score", "entity_id").join(ingest.live(self.entities).select(*RESULT), keys)
         if r.rerank:
             found = found.withColumn("score", self.reranker(r.query)(X.truncate_utf8(F.coalesce("content", "name"))))
         return retrieval.top(found, limit, "score", "entity_id")
 
+    def _allowed(self, rows: DataFrame, r: SearchRequest) -> DataFrame:
+        """Keys of the rows that meet the structural conditions of their own repository."""
+        names = r.repositories or [x[0] for x in rows.select("repository_id").distinct().orderBy("repository_id").collect()]
+        keys = rows.select("repository_id", "entity_id", "name", "qualified_name")
+        parts = [self._within(keys.filter(F.col("repository_id") == name), self.structural_sets(r.filters, name)).select("repository_id", "entity_id") for name in names]
+        return reduce(DataFrame.union, parts) if parts else keys.select("repository_id", "entity_id").limit(0)
+
+    def cache_statistics(self, cache: DataFrame) -> DataFrame:
+        return ingest.cache_stats(cache)
+
+    def clear_cache(self, cache: DataFrame, model: str | None = None) -> DataFrame:
+        """The embedding cache without one model's rows, or empty."""
+        return ingest.purge(cache, "model_version", [model] if model else [])
+
+    def drop(self, repository: str) -> Engine:
+        """An engine without a repository's entities and edges."""
+        return replace(self, entities=ingest.purge(self.entities, "repository_id", [repository]), edges=ingest.purge(self.edges, "repository_id", [repository]))
+
     @staticmethod
     def _within(rows: DataFrame, sets: list[DataFrame]) -> DataFrame:
         for s in sets:
@@ -143,9 +160,10 @@ def index(files: DataFrame, cache: DataFrame | None, provider: Provider, model:
 
     cache: repository_id, model_version, content_hash, embedding.  Equal texts are embedded once."""
     rows = ingest.keep_last(extract_table(files), ["repository_id", "file_path", "qualified_name", "entity_type"], "start_line", "end_line")
-    text = X.sanitize(F.concat_ws(" ", "entity_type", "name", "qualified_name", "documentation_summary", "content"))
-    rows = rows.withColumns({"__text": text, "content_hash": F.md5(text), "model_version": F.lit(model), "bm25_token_count": X.token_count(F.col("content"))})
-    rows = rows.withColumn("entity_id", F.concat(F.lit("entity-"), F.md5(F.concat_ws(":", "repository_id", "file_path", "qualified_name", "entity_type"))))
+    none = F.lit(None).cast("string")
+    text = X.sanitize(X.embedding_text(F.col("entity_type"), F.col("name"), F.col("qualified_name"), F.col("documentation_summary"), F.lit(None).cast("array<struct<name:string,type:string>>"), none, F.col("content")))
+    rows = rows.withColumns({"__text": text, "content_hash": X.xxh3_hex(text), "model_version": F.lit(model), "bm25_token_count": X.token_count(F.col("content"))})
+    rows = rows.withColumn("entity_id", X.entity_id(F.col("repository_id"), F.col("file_path"), F.col("qualified_name"), F.col("entity_type")))
     keys = ["repository_id", "model_version", "content_hash"]
     wanted = rows.select(*keys, "__text").dropDuplicates(keys)
     hits = cache.select(*keys, "embedding") if cache is not None else None

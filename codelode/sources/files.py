@@ -14,19 +14,28 @@ from codelode.streaming.changes import MAX_BYTES, glob_pattern, wanted
 
 
 def ignore_patterns(text: str) -> list[str]:
-    """Patterns of an ignore file as globs of whole paths; negations and comments are left out."""
+    """Patterns of an ignore file as globs of whole paths, in its order; negations keep their `!`, comments are left out.
+
+    A pattern with a slash before its end holds from the root, as one that begins with a slash."""
     out = []
     for line in text.splitlines():
         p = line.strip()
-        if p and p[0] not in "#!":
+        if p and p[0] != "#":
+            sign, p = ("!", p[1:]) if p[0] == "!" else ("", p)
             base = p.strip("/")
-            out += [base if p.startswith("/") else f"**/{base}", f"{base}/**" if p.startswith("/") else f"**/{base}/**"]
+            rooted = "/" in p.rstrip("/")
+            own = [] if p.endswith("/") else [base if rooted else f"**/{base}"]
+            out += [sign + g for g in [*own, f"{base}/**" if rooted else f"**/{base}/**"]]
     return out
 
 
 def repository_files(spark: SparkSession, root: str, repository_id: str, package: str | None = None, ignore: list[str] = (), extensions: list[str] | None = None) -> DataFrame:
-    """repository_id, path (relative), content, package, size of the files to index, read by the executors."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """repository_id, path (relative), content, package, size of the files to index, read by the executors.
+
+    Names are filtered while the files are listed, sizes before they are read; the file system follows symbolic links."""
+    kinds = sorted(extensions or EXTENSIONS)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join([*kinds, *[k.upper() for k in kinds]]) + "}")
+    rows = reader.load(root)
     base = root.rstrip("/") + "/"
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^.*?" + re.escape(base), "")
     rows = rows.filter(F.col("length") <= MAX_BYTES).select(relative.alias("path"), F.col("length").alias("size"), "content")

@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codelode.operators.ingest import MAX_RETRIES, claim, settle
+from codelode.operators.tables import kept
+
 WINDOW_MS = 500
 MAX_BYTES = 10 * 1024 * 1024
 # Kinds of file changes in the order in which a batch applies them.
@@ -127,10 +130,15 @@ def glob_pattern(glob: str) -> str:
 
 
 def wanted(path: Column, size: Column, ignore: list[str] = (), extensions: list[str] | None = None) -> Column:
-    """Files within the size limit, of the extensions, matching no ignore glob (of the whole path or its last part)."""
-    ok = size <= MAX_BYTES
+    """Files within the size limit, of the extensions, that the ignore globs (of the whole path or its last part) leave.
+
+    The last glob that matches decides: one that begins with `!` takes a file back in."""
+    ignored = F.lit(False)
     for g in ignore:
-        ok = ok & ~F.rlike(path, F.lit(glob_pattern(g))) & ~F.rlike(F.element_at(F.split(path, "/"), -1), F.lit(glob_pattern(g)))
+        glob = F.lit(glob_pattern(g.removeprefix("!")))
+        hit = F.rlike(path, glob) | F.rlike(F.element_at(F.split(path, "/"), -1), glob)
+        ignored = F.when(hit, F.lit(not g.startswith("!"))).otherwise(ignored)
+    ok = (size <= MAX_BYTES) & ~ignored
     if extensions:
         ok = ok & F.lower(F.element_at(F.split(path, r"\."), -1)).isin(extensions) & F.contains(path, F.lit("."))
     return ok
@@ -147,9 +155,23 @@ def sessions(events: DataFrame, gap: str, key: str, ts: str = "ts") -> DataFrame
 
 
 def apply_outbox(batch: DataFrame, sink, error_of, now: Column, outbox: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One step of the log applier for foreachBatch: `sink(rows)` writes by key (so a repeat is harmless); `error_of(rows)` gives outbox_id, error."""
-    from codelode.operators.ingest import claim, settle
+    """One step of the log applier for foreachBatch, on every claimable row of the micro-batch.
 
-    rows = claim(batch)
+    `sink(rows)` writes by key (so a repeat is harmless); `error_of(rows)` gives outbox_id, error.  If the sink raises,
+    nothing is settled and the batch is tried again as a whole."""
+    rows = claim(batch, None)
     sink(rows)
     return settle(outbox, error_of(rows), now)
+
+
+def drain(outbox: DataFrame, sink, error_of, now: Column, batch: int = 500) -> tuple[DataFrame, DataFrame]:
+    """(log, dead letters) after claiming, applying and settling batches until no row is left to try; every row is tried at most as often as it may be."""
+    dead = None
+    while True:
+        rows = kept(claim(outbox, batch))
+        if rows.isEmpty():
+            return outbox, dead if dead is not None else outbox.limit(0)
+        sink(rows)
+        outbox, _ = settle(outbox, error_of(rows), now)
+        outbox = kept(outbox)
+        dead = outbox.filter((F.col("retry_count") >= MAX_RETRIES) & F.col("last_error").isNotNull())

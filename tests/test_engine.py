@@ -52,7 +52,7 @@ def test_text_helpers(spark):
     p = F.array(F.struct(F.lit("x").alias("name"), F.lit("int").alias("type")), F.struct(F.lit("y").alias("name"), F.lit(None).cast("string").alias("type")))
     n = F.lit(None).cast("string")
     assert one(spark, X.embedding_text(F.lit("Function"), F.lit("f"), F.lit("m::f"), n, p, F.lit("bool"), n))[0] == "Function f m::f x: int y -> bool"
-    assert X.is_simple_lookup("find parser") and not X.is_simple_lookup("find callers of parser") and not X.is_simple_lookup("parser")
+    assert X.is_simple_lookup("Find the parser") and not X.is_simple_lookup("find parser") and not X.is_simple_lookup("find the callers of parser") and not X.is_simple_lookup("parser")
     import xxhash
 
     assert one(spark, X.xxh3_hex(F.lit("abc")))[0] == xxhash.xxh3_128_hexdigest(b"abc")
