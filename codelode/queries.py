@@ -619,3 +619,6 @@ def length_stats(spark, sf):
 def ids_by_file(spark, sf):
     rows = table(spark, sf, "documents").select(F.lit("r").alias("repository_id"), F.col("source").alias("file_path"), F.col("doc_id").alias("entity_id"))
     return ingest.ids_by_file(rows).select(F.col("file_path").alias("source"), F.size("entity_ids").alias("n"), F.get("entity_ids", F.lit(0)).alias("first"))
+
+
+from codelode import queries_more  # noqa: E402, F401  (registers its queries here)

@@ -110,9 +110,13 @@ def route(changes: DataFrame) -> DataFrame:
     return changes.select(F.explode(actions).alias("a")).select("a.*")
 
 
+def priority(kind: Column) -> Column:
+    """Place of a kind of change in a batch; unknown kinds come last."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PRIORITY)), kind), F.lit(0)), F.lit(99))
+
+
 def by_priority(changes: DataFrame, *tie: str) -> DataFrame:
-    place = F.coalesce(F.array_position(F.array(*map(F.lit, PRIORITY)), F.col("change_type")), F.lit(99))
-    return changes.orderBy(place, *tie)
+    return changes.orderBy(priority(F.col("change_type")), *tie)
 
 
 def glob_pattern(glob: str) -> str:

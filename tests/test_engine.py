@@ -338,6 +338,111 @@ def test_index_search_graph(spark, tmp_path):
 # ---- look-ups
 
 
+def test_reindex_and_drain(spark):
+    """Changed files are upserted, entities that went are deleted softly, every change is logged once for each store."""
+    from codelode import schema
+    from codelode.plans.indexing import Store, reindex
+
+    empty = lambda kind: spark.createDataFrame([], kind)
+    rows = spark.createDataFrame([("r", "src/a.rs", "pub fn one() { two(); }\nfn two() {}\n", "p"), ("r", "src/b.rs", "pub fn three() {}\n", "p")], "repository_id string, path string, content string, package string")
+    first, fresh = index(rows.limit(0), None, embedding.hashing_provider(4), "m")
+    entities = first.drop("embedding").withColumns({"embedding": F.lit(None).cast("array<float>"), "deleted_at": F.lit(None).cast("timestamp")})
+    repos = spark.createDataFrame([("r", False, None), ("s", False, None)], "repository_id string, pending_relationship_resolution boolean, last_indexed_commit string")
+    store = Store(entities, empty(schema.SNAPSHOTS), fresh, empty(schema.OUTBOX), repos)
+    none = spark.createDataFrame([], "repository_id string, file_path string")
+    now = F.lit("2024-05-01").cast("timestamp")
+    store, counts = reindex(store, rows, none, embedding.hashing_provider(4), "m", "c1", now)
+    assert {r.what: r.n for r in counts.collect()} == {"files": 2, "inserted": 3, "updated": 0, "deleted": 0}
+    changed = spark.createDataFrame([("r", "src/a.rs", "pub fn one() {}\nfn four() {}\n", "p")], rows.schema)
+    gone = spark.createDataFrame([("r", "src/b.rs")], none.schema)
+    store, counts = reindex(store, changed, gone, embedding.hashing_provider(4), "m", "c2", now)
+    assert {r.what: r.n for r in counts.collect()} == {"files": 1, "inserted": 1, "updated": 1, "deleted": 2}
+    assert sorted(r.name for r in ingest.live(store.entities).collect()) == ["four", "one"]
+    assert store.entities.filter("deleted_at IS NOT NULL").count() == 2
+    assert {(r.operation, r.target_store): r["count"] for r in store.outbox.groupBy("operation", "target_store").count().collect()} == {(o, t): n for o, n in (("INSERT", 4), ("UPDATE", 1), ("DELETE", 2)) for t in ("vector", "graph")}
+    assert store.outbox.select("outbox_id").distinct().count() == 14
+    assert [r.file_path for r in store.snapshots.collect()] == ["src/a.rs"]
+    assert {r.repository_id: (r.pending_relationship_resolution, r.last_indexed_commit) for r in store.repositories.collect()} == {"r": (True, "c2"), "s": (False, None)}
+    log = store.outbox
+    seen = []
+    refuse = lambda rows: rows.select("outbox_id", F.when(F.col("operation") == "UPDATE", "refused").alias("error"))
+    done, dead = changes.drain(log, lambda rows: seen.append(rows.count()), refuse, now, batch=5)
+    assert sum(seen) == 14 + 2 * 2 and ingest.pending_count(done).first().n == 0
+    assert {(r.operation, r.retry_count) for r in dead.collect()} == {("UPDATE", 3)} and dead.count() == 2
+
+
+def test_updater():
+    from codelode.plans.indexing import Updater
+
+    u = Updater("main", "c1")
+    assert not u.due("main", "c1") and u.due("Master", "c2") and not u.due("feature", "c2")
+    assert not Updater("off").due("main", "c9") and Updater("off").start(None, None, "") is None
+    with pytest.raises(ValueError):
+        Updater("sometimes")
+
+
+def test_provider_retries_tasks_and_batches(spark):
+    asked = []
+
+    def flaky(texts, task="passage"):
+        asked.append((task, len(texts)))
+        if len(asked) < 3:
+            raise RuntimeError("busy")
+        return [[float(len(t))] for t in texts]
+
+    assert embedding.retried(embedding.for_task(flaky, "query"), ["ab"], wait=0) == [[2.0]] and asked == [("query", 1)] * 3
+    with pytest.raises(RuntimeError):
+        embedding.retried(lambda texts: 1 / 0 if texts is None else (_ for _ in ()).throw(RuntimeError()), ["x"], tries=2, wait=0)
+    with pytest.raises(ValueError):
+        embedding.for_task(flaky, "other")
+    assert [list(r) for r in embedding.batches([5, 5, 20, 1, 1, 1], 2, 10)] == [[0, 1], [2], [3, 4], [5]]
+    assert list(embedding.batches([], 2)) == []
+
+
+def test_sparse_providers(spark):
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, "beta beta")], "doc_id long, text string")
+    logits = lambda rows: rows.select("doc_id", F.lit("t").alias("term"), F.lit(1.0).alias("logit"))
+
+    def refuse(_):
+        raise RuntimeError("no model")
+
+    assert {r.term for r in retrieval.sparse_embed(docs, "doc_id", "text", "learned", logits).collect()} == {"t"}
+    for more in ({"provider": "learned", "learned": refuse}, {"provider": "learned"}, {}):
+        assert {r.term for r in retrieval.sparse_embed(docs, "doc_id", "text", **more).collect()} == {"alpha", "beta"}
+    with pytest.raises(ValueError):
+        retrieval.sparse_embed(docs, "doc_id", "text", "other")
+
+
+def test_dense_many_leaves_out_broken_vectors(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, None), (3, [1.0]), (4, [0.0, 0.0]), (5, [None, 1.0]), (None, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    got = retrieval.dense_topk_many(rows, rows, 2).collect()
+    assert {(r.query_id, r.vec_id) for r in got} == {(0, 0), (0, 1), (1, 0), (1, 1)}
+    assert retrieval.dense_topk_many(rows, rows.filter("vec_id = 2"), 2).count() == 0
+
+
+def test_search_groups_agree_with_single_ones(spark):
+    """One pass over all repositories gives each repository's own lists."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    many = retrieval.bm25_by_group(docs, "the erin", 5, "doc_id", "text", "source")
+    for source in [r.source for r in docs.select("source").distinct().orderBy("source").limit(3).collect()]:
+        one_ = retrieval.bm25_topk(docs.filter(F.col("source") == source), "the erin", 5)
+        assert [(r.doc_id, round(r.score, 6)) for r in many.filter(F.col("source") == source).orderBy("rank").collect()] == [(r.doc_id, round(r.score, 6)) for r in one_.collect()]
+
+
+def test_prompt(spark):
+    rows = spark.createDataFrame([("e1", "Function", "m::f", "semantic", None, None, 0.91, "x"), ("e2", "Class", "m::C", "graph", "e1", "CALLS", 0.5, None)], "entity_id string, entity_type string, qualified_name string, source string, origin string, relation string, score double, content string")
+    assert agentic.prompt(rows, 2) == "[e1] Function: m::f\nScore: 0.91\nJustification: Semantic match: 0.91\nContent: x\n\n---\n\n[e2] Class: m::C [via CALLS from e1]\nScore: 0.50\nJustification: Graph context\nContent: N/A"
+    assert agentic.prompt(rows, 1).count("[") == 1
+
+
+def test_ignore_rules_with_negation(spark):
+    globs = files.ignore_patterns("# build\ntarget/\n*.log\n!keep.log\n/docs/*.md\n\n")
+    paths = ["target/a.rs", "x/target/b.rs", "a.log", "d/keep.log", "docs/a.md", "x/docs/a.md", "src/target.rs"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string")
+    left = {r.path for r in rows.filter(changes.wanted(F.col("path"), F.lit(1), globs)).collect()}
+    assert left == {"d/keep.log", "x/docs/a.md", "src/target.rs"}
+
+
 def test_scans(spark):
     from codelode.operators import scans
 
