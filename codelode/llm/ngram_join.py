@@ -409,13 +409,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links), root (of its component, null for an empty set), h (hash of the text)."""
     found, _, labels = join_sets(docs, words)
     first = found.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"))
-    of = first.join(labels, F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("root", "sid").alias("root"))
-    least = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = of.join(least, "root").select(F.col("sid").alias("of"), "component_id", "root")
+    # only linked sets are looked up by root: minima are combined before they are shuffled, and sent to the sets while few
+    members = labels.union(labels.select(F.col("root").alias("node"), "root").distinct())
+    named = members.join(first, F.col("node") == F.col("sid")).select("sid", "root", "first")
+    least = materialise(named.groupBy("root").agg(F.min("first").alias("component_id")))
+    named = named.join(F.broadcast(least) if least.count() <= BROADCAST_IDS else least, "root").select(F.col("sid").alias("linked"), "component_id", "root")
+    of = first.join(named, F.col("sid") == F.col("linked"), "left").select(F.col("sid").alias("of"), F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "sid").alias("root"))
     return found.join(of, F.col("sid") == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root", "h")
 
 
-#: Ids of dropped documents that may be sent to every executor (16 bytes each); beyond, they are joined by id.
+#: Ids of dropped documents, and minima of components, that may be sent to every executor (16 bytes each); beyond, they are joined by id.
 BROADCAST_IDS = 500_000
 
 
