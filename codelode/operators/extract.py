@@ -86,7 +86,8 @@ class Scanner:
             path, name = re.sub(r"::<[^<>()]*>", "", m[1]), m[2]
             if name in NO_CALLS or re.search(r"\b(?:fn|function|new)\s+$", self.text[max(0, m.start() - 12) : m.start()]):
                 continue
-            out.append(self.call_target(path, name))
+            found = self.call_target(path, name)
+            out += found if isinstance(found, list) else [found]
         return list(dict.fromkeys(x for x in out if x))
 
     def types(self, start: int, end: int) -> list[str]:
@@ -166,10 +167,11 @@ class Rust(Scanner):
             parts = base + parts
         return "::".join(parts)
 
-    def call_target(self, path: str, name: str) -> str | None:
+    def call_target(self, path: str, name: str) -> str | list[str] | None:
+        """Where a call goes: by the type of a receiver that is a parameter, one target for each bound of a generic one; else its bare name."""
         if path.endswith("."):
-            owner = self.owner if path == "self." else self.parameters.get(path[:-1].split(".")[-1]) if path.count(".") == 1 else None
-            return f"{owner}::{name}" if owner else name
+            owners = [self.owner] if path == "self." and self.owner else self.parameters.get(path[:-1], []) if path.count(".") == 1 else []
+            return [f"{owner}::{name}" for owner in owners] or name
         if path:
             head, rest = path.rstrip(":").split("::")[0], path.rstrip(":").split("::")[1:]
             base = self.owner if head == "Self" and self.owner else self.absolute(head) if head in ("crate", "self", "super") else self.imports.get(head, self.resolve(head))
@@ -250,9 +252,13 @@ class Rust(Scanner):
         method = inside in ("trait", "impl", "impl trait") and (inside == "trait" or re.search(r"\(\s*(?:&\s*(?:'\w+\s*)?)?(?:mut\s+)?self\b", head) or inside == "impl trait")
         flags = {f"is_{x}": x in m["flags"].split() for x in ("async", "const", "unsafe")}
         e = self.add("Method" if method else "Function", name, scope, vis, m.start(), stop, flags=flags)
-        bounds = {k: v for k, v in re.findall(r"\b([A-Z]\w*)\s*:\s*([A-Z]\w*)", head)}
-        parameters = {k: bounds.get(v, v) for k, v in re.findall(r"\b([a-z_]\w*)\s*:\s*&?\s*(?:'\w+\s*)?(?:mut\s+)?(?:dyn\s+|impl\s+)?([A-Z]\w*)", head)}
-        self.parameters = {k: self.resolve(v) for k, v in parameters.items()}
+        bounds: dict[str, list[str]] = {}
+        for k, v in re.findall(r"\b([A-Z]\w*)\s*:(?!:)\s*([^,>(){;=]+)", head):  # also of a where clause
+            bounds.setdefault(k, []).extend(x for x in re.findall(r"(?:^|\+)\s*(?:\w+::)*([A-Z]\w*)", re.sub(r"<[^<>]*>?", "", v)))
+        self.parameters = {}
+        for k, several, first in re.findall(r"\b([a-z_]\w*)\s*:(?!:)\s*&?\s*(?:'\w+\s*)?(?:mut\s+)?(?:(?:dyn|impl)\s+((?:[^,()<>]|<[^<>]*>)+)|(?:\w+::)*([A-Z]\w*))", head):
+            kinds = re.findall(r"(?:^|\+)\s*(?:\w+::)*([A-Z]\w*)", re.sub(r"<[^<>]*>", "", several)) if several else bounds.get(first, [first])
+            self.parameters[k] = [self.resolve(x) for x in kinds]
         self.owner = owner
         e.refs = {"calls": self.calls(brace + 1, stop) if brace >= 0 else [], "uses_types": self.types(m.end(), stop)}
         if owner and inside != "trait":

@@ -289,6 +289,13 @@ def test_extract_rust():
     assert (got["p::H::h"].visibility, got["p::M::new"].visibility, got["p::M::go"].visibility) == (None, "Public", "Private")
 
 
+def test_extract_receivers():
+    """A receiver that is a parameter gives its type; a generic one every trait bound, also of a where clause."""
+    source = "fn f<T: A + b::B<X>, U>(x: T, y: &U, z: &mut impl C + D, w: Vec<O>, v: &dyn E) where U: F + 'static { x.go(); y.run(); z.stop(); w.len(); v.end(); q.z(); a.b.c(); x.y.go2(); }"
+    found = next(e for e in extract.extract(source, "src/lib.rs", "p") if e.name == "f")
+    assert found.refs["calls"] == ["p::A::go", "p::B::go", "p::F::run", "p::C::stop", "p::D::stop", "p::Vec::len", "p::E::end", "z", "c", "go2"]
+
+
 def test_extract_script():
     source = 'import { a as b } from "./util";\nexport class U extends V implements I { private id: number; static go(): string { return b(this.id); } }\nfunction* gen() { /* } */ b("}"); }\nexport const f = async () => { gen(); };\n'
     got = {e.qualified: e for e in extract.extract(source, "src/m.ts")}
