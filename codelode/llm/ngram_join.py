@@ -388,14 +388,14 @@ def join_sets(docs: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame
     sets = materialise(shingle_sets(docs, words))
     hot_rows = sets.filter("kind = 1").groupBy("sid").agg(F.sum("n").alias("c")).filter(F.col("c") >= HOT_SETS).orderBy(F.desc("c"), "sid").limit(HOT_KEYS).collect()
     hot = np.sort(np.array([r.sid for r in hot_rows], np.int64).view(np.uint64))
-    alive = materialise(survivors(shared(postings(docs, hot, names, words), hot, names)))
+    alive = materialise(survivors(shared(postings(docs, hot, names, words), hot, names)), large=True)
     prefix = prefixes(alive)
     labels, all_links = None, None
     for round_ in range(ROUNDS + 1):
         rows = prefix.withColumn("comp", F.col("sid"))
         if labels is not None:
             rows = prefix.join(labels, F.col("sid") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "sid")).drop("node", "root")
-        found = materialise(links(candidates(rows, round_ == ROUNDS, names), alive))
+        found = materialise(links(candidates(rows, round_ == ROUNDS, names), alive), large=True)
         if found.isEmpty():
             continue
         all_links = found if all_links is None else all_links.union(found)

@@ -542,7 +542,7 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
     size = total_bytes(docs)
     names = even_keys(spark, bucket_count(spark, size / 3))
     limit = max(HOT, size // ((2 * WIDTH - GRAM) // 4) // HOT_KEYS)
-    told = materialise(recurring(meeting(docs, names), limit))
+    told = materialise(recurring(meeting(docs, names), limit), large=True)
     hot = told.filter("doc IS NULL").orderBy(F.desc("contents"), "hot").limit(HOT_KEYS).select("hot").collect()
     told = told.filter("doc IS NOT NULL").select("doc", "keys")
     hot = np.sort(np.array([r.hot for r in hot], np.int64).view(np.uint64))
@@ -550,7 +550,7 @@ def removed_ranges(docs: DataFrame) -> DataFrame:
         more = materialise(recurring(meeting(docs, names, hot), 2**62))
         told = told.union(more.select("doc", "keys"))
     names = even_keys(spark, bucket_count(spark, 2 * size))
-    return materialise(sorted_out(sending(docs, told, hot, names)))
+    return materialise(sorted_out(sending(docs, told, hot, names)), large=True)
 
 
 def cut(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int, int]:
