@@ -94,18 +94,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialise(df: DataFrame, large: bool = False) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
-
-    large: df's shuffles are of the size of the input, so their files are given up at once."""
+def materialise(df: DataFrame) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    schema = df.schema
-    if large:
-        del df
-        release(spark)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    release(spark)
+    return out
 
 
 def release(spark: SparkSession) -> None:
