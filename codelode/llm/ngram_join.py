@@ -415,6 +415,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     least = materialise(named.groupBy("root").agg(F.min("first").alias("component_id")))
     named = named.join(F.broadcast(least) if least.count() <= BROADCAST_IDS else least, "root").select(F.col("sid").alias("linked"), "component_id", "root")
     of = first.join(named, F.col("sid") == F.col("linked"), "left").select(F.col("sid").alias("of"), F.coalesce("component_id", "first").alias("component_id"), F.coalesce("root", "sid").alias("root"))
+    of = materialise(of)  # so the join by set has a shuffle of its own on both sides: many documents may have one set, and Spark splits those
     return found.join(of, F.col("sid") == F.col("of"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "root", "h")
 
 
