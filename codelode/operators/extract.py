@@ -1,9 +1,10 @@
 """Source extraction: files to entity rows, by scanning text with comments and strings blanked out.
 
 One scanner walks brace regions; each language gives the pattern of its items and
-says how an item's region is read.  It reads Rust, JavaScript and TypeScript; it is
-a scanner, not a full parser, so macros are not expanded and expressions are only
-searched for calls and types.  `extract_table` runs it over a table of files.
+says how an item's region is read, and the rules of `extract_rules` say what entity
+an item gives.  It reads Rust, JavaScript and TypeScript; it is a scanner, not a
+full parser, so macros are not expanded and bodies are only searched for calls and
+types, not for items of their own.  `extract_table` runs it over a table of files.
 """
 
 from __future__ import annotations
@@ -13,8 +14,15 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-BLANK = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\\n])'|`(?:\\.|[^`\\])*`", re.S)
-BLANK_JS = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
+from codelode.operators.extract_rules import RULES, Rule
+
+RUST_TOKEN = re.compile(r"//[^\n]*|/\*|\bb?r(#*)\".*?\"\1|\"(?:\\.|[^\"\\])*\"|'(?:\\(?:x[0-9a-fA-F]{2}|u\{[^}\n]*\}|[^xu\n])|[^'\\\n])'", re.S)
+SCRIPT_TOKEN = re.compile(
+    r"//[^\n]*|/\*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`|(?P<before>[(,=:\[!&|?{};]\s*|\breturn\s+)/(?![/*])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\n\[])+/\w*", re.S
+)
+COMMENT_EDGE = re.compile(r"/\*|\*/")
+TEMPLATE_PART = re.compile(r"\\.|`|\$\{", re.S)
+HOLE_PART = re.compile(r"[{}`]|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'")
 NAME = r"[A-Za-z_$][\w$]*"
 CALL = re.compile(rf"(?<![\w$])((?:{NAME}(?:::<[^<>()]*>)?(?:::|\.))*)({NAME})\s*(?:::<[^<>()]*>)?\(")
 TYPE_NAME = re.compile(r"\b([A-Z]\w*)\b")
@@ -34,17 +42,68 @@ class Entity:
     start: int
     end: int
     doc: str | None = None
+    rule: str = ""
     flags: dict = field(default_factory=dict)
+    details: dict = field(default_factory=dict)
     refs: dict = field(default_factory=dict)
     aliases: list = field(default_factory=list)
 
 
+def comment_end(source: str, at: int, nested: bool) -> int:
+    """End of the block comment that begins at `at`; one that never ends takes the rest."""
+    depth, at = 1, at + 2
+    while depth and (m := COMMENT_EDGE.search(source, at)):
+        depth += -1 if m[0] == "*/" else int(nested)
+        at = m.end()
+    return len(source) if depth else at
+
+
+def template_end(source: str, at: int) -> int:
+    """End of the template string whose text begins at `at`; its holes may hold strings and templates."""
+    depths: list[int] = []  # open braces of each hole that is open; none: in the text of the outermost template
+    in_text = True
+    while m := (TEMPLATE_PART if in_text else HOLE_PART).search(source, at):
+        at, found = m.end(), m[0]
+        if in_text and found == "`":
+            if not depths:
+                return at
+            in_text = False
+        elif in_text and found == "${":
+            depths.append(1)
+            in_text = False
+        elif not in_text and found == "`":
+            in_text = True
+        elif not in_text and found in "{}":
+            depths[-1] += 1 if found == "{" else -1
+            if not depths[-1]:
+                depths.pop()
+                in_text = True
+    return len(source)
+
+
+def blank(source: str, token: re.Pattern, nested: bool) -> str:
+    """The source with comments, strings and patterns as spaces; places and line breaks stay."""
+    parts, at = [], 0
+    while m := token.search(source, at):
+        start, end = m.start(), m.end()
+        if m[0].startswith("/*"):
+            end = comment_end(source, start, nested)
+        elif m[0] == "`":
+            end = template_end(source, end)
+        elif not nested and m["before"]:
+            start += len(m["before"])
+        parts += [source[at:start], re.sub(r"[^\n]", " ", source[start:end])]
+        at = end
+    return "".join(parts) + source[at:]
+
+
 class Scanner:
     sep = "."
 
-    def __init__(self, source: str, module: str, package: str | None):
+    def __init__(self, source: str, module: str, package: str | None, language: str):
         self.source, self.module, self.package = source, module, package
-        self.text = (BLANK if self.sep == "::" else BLANK_JS).sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
+        self.rules = RULES[language]
+        self.text = blank(source, RUST_TOKEN if self.sep == "::" else SCRIPT_TOKEN, self.sep == "::")
         self.close: dict[int, int] = {}
         stack: list[int] = []
         for m in re.finditer(r"[{}()\[\]]", self.text):
@@ -86,10 +145,20 @@ class Scanner:
             path, name = re.sub(r"::<[^<>()]*>", "", m[1]), m[2]
             if name in NO_CALLS or re.search(r"\b(?:fn|function|new)\s+$", self.text[max(0, m.start() - 12) : m.start()]):
                 continue
+            before = self.before(m.start())
+            if not path and before.endswith((".", "::")) and before != "..":  # of a value without a name
+                out.append(name)
+                continue
             found = self.call_target(path, name)
             out += found if isinstance(found, list) else [found]
         return list(dict.fromkeys(x for x in out if x))
 
+    def before(self, at: int) -> str:
+        """The two characters before a place, blanks left out."""
+        while at and self.text[at - 1].isspace():
+            at -= 1
+        return self.text[max(0, at - 2) : at]
+
     def types(self, start: int, end: int) -> list[str]:
         return list(dict.fromkeys(self.resolve(x) for x in TYPE_NAME.findall(self.text[start:end]) if x not in PRIMITIVES and len(x) > 1))
 
@@ -97,41 +166,62 @@ class Scanner:
         """Full name of a simple name: imported, else of this module."""
         return self.imports.get(name, self.sep.join(x for x in (self.module, name) if x))
 
-    def add(self, kind, name, scope, visibility, start, end, **more) -> Entity:
-        qualified = more.pop("qualified", None) or self.sep.join(x for x in (scope, name) if x)
-        e = Entity(kind, name, qualified, scope or None, visibility, start, end, self.doc(start), **more)
+    def rule(self, form: str, inside: str) -> Rule | None:
+        return self.rules.get((form, inside)) or self.rules.get((form, ""))
+
+    def add(self, form: str, inside: str, name: str, scope: str | None, written: str | None, start: int, end: int, facts=None, flags=None, details=None, refs=None, qualified=None) -> Entity | None:
+        """The entity that the rule of the form gives, of what is told only what the rule asks for; None without a rule."""
+        rule = self.rule(form, inside)
+        if rule is None:
+            return None
+        facts = {"name": name, "scope": scope or "", **(facts or {})}
+        name = rule.name.format(**facts) if rule.name else name
+        qualified = qualified or self.sep.join(x for x in (scope, name) if x)
+        scope = rule.scope.format(**facts).removeprefix(self.sep) if rule.scope else scope
+        visibility = {"written": written, "none": None}.get(rule.visibility, rule.visibility)
+        e = Entity(rule.kind, name, qualified, scope or None, visibility, start, end, self.doc(start), rule.id)
+        e.flags = {k: bool((flags or {}).get(k)) for k in rule.flags.split()}
+        e.details = {k: v for k in rule.details.split() if (v := re.sub(r"\s+", " ", (details or {}).get(k) or "").strip())}
+        e.refs = {k: (refs or {}).get(k, []) for k in rule.relations.split()}
         self.found.append(e)
         return e
 
 
+# Crates that are there without an import.
+STANDARD = {"std", "core", "alloc"}
+DECLARED = re.compile(r"\b(?:fn|struct|enum|union|trait|mod|type|const|static)\s+(?:mut\s+)?([A-Za-z_]\w*)")
+
+
 class Rust(Scanner):
     sep = "::"
     ITEM = re.compile(
-        r"(?P<vis>\bpub(?:\s*\([^)]*\))?\s+)?(?P<flags>(?:(?:default|async|const|unsafe|extern)\s+)*)"
-        r"\b(?P<kw>fn|struct|enum|union|trait|mod|impl|type|const|static|use|macro_rules!)\s*(?P<mut>mut\s+)?(?P<name>[A-Za-z_]\w*)?"
+        r"(?P<vis>\bpub(?:\s*\([^)]*\))?\s+)?(?P<flags>(?:\b(?:default|async|const|unsafe|extern)\s+)*)"
+        r"(?:\b(?P<kw>fn|struct|enum|union|trait|mod|impl|type|const|static|use|macro_rules!)\s*(?P<mut>mut\s+)?(?P<name>[A-Za-z_]\w*)?|\b(?P<block>extern)\s*(?=\{))"
     )
-    SIMPLE = {"struct": "Struct", "enum": "Enum", "union": "Union", "trait": "Trait", "type": "TypeAlias", "const": "Constant", "static": "Static"}
+
+    def __init__(self, *args):
+        super().__init__(*args)
+        self.used, self.reexported, self.globs = [], [], []
+        self.declared = set(DECLARED.findall(self.text))
 
     def scan_file(self) -> list[Entity]:
-        name = self.module.rsplit("::", 1)[-1]
-        parent = self.module.rpartition("::")[0]
         if self.module == self.package:
-            self.add("Module", name, None, "Public", 0, len(self.text), qualified=self.module)
+            self.add("file", "", self.module.rsplit("::", 1)[-1], None, None, 0, len(self.text), qualified=self.module)
         for m in re.finditer(r"(\bpub(?:\s*\([^)]*\))?\s+)?\buse\s+([^;]+);", self.text):
             self.use(m[2], bool(m[1]))
         self.scan(0, len(self.text), self.module, "module")
         for e in self.found:
             if e.kind == "Module" and e.qualified == self.module:
                 e.refs |= {"imports": [v for v in self.used if v], "reexports": self.reexported}
-        return [e for e in self.found if parent or e.qualified != name or e.kind != ""]
+        return self.found
 
-    used: list
-    reexported: list
+    def resolve(self, name: str) -> str:
+        """As imported; else of this file, if it is declared here; else of the first module that is imported whole."""
+        if name not in self.imports and name not in self.declared and self.globs:
+            return f"{self.globs[0]}::{name}"
+        return super().resolve(name)
 
     def use(self, tree: str, public: bool) -> None:
-        if not hasattr(self, "_used"):
-            self._used = True
-            self.used, self.reexported = [], []
 
         def walk(prefix: str, part: str) -> None:
             part = part.strip()
@@ -151,6 +241,8 @@ class Rust(Scanner):
             name = alias.strip() or target.rsplit("::", 1)[-1]
             if name != "*":
                 self.imports[name] = target
+            elif not public:
+                self.globs.append(target.removesuffix("::*"))
             (self.reexported if public else self.used).append(target)
 
         walk("", tree)
@@ -174,63 +266,67 @@ class Rust(Scanner):
             return [f"{owner}::{name}" for owner in owners] or name
         if path:
             head, rest = path.rstrip(":").split("::")[0], path.rstrip(":").split("::")[1:]
-            base = self.owner if head == "Self" and self.owner else self.absolute(head) if head in ("crate", "self", "super") else self.imports.get(head, self.resolve(head))
+            base = self.owner if head == "Self" and self.owner else self.absolute(head) if head in ("crate", "self", "super") else self.imports.get(head, head if head in STANDARD else self.resolve(head))
             return "::".join([base, *rest, name])
         return None if name[:1].isupper() else self.resolve(name)
 
     owner: str | None = None
+    abi = "C"
     parameters: dict = {}
 
-    def visibility(self, vis: str | None, inside: str) -> str | None:
-        if inside in ("trait", "impl trait"):
-            return None if inside == "trait" else "Public"
+    def visibility(self, vis: str | None) -> str:
         v = re.sub(r"\s", "", vis or "")
         return "Private" if v in ("", "pub(self)") else "Public" if v == "pub" else "Internal"
 
     def scan(self, at: int, end: int, scope: str, inside: str, owner: str | None = None) -> None:
-        if not hasattr(self, "_used"):
-            self._used, self.used, self.reexported = True, [], []
         while m := self.ITEM.search(self.text, at, end):
-            kw, name, vis = m["kw"], m["name"], self.visibility(m["vis"], inside)
+            kw, name, vis = m["kw"] or m["block"], m["name"], self.visibility(m["vis"])
             brace, stop = self.body(m.end(), end)
             at = max(stop, m.end())
             head = self.text[m.end() : brace if brace >= 0 else stop]
-            if kw == "use" or (kw != "impl" and not name):
+            if kw == "use" or (kw not in ("impl", "extern") and not name):
                 continue
+            place = name, scope, vis, m.start(), stop
             if kw == "fn":
-                self.function(m, name, scope, vis, inside, owner, brace, stop, head)
+                self.function(m, place, inside, owner, brace, head)
             elif kw == "mod":
-                e = self.add("Module", name, scope, vis, m.start(), stop)
+                e = self.add(kw, inside, *place)
                 if brace >= 0:
                     outer, self.module = self.module, e.qualified
                     self.scan(brace + 1, stop - 1, e.qualified, "module")
                     self.module = outer
             elif kw == "impl":
                 self.implementation(m, scope, brace, stop, m.group(0)[len(m["vis"] or "") :].split("impl", 1)[1] + head)
+            elif kw == "extern":
+                abi = re.match(r'\s*r?#*"([^"]*)"', self.source[m.start("block") + len(kw) : brace])
+                self.abi = abi[1] if abi else "C"
+                self.add(kw, inside, "", *place[1:], facts={"abi": self.abi})
+                self.scan(brace + 1, stop - 1, scope, "extern")
             elif kw == "macro_rules!":
                 exported = "macro_export" in self.source[max(0, m.start() - 60) : m.start()]
-                self.add("Macro", name, scope, "Public" if exported else "Private", m.start(), stop)
-            else:
-                kind = self.SIMPLE[kw]
-                more = {"flags": {"is_mutable": bool(m["mut"])}} if kw == "static" else {}
-                e = self.add(kind, name, scope, vis, m.start(), stop, **more)
-                if kw == "trait":
-                    bounds = head.split("where")[0].partition(":")[2]
-                    e.refs["extended_types"] = [self.resolve(x) for x in TYPE_NAME.findall(re.sub(r"<[^>]*>", "", bounds))]
+                self.add(kw, inside, name, scope, "Public" if exported else "Private", m.start(), stop)
+            elif kw == "trait":
+                bounds = head.split("where")[0].partition(":")[2]
+                e = self.add(kw, inside, *place, flags={"is_generic": generic(head)}, refs={"extended_types": [self.resolve(x) for x in TYPE_NAME.findall(re.sub(r"<[^>]*>", "", bounds))]})
+                if brace >= 0:
                     self.scan(brace + 1, stop - 1, e.qualified, "trait", e.qualified)
-                elif kw in ("struct", "union", "enum") and (brace >= 0 or "(" in head):
-                    self.members(kw, e, brace, stop, m.end())
-                else:
-                    e.refs["uses_types"] = self.types(m.end(), stop)
-
-    def members(self, kw: str, e: Entity, brace: int, stop: int, after: int) -> None:
-        tuple_at = self.text.find("(", after, stop) if brace < 0 else -1
-        a = brace if brace >= 0 else tuple_at
+            elif kw in ("struct", "union", "enum"):
+                inner = brace if brace >= 0 else self.text.find("(", m.end(), stop)
+                flags = {"is_generic": generic(head), "is_tuple_struct": brace < 0 <= inner, "is_unit_struct": inner < 0}
+                e = self.add(kw, inside, *place, flags=flags, refs={"uses_types": [] if inner >= 0 else self.types(m.end(), stop)})
+                if inner >= 0:
+                    self.members(kw, e, brace, inner, stop)
+            elif inside != "trait" or "=" in head:  # what a trait only asks for is no item
+                declared = re.match(r"\s*:(?!:)([^=;]+)", head)
+                flags = {"is_const": True, "is_mutable": m["mut"], "is_generic": generic(head)}
+                self.add(kw, inside, *place, facts={"abi": self.abi}, flags=flags, details={"type": declared and declared[1]}, refs={"uses_types": self.types(m.end(), stop)})
+
+    def members(self, kw: str, e: Entity, brace: int, a: int, stop: int) -> None:
         b = self.close.get(a, stop)
         parts, depth, last = [], 0, a + 1
         for i in range(a + 1, b + 1):
-            c = self.text[i]
-            depth += (c in "([{<") - (c in ")]}" and i < b) - (c == ">" and self.text[i - 1] != "-")
+            c = self.text[i] if i < len(self.text) else ""
+            depth += (c in ("(", "[", "{", "<")) - (c in (")", "]", "}") and i < b) - (c == ">" and self.text[i - 1] != "-")
             if i == b or (c == "," and depth <= 0):
                 parts.append((last, i))
                 last, depth = i + 1, 0
@@ -241,17 +337,17 @@ class Rust(Scanner):
             if not s.strip():
                 continue
             if kw == "enum":
-                self.add("EnumVariant", m["name"], e.qualified, "Public", x, y)
+                self.add("variant", "enum", m["name"], e.qualified, None, x, y)
             else:
-                name = m["name"] if brace >= 0 else str(n)
-                field_ = self.add("Property", name, e.qualified, self.visibility(m["vis"], "struct"), x, y)
-                field_.refs["uses_types"] = self.types(x + (s.find(":") if brace >= 0 else 0), y)
+                name, kind = (m["name"], x + s.find(":") + 1) if brace >= 0 else (str(n), x + (m.end("vis") if m["vis"] else 0))
+                self.add("field", kw, name, e.qualified, self.visibility(m["vis"]), x, y, details={"type": self.text[kind:y]}, refs={"uses_types": self.types(kind, y)})
             n += 1
 
-    def function(self, m, name, scope, vis, inside, owner, brace, stop, head) -> None:
-        method = inside in ("trait", "impl", "impl trait") and (inside == "trait" or re.search(r"\(\s*(?:&\s*(?:'\w+\s*)?)?(?:mut\s+)?self\b", head) or inside == "impl trait")
-        flags = {f"is_{x}": x in m["flags"].split() for x in ("async", "const", "unsafe")}
-        e = self.add("Method" if method else "Function", name, scope, vis, m.start(), stop, flags=flags)
+    def function(self, m, place, inside, owner, brace, head) -> None:
+        name, scope, vis, start, stop = place
+        form = "method" if re.search(r"\(\s*(?:&\s*(?:'\w+\s*)?)?(?:mut\s+)?self\b", head) else "builder" if re.search(r"->\s*Self\s*(?:where\b|$)", head.rstrip("; \n\t")) else "fn"
+        form = form if inside in ("impl", "trait-impl", "trait") else "fn"
+        flags = {f"is_{x}": x in m["flags"].split() for x in ("async", "const", "unsafe")} | {"is_generic": generic(head)}
         bounds: dict[str, list[str]] = {}
         for k, v in re.findall(r"\b([A-Z]\w*)\s*:(?!:)\s*([^,>(){;=]+)", head):  # also of a where clause
             bounds.setdefault(k, []).extend(x for x in re.findall(r"(?:^|\+)\s*(?:\w+::)*([A-Z]\w*)", re.sub(r"<[^<>]*>?", "", v)))
@@ -260,39 +356,40 @@ class Rust(Scanner):
             kinds = re.findall(r"(?:^|\+)\s*(?:\w+::)*([A-Z]\w*)", re.sub(r"<[^<>]*>", "", several)) if several else bounds.get(first, [first])
             self.parameters[k] = [self.resolve(x) for x in kinds]
         self.owner = owner
-        e.refs = {"calls": self.calls(brace + 1, stop) if brace >= 0 else [], "uses_types": self.types(m.end(), stop)}
+        refs = {"calls": self.calls(brace + 1, stop) if brace >= 0 else [], "uses_types": self.types(m.end(), stop)}
+        e = self.add(form, inside, *place, facts={"abi": self.abi}, flags=flags, refs=refs)
         if owner and inside != "trait":
             e.aliases = [f"{owner}::{name}"]
 
     def implementation(self, m, scope, brace, stop, head) -> None:
         head = re.sub(r"^\s*<(?:[^<>]|<[^<>]*>)*>", "", head.split("{")[0].split(" where ")[0]).strip()
         trait, _, target = head.rpartition(" for ")
-        clean = lambda x: self.resolve(re.sub(r"<.*", "", x.strip().lstrip("&")).split("::")[-1])
-        of = clean(target)
-        name = f"<{of} as {clean(trait)}>" if trait else f"<{of}>"
-        e = self.add("Impl", name, scope, "Public", m.start(), stop, qualified=f"{scope}::{name}" if scope else name)
-        e.refs = {"for_type": [of], "implements": [clean(trait)] if trait else []}
+        clean = lambda x: self.resolve(re.sub(r"<.*", "", x.strip().lstrip("&!"), flags=re.S).strip().split("::")[-1])
+        of, form = clean(target), "trait-impl" if trait else "impl"
+        facts = {"of": of, "trait": clean(trait) if trait else ""}
+        e = self.add(form, "", "", scope, None, m.start(), stop, facts=facts, refs={"for_type": [of], "implements": [facts["trait"]] if trait else []})
         if brace >= 0:
-            self.scan(brace + 1, stop - 1, name if trait else of, "impl trait" if trait else "impl", of)
+            self.scan(brace + 1, stop - 1, e.name if trait else of, form, of)
+
+
+def generic(head: str) -> bool:
+    return bool(re.match(r"\s*<(?!\s*'\w+\s*>)", head))
 
 
 class Script(Scanner):
     ITEM = re.compile(
-        rf"(?P<export>\bexport\s+)?(?P<default>default\s+)?(?P<declare>declare\s+)?(?:abstract\s+)?(?P<async>async\s+)?\b(?P<kw>function\b\s*\*?|(?:class|interface|const\s+enum|enum|type|namespace|module|const|let|var|import|export)\b)\s*(?P<name>{NAME})?"
+        rf"(?P<export>\bexport\s+)?(?P<default>default\s+)?(?P<declare>declare\s+)?(?P<abstract>abstract\s+)?(?P<async>async\s+)?\b(?P<kw>function\b\s*\*?|(?:class|interface|const\s+enum|enum|type|namespace|module|global|const|let|var|import|export)\b)\s*(?P<name>{NAME})?"
     )
     MEMBER = re.compile(
-        rf"(?P<mods>(?:\b(?:public|private|protected|static|readonly|abstract|async|override|declare|get|set)\s+)*)\*?\s*(?P<name>#?{NAME}|\[[^\]]*\])\s*(?P<opt>[?!])?\s*(?P<next>[(:=;<,\n}}])"
+        rf"(?P<mods>(?:\b(?:public|private|protected|static|readonly|abstract|async|override|declare|get|set)\s+)*)(?P<star>\*)?\s*(?P<name>#?{NAME}|\[[^\]]*\]|(?=[(<]))\s*(?P<opt>[?!])?\s*(?P<next>[(:=;<,\n}}])"
     )
-
-    def __init__(self, source, module, package, typed: bool):
-        super().__init__(source, module, package)
-        self.typed = typed
+    PARAMETER = re.compile(rf"(?<=[(,])\s*(?P<mods>(?:\b(?:public|private|protected|readonly|override)\s+)+)(?P<name>{NAME})\s*(?P<opt>\?)?")
 
     def scan_file(self) -> list[Entity]:
-        top = self.add("Module", self.module.rsplit(".", 1)[-1], None, "Public", 0, len(self.text), qualified=self.module)
-        top.refs = {"imports": [], "reexports": []}
-        self.links(top)
-        self.scan(0, len(self.text), self.module, True)
+        refs = {"imports": [], "reexports": []}
+        self.links(refs)
+        self.add("file", "", self.module.rsplit(".", 1)[-1], None, None, 0, len(self.text), qualified=self.module, refs=refs)
+        self.scan(0, len(self.text), self.module)
         return self.found
 
     def target(self, path: str) -> str:
@@ -304,7 +401,7 @@ class Script(Scanner):
             base = base[:-1] if part == ".." else base if part == "." else [*base, re.sub(r"\.(?:d\.ts|[cm]?[jt]sx?)$", "", part)]
         return ".".join(base)
 
-    def links(self, top: Entity) -> None:
+    def links(self, refs: dict) -> None:
         for m in re.finditer(r"\b(import|export)\s+(?:type\s+)?([^;'\"]*?)\s*\bfrom\s*['\"]([^'\"]+)['\"]", self.source):
             module, clause, out = self.target(m[3]), m[2], []
             star = re.search(rf"\*(?:\s+as\s+({NAME}))?", clause)
@@ -321,93 +418,140 @@ class Script(Scanner):
             for name, target in out:
                 if m[1] == "import" and name:
                     self.imports[name] = target
-                top.refs["imports" if m[1] == "import" else "reexports"].append(target)
+                refs["imports" if m[1] == "import" else "reexports"].append(target)
 
     def call_target(self, path: str, name: str) -> str | None:
         return name if path else self.resolve(name)
 
-    def scan(self, at: int, end: int, scope: str, top: bool, exported: bool = False) -> None:
+    def scan(self, at: int, end: int, scope: str, inside: str = "") -> None:
         while m := self.ITEM.search(self.text, at, end):
             kw, name = re.sub(r"[\s*]+", " ", m["kw"]).strip(), m["name"]
-            vis = "Public" if m["export"] or m["declare"] or exported else "Private"
+            vis = "Public" if m["export"] or m["declare"] else "Private"
+            around = "ambient" if m["declare"] else inside
             brace, stop = self.body(m.end(), end)
             at = max(stop, m.end())
             if kw in ("import", "export"):
                 at = m.end() if kw == "export" else at
                 continue
             if kw in ("const", "let", "var"):
-                stop = self.variable(m, kw, name, scope, vis, end)
-                at = max(stop, m.end())
+                at = max(self.variable(m, kw, name, scope, vis, end, around), m.end())
+                continue
+            if kw in ("namespace", "module", "global"):
+                quoted = re.match(r"\s*['\"]([^'\"\n]+)['\"]", self.source[m.end("kw") : max(brace, m.end("kw"))])
+                name = quoted[1] if quoted else name or (kw if kw == "global" and m["declare"] else None)
+            name = name or ("default" if m["default"] else None)
+            if not name or (kw in ("module", "namespace", "global") and brace < 0):
+                at = m.end()
                 continue
-            if not name:
-                name = "default" if m["default"] else None
-                if not name:
-                    continue
+            place = name, scope, vis, m.start(), stop
             if kw == "function":
-                e = self.add("Function", name, scope, vis, m.start(), stop, flags={"is_async": bool(m["async"]), "is_generator": "*" in m["kw"]})
-                e.refs = self.uses(m.end(), brace, stop)
+                flags = {"is_async": m["async"], "is_generator": "*" in m["kw"], "is_generic": generic(self.text[m.end() : stop])}
+                self.add(kw, around, *place, flags=flags, refs=self.uses(m.end(), brace, stop))
             elif kw in ("class", "interface"):
-                self.type_body(m, kw, name, scope, vis, brace, stop)
+                self.type_body(m, kw, place, brace, around, generic_at=m.end())
             elif kw in ("enum", "const enum"):
-                e = self.add("Enum", name, scope, vis, m.start(), stop)
-                for x in re.finditer(rf"(?:^|[,{{])\s*({NAME})", self.text[brace : stop - 1]):
-                    self.add("EnumVariant", x[1], e.qualified, "Public", brace + x.start(1), brace + x.end(1))
+                e = self.add("enum", around, *place, flags={"is_const": kw != "enum"})
+                for x in re.finditer(rf"(?:^|[,{{])\s*({NAME})", self.text[brace : stop - 1]) if e and brace >= 0 else ():
+                    self.add("variant", "enum", x[1], e.qualified, None, brace + x.start(1), brace + x.end(1))
             elif kw == "type":
                 semi = self.text.find(";", m.end(), end)
                 stop = semi + 1 if semi >= 0 else stop
                 at = max(stop, m.end())
-                self.add("TypeAlias", name, scope, vis, m.start(), stop).refs = {"uses_types": self.types(m.end(), stop) if self.typed else []}
-            elif brace >= 0:
-                e = self.add("Module", name, scope, vis, m.start(), stop)
-                self.scan(brace + 1, stop - 1, e.qualified, False)
+                self.add(kw, around, name, scope, vis, m.start(), stop, flags={"is_generic": generic(self.text[m.end() : stop])}, refs={"uses_types": self.types(m.end(), stop)})
+            elif e := self.add("namespace", around, *place):
+                self.scan(brace + 1, stop - 1, e.qualified, "ambient" if m["declare"] else "")
 
     def uses(self, head: int, brace: int, stop: int) -> dict:
-        return {"calls": self.calls(brace + 1, stop) if brace >= 0 else [], "uses_types": self.types(head, stop) if self.typed else []}
+        return {"calls": self.calls(brace + 1, stop) if brace >= 0 else [], "uses_types": self.types(head, stop)}
 
-    def variable(self, m, kw, name, scope, vis, end) -> int:
-        line = re.compile(r"\s*(?::[^=;\n]*)?=\s*(?P<value>(?P<async>async\s+)?(?:function\b|class\b|(?:\([^)]*\)|[\w$]+)\s*(?::\s*[^=\n]+)?=>))?").match(self.text, m.end())
+    def variable(self, m, kw, name, scope, vis, end, around) -> int:
+        line = re.compile(r"\s*(?::[^=;\n]*)?=\s*(?P<value>(?P<async>async\s+)?(?:function\b\s*(?P<star>\*)?|class\b|(?:<[^<>=]*>\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::\s*[^=\n]+)?=>))?").match(self.text, m.end())
         if line and line["value"]:
             at = line.end()
             while at < end and self.text[at] not in "{;\n":
                 at = self.close.get(at, at) + 1 if self.text[at] in "([" else at + 1
             brace = at if at < end and self.text[at] == "{" else -1
             stop = self.close.get(at, end) + 1 if brace >= 0 else at
-            if name and "class" in line["value"]:
-                self.type_body(m, "class", name, scope, vis, brace, stop)
+            if name and line["value"].startswith("class"):
+                own = re.match(rf"\s+(?!extends\b|implements\b)({NAME})", self.text[line.end() : stop])
+                self.type_body(m, "class-value", (own[1] if own else name, scope, vis, m.start(), stop), brace, around, generic_at=line.end() + (own.end() if own else 0))
             elif name:
-                e = self.add("Function", name, scope, vis, m.start(), stop, flags={"is_async": bool(line["async"]), "is_arrow": "=>" in line["value"]})
-                e.refs = {"calls": self.calls(line.end(), stop), "uses_types": self.types(m.end(), stop) if self.typed else []}
+                arrow = "=>" in line["value"]
+                flags = {"is_async": line["async"], "is_arrow": arrow, "is_generator": line["star"]}
+                refs = {"calls": self.calls(line.end(), stop), "uses_types": self.types(m.end(), stop)}
+                self.add("arrow" if arrow else "function-value", around, name, scope, vis, m.start(), stop, flags=flags, refs=refs)
             return stop
         at = m.end()
         while at < end and self.text[at] not in ";\n":
             at = self.close.get(at, at) + 1 if self.text[at] in "([{" else at + 1
         if name:
-            e = self.add("Constant" if kw == "const" else "Variable", name, scope, vis, m.start(), at)
-            e.refs = {"uses_types": self.types(m.end(), at) if self.typed else []}
+            declared = re.match(r"\s*:([^=;\n]+)", self.text[m.end() : at])
+            self.add(kw, around, name, scope, vis, m.start(), at, flags={"is_const": kw == "const"}, details={"type": declared and declared[1]}, refs={"uses_types": self.types(m.end(), at)})
         return at
 
-    def type_body(self, m, kw, name, scope, vis, brace, stop) -> None:
-        head = re.sub(r"<(?:[^<>]|<[^<>]*>)*>", "", self.text[m.end() : max(brace, m.end())])
+    def type_body(self, m, form, place, brace, around, generic_at) -> None:
+        stop, kw = place[4], "interface" if form == "interface" else "class"
+        head = self.text[generic_at : max(brace, generic_at)]
+        flags = {"is_abstract": m["abstract"], "is_generic": generic(head)}
+        head = re.sub(r"<(?:[^<>]|<[^<>]*>)*>", "", head)
         names = lambda word: [self.resolve(x) for x in re.findall(NAME, (re.search(rf"\b{word}\b(.*?)(?=\bimplements\b|$)", head, re.S) or ["", ""])[1])]
-        e = self.add("Class" if kw == "class" else "Interface", name, scope, vis, m.start(), stop, flags={"is_abstract": "abstract" in m[0]})
-        e.refs = {"extends": names("extends")[:1], "implements": names("implements")} if kw == "class" else {"extended_types": names("extends"), "uses_types": self.types(brace, stop)}
+        refs = {"extends": names("extends")[:1], "implements": names("implements"), "extended_types": names("extends"), "uses_types": self.types(brace, stop)}
+        e = self.add(form, around, *place, flags=flags, refs=refs)
         at = brace + 1
-        while brace >= 0 and (x := self.MEMBER.search(self.text, at, stop - 1)):
-            mods, member = x["mods"].split(), x["name"]
-            is_method = x["next"] in "(<"
-            if is_method:
-                inner, end = self.body(x.end("name"), stop - 1)
-            else:
-                at2 = x.end("name")
-                while at2 < stop - 1 and self.text[at2] not in ";\n,":
-                    at2 = self.close.get(at2, at2) + 1 if self.text[at2] in "([{" else at2 + 1
-                inner, end = -1, at2 + 1
-            at = max(end, x.end("name"))
-            if member in NO_CALLS - {"constructor"} or member.startswith("["):
-                continue
-            own = "Private" if "private" in mods or member.startswith("#") else "Protected" if "protected" in mods else "Public"
-            child = self.add("Method" if is_method else "Property", member.lstrip("#"), e.qualified, own, x.start(), end, flags={f"is_{k}": k in mods for k in ("static", "abstract", "async", "readonly")})
-            child.refs = self.uses(x.end("name"), inner, end)
+        while e and brace >= 0 and (x := self.MEMBER.search(self.text, at, stop - 1)):
+            at = max(self.member(x, kw, e.qualified, stop), x.end("name"), at + 1)
+
+    def member(self, x, kw: str, scope: str, stop: int) -> int:
+        """One member of a class or interface; the place behind it."""
+        mods, name, after = x["mods"].split(), x["name"], x.end("name")
+        is_method = x["next"] in "(<"
+        if is_method:
+            inner, end = self.body(after, stop - 1)
+            if inner < 0 and kw == "interface":  # signatures end at commas and line breaks, too
+                end = self.line_end(after, stop)
+        else:
+            inner, end = -1, self.line_end(after, stop)
+        if name in NO_CALLS - {"constructor", "new"}:
+            return end
+        form, facts = "method" if is_method else "field", {}
+        if name.startswith("["):
+            key = re.match(rf"\[\s*{NAME}\s*:\s*([^\]]+?)\s*\]$", name)
+            if not key:
+                return end  # a computed name
+            form, facts = "index", {"key": key[1]}
+        elif not name:
+            form = "call"
+        elif name == "new" and is_method:
+            form = "construct"
+        elif is_method and "abstract" in mods:
+            form = "abstract-method"
+        own = "Private" if "private" in mods or name.startswith("#") else "Protected" if "protected" in mods else "Public"
+        flags = {f"is_{k}": k in mods for k in ("static", "abstract", "async", "readonly")}
+        flags |= {"is_getter": "get" in mods, "is_setter": "set" in mods, "is_generator": x["star"], "is_optional": x["opt"] == "?", "is_generic": x["next"] == "<"}
+        declared = None if is_method else re.match(r"\s*[?!]?\s*:([^=;\n]+)", self.text[after:end])
+        refs = self.uses(after, inner, end)
+        if not is_method and kw == "class":
+            refs["calls"] = self.calls(after, end)
+        self.add(form, kw, name, scope, own, x.start(), end, facts=facts, flags=flags, details={"type": declared and declared[1].strip().rstrip(",")}, refs=refs)
+        if name == "constructor" and is_method:
+            self.parameters(x.start("next"), scope)
+        return end
+
+    def parameters(self, at: int, scope: str) -> None:
+        """Parameters of a constructor that carry a modifier are properties of the class."""
+        close = self.close.get(at, at)
+        for p in self.PARAMETER.finditer(self.text, at, close):
+            mods, end = p["mods"].split(), p.end()
+            while end < close and self.text[end] != ",":
+                end = self.close.get(end, end) + 1 if self.text[end] in "([{" else end + 1
+            declared = re.match(r"\s*:([^=]+)", self.text[p.end() : end])
+            own = "Private" if "private" in mods else "Protected" if "protected" in mods else "Public"
+            self.add("parameter", "class", p["name"], scope, own, p.start("mods"), end, flags={"is_readonly": "readonly" in mods, "is_optional": p["opt"]}, details={"type": declared and declared[1]}, refs={"uses_types": self.types(p.end(), end)})
+
+    def line_end(self, at: int, stop: int) -> int:
+        while at < stop - 1 and self.text[at] not in ";\n,":
+            at = self.close.get(at, at) + 1 if self.text[at] in "([{" else at + 1
+        return min(at + 1, stop - 1)
 
 
 def module_name(path: str, language: str, package: str | None, root: str = "src") -> str:
@@ -426,13 +570,13 @@ def extract(source: str, path: str, package: str | None = None, root: str = "src
     if not language or source is None:
         return []
     module = module_name(path, language, package, root)
-    return Rust(source, module, package).scan_file() if language == "Rust" else Script(source, module, package, language == "TypeScript").scan_file()
+    return (Rust if language == "Rust" else Script)(source, module, package, language).scan_file()
 
 
 REFS = ("calls", "uses_types", "imports", "reexports", "implements", "extends", "extended_types")
 ROWS = (
     "repository_id string, file_path string, entity_type string, name string, qualified_name string, parent_scope string, visibility string, language string, path_entity_identifier string, "
-    "documentation_summary string, start_line long, end_line long, content string, flags map<string,boolean>, relationships struct<"
+    "documentation_summary string, start_line long, end_line long, content string, rule string, flags map<string,boolean>, details map<string,string>, relationships struct<"
     + ",".join(f"{r}:array<struct<target:string,simple_name:string,is_external:boolean>>" for r in REFS)
     + ",for_type:struct<target:string,simple_name:string,is_external:boolean>,call_aliases:array<string>>"
 )
@@ -456,7 +600,7 @@ def extract_table(files: DataFrame) -> DataFrame:
                     refs["for_type"] = ref(e.refs["for_type"][0], package, sep) if e.refs.get("for_type") else None
                     refs["call_aliases"] = e.aliases
                     lines = content.count("\n", 0, e.start) + 1, content.count("\n", 0, e.end) + 1
-                    rows.append((repo, path, e.kind, e.name, e.qualified, e.scope, e.visibility, EXTENSIONS[path.rsplit(".", 1)[-1].lower()], f"{path}:{e.name}", e.doc, *lines, content[e.start : e.end], e.flags, refs))
+                    rows.append((repo, path, e.kind, e.name, e.qualified, e.scope, e.visibility, EXTENSIONS[path.rsplit(".", 1)[-1].lower()], f"{path}:{e.name}", e.doc, *lines, content[e.start : e.end], e.rule, e.flags, e.details, refs))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in re.sub(r"<[^ ]*>", "", ROWS).split(", ")])
 
     return files.select("repository_id", "path", "content", "package").mapInPandas(run, ROWS)

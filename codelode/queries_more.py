@@ -511,6 +511,134 @@ def extract_script_references(spark, sf):
     return _references(_script(spark, sf), "imports", "extended_types", "extends", "implements", "calls")
 
 
+RUST_RULES = """use std::io::*;
+pub struct Pair«k»<T>(pub T, u8);
+pub struct Empty«k»;
+extern "C" { pub fn puts«k»(s: i32) -> i32; static mut ERRNO«k»: i32; }
+impl Empty«k» {
+    pub fn new() -> Self { Empty«k»::make(r#"{ " } "#) }
+    fn make(x: u8) -> u8 { std::mem::swap(x); build().finish() }
+    const SIZE: usize = «k»;
+}
+pub trait Walk«k» { type Step; const DEPTH: u8; fn walk(&self) -> Self; }
+impl Walk«k» for Empty«k» { type Step = Leaf; const DEPTH: u8 = 2; fn walk(&self) -> Self { /* a /* } */ } */ open«k»() } }
+static mut COUNT«k»: u32 = 0;
+#[macro_export]
+macro_rules! each«k» { () => {} }
+"""
+_RUST_RULES = [
+    ("E-STRUCT", "Struct", "shop::r«k»::Pair«k»", "Public", "is_generic is_tuple_struct", ""),
+    ("E-PROPERTY", "Property", "shop::r«k»::Pair«k»::0", "Public", "", "T"),
+    ("E-PROPERTY", "Property", "shop::r«k»::Pair«k»::1", "Private", "", "u8"),
+    ("E-STRUCT", "Struct", "shop::r«k»::Empty«k»", "Public", "is_unit_struct", ""),
+    ("E-EXTERN-BLOCK", "ExternBlock", 'shop::r«k»::extern "C"', "", "", ""),
+    ("E-EXTERN-FN", "Function", "shop::r«k»::puts«k»", "Public", "", ""),
+    ("E-EXTERN-STATIC", "Static", "shop::r«k»::ERRNO«k»", "Private", "is_mutable", "i32"),
+    ("E-IMPL-INHERENT", "Impl", "shop::r«k»::<shop::r«k»::Empty«k»>", "Public", "", ""),
+    ("E-METHOD-RETURNS-SELF", "Method", "shop::r«k»::Empty«k»::new", "Public", "", ""),
+    ("E-FN-ASSOC", "Function", "shop::r«k»::Empty«k»::make", "Private", "", ""),
+    ("E-CONST-ASSOC", "Constant", "shop::r«k»::Empty«k»::SIZE", "Private", "is_const", "usize"),
+    ("E-TRAIT", "Trait", "shop::r«k»::Walk«k»", "Public", "", ""),
+    ("E-METHOD-TRAIT-DEF", "Method", "shop::r«k»::Walk«k»::walk", "", "", ""),
+    ("E-IMPL-TRAIT", "Impl", "shop::r«k»::<shop::r«k»::Empty«k» as shop::r«k»::Walk«k»>", "Public", "", ""),
+    ("E-TYPE-ALIAS-ASSOC", "TypeAlias", "<shop::r«k»::Empty«k» as shop::r«k»::Walk«k»>::Step", "Public", "", ""),
+    ("E-CONST-ASSOC", "Constant", "<shop::r«k»::Empty«k» as shop::r«k»::Walk«k»>::DEPTH", "Public", "is_const", "u8"),
+    ("E-METHOD-TRAIT-IMPL", "Method", "<shop::r«k»::Empty«k» as shop::r«k»::Walk«k»>::walk", "Public", "", ""),
+    ("E-STATIC", "Static", "shop::r«k»::COUNT«k»", "Private", "is_mutable", "u32"),
+    ("E-MACRO-RULES", "Macro", "shop::r«k»::each«k»", "Public", "", ""),
+]
+_RULE_COLUMNS = "rule, entity_type, qualified_name, visibility, flags, type"
+
+
+def _by_rule(rows: DataFrame) -> DataFrame:
+    flags = F.array_join(F.array_sort(F.map_keys(F.map_filter("flags", lambda _, v: v))), " ")
+    return rows.select("rule", "entity_type", "qualified_name", F.coalesce("visibility", F.lit("")).alias("visibility"), flags.alias("flags"), F.coalesce(F.element_at("details", F.lit("type")), F.lit("")).alias("type"))
+
+
+def _rust_rules(spark, sf) -> DataFrame:
+    rows = table(spark, sf, "supplier").withColumn("k", F.col("s_suppkey"))
+    return extract_table(_files(rows, F.concat(F.lit("src/r"), F.col("k").cast("string"), F.lit(".rs")), _fill(RUST_RULES, k=F.col("k")), "shop"))
+
+
+@query(_filled_sql(_RUST_RULES, "s_suppkey", "supplier", _RULE_COLUMNS))
+def extract_rust_rules(spark, sf):
+    """One entity of each rule, with its flags and declared type."""
+    return _by_rule(_rust_rules(spark, sf))
+
+
+_RUST_TARGETS = [
+    ("shop::r«k»::Empty«k»::new", "calls", "shop::r«k»::Empty«k»::make"),
+    ("shop::r«k»::Empty«k»::make", "calls", "std::mem::swap"),
+    ("shop::r«k»::Empty«k»::make", "calls", "std::io::build"),
+    ("shop::r«k»::Empty«k»::make", "calls", "finish"),
+    ("<shop::r«k»::Empty«k» as shop::r«k»::Walk«k»>::walk", "calls", "std::io::open«k»"),
+    ("shop::r«k»::<shop::r«k»::Empty«k» as shop::r«k»::Walk«k»>", "implements", "shop::r«k»::Walk«k»"),
+]
+
+
+@query(_filled_sql(_RUST_TARGETS, "s_suppkey", "supplier", "qualified_name, relation, target"))
+def extract_rust_targets(spark, sf):
+    """Names that are declared nowhere in the file are looked for in the module that is imported whole; calls on values without a name keep their own."""
+    return _references(_rust_rules(spark, sf), "calls", "implements")
+
+
+SCRIPT_RULES = """import Lib, { helper as aid } from "./lib";
+export * from "./all";
+export interface Maker«k»<T> extends Base<T> { (x: Size): void; new (y: Size): Box; [key: string]: Size; readonly id?: Size, run(): void
+  stop(): void }
+export abstract class Store«k» {
+  constructor(private readonly size: Size, public kind?: Kind, plain: Kind) { aid(plain); }
+  get open() { return /[{]/.test("}"); }
+  abstract area(): Size;
+  async *each() { yield `a${ `}` }{`; }
+  #secret: Size;
+}
+declare const VERSION«k»: Size;
+declare function load«k»(x: Size): Size;
+declare class Outside«k» { go(): void }
+namespace Inner«k» { export const shown = 1; function hidden() {} }
+const enum Level«k» { Low = 1 }
+const made«k» = class Named«k» extends Store«k» { };
+let old«k» = function* () { aid(1); };
+"""
+_SCRIPT_RULES = [
+    ("E-MOD-FILE", "Module", "m«k»", "Public", "", ""),
+    ("E-INTERFACE", "Interface", "m«k».Maker«k»", "Public", "is_generic", ""),
+    ("E-INTERFACE-CALL-SIG", "Method", "m«k».Maker«k».()", "Public", "", ""),
+    ("E-INTERFACE-CONSTRUCT-SIG", "Method", "m«k».Maker«k».new()", "Public", "", ""),
+    ("E-INTERFACE-INDEX-SIG", "Property", "m«k».Maker«k».[string]", "Public", "", "Size"),
+    ("E-INTERFACE-PROPERTY", "Property", "m«k».Maker«k».id", "Public", "is_optional is_readonly", "Size"),
+    ("E-INTERFACE-METHOD", "Method", "m«k».Maker«k».run", "Public", "", ""),
+    ("E-INTERFACE-METHOD", "Method", "m«k».Maker«k».stop", "Public", "", ""),
+    ("E-CLASS", "Class", "m«k».Store«k»", "Public", "is_abstract", ""),
+    ("E-METHOD-CLASS", "Method", "m«k».Store«k».constructor", "Public", "", ""),
+    ("E-PARAM-PROPERTY", "Property", "m«k».Store«k».size", "Private", "is_readonly", "Size"),
+    ("E-PARAM-PROPERTY", "Property", "m«k».Store«k».kind", "Public", "is_optional", "Kind"),
+    ("E-METHOD-CLASS", "Method", "m«k».Store«k».open", "Public", "is_getter", ""),
+    ("E-METHOD-ABSTRACT", "Method", "m«k».Store«k».area", "Public", "is_abstract", ""),
+    ("E-METHOD-CLASS", "Method", "m«k».Store«k».each", "Public", "is_async is_generator", ""),
+    ("E-PROPERTY-FIELD", "Property", "m«k».Store«k».#secret", "Private", "", "Size"),
+    ("E-AMBIENT-CONST", "Constant", "m«k».VERSION«k»", "Public", "is_const", "Size"),
+    ("E-AMBIENT-FN", "Function", "m«k».load«k»", "Public", "", ""),
+    ("E-AMBIENT-CLASS", "Class", "m«k».Outside«k»", "Public", "", ""),
+    ("E-METHOD-CLASS", "Method", "m«k».Outside«k».go", "Public", "", ""),
+    ("E-MOD-NAMESPACE", "Module", "m«k».Inner«k»", "Private", "", ""),
+    ("E-CONST", "Constant", "m«k».Inner«k».shown", "Public", "is_const", ""),
+    ("E-FN-DECL", "Function", "m«k».Inner«k».hidden", "Private", "", ""),
+    ("E-ENUM", "Enum", "m«k».Level«k»", "Private", "is_const", ""),
+    ("E-ENUM-MEMBER", "EnumVariant", "m«k».Level«k».Low", "Public", "", ""),
+    ("E-CLASS-EXPR", "Class", "m«k».Named«k»", "Private", "", ""),
+    ("E-FN-EXPR", "Function", "m«k».old«k»", "Private", "is_generator", ""),
+]
+
+
+@query(_filled_sql(_SCRIPT_RULES, "p_partkey", "part", _RULE_COLUMNS))
+def extract_script_rules(spark, sf):
+    rows = table(spark, sf, "part").withColumn("k", F.col("p_partkey"))
+    return _by_rule(extract_table(_files(rows, F.concat(F.lit("src/m"), F.col("k").cast("string"), F.lit(".ts")), _fill(SCRIPT_RULES, k=F.col("k")), None)))
+
+
+
 @query("SELECT doc_id, octet_length(encode(text)) <= 3000000 AND length(text) <= 65536 AS embedded, CASE WHEN length(text) <= 65536 THEN 8 END AS dimension FROM documents")
 def zero_embeddings(spark, sf):
     """The offline provider: a zero vector for every text that may be embedded."""

@@ -296,6 +296,29 @@ def test_extract_receivers():
     assert found.refs["calls"] == ["p::A::go", "p::B::go", "p::F::run", "p::C::stop", "p::D::stop", "p::Vec::len", "p::E::end", "z", "c", "go2"]
 
 
+def test_extract_blanks_text():
+    """Nested comments, raw strings, characters, patterns and nested templates hide what is in them; what never ends hides the rest."""
+    rust = "/* a /* } */ fn no() {} */ fn a() { r##\"} \"# fn no() {\"##; '}'; '\\u{7d}'; '\\''; x::<'a, 'b>() }\nfn b() {}\n"
+    assert [e.name for e in extract.extract(rust, "src/x.rs", "p")] == ["a", "b"]
+    script = "function a() { return /[}/]\\/{/.test(`${ f(`}`) + '}' } {`) }\nfunction b() { return 4 / 2 / x }\n"
+    assert [e.name for e in extract.extract(script, "x.js")] == ["x", "a", "b"]
+    for open_end in ("/* fn b() {}", "`${ {", 'r#" fn b() {}'):
+        assert [e.name for e in extract.extract("fn a() {}\n" + open_end, "src/x.rs", "p")][:1] == ["a"]
+        extract.extract("function a() {}\n" + open_end, "x.ts")
+    assert extract.extract("", "src/x.rs", "p") == [] and [e.kind for e in extract.extract("", "x.ts")] == ["Module"]
+
+
+def test_extract_rules_decide():
+    """A form without a rule gives nothing; what a trait only asks for is no item; a call on a value without a name keeps its name."""
+    ts = "interface A { b: C }\ntype T = X;\nenum E { F }\n"
+    assert [e.rule for e in extract.extract(ts, "m.js")] == ["E-MOD-FILE"]
+    assert [e.rule for e in extract.extract(ts, "m.ts")] == ["E-MOD-FILE", "E-INTERFACE", "E-INTERFACE-PROPERTY", "E-TYPE-ALIAS", "E-ENUM", "E-ENUM-MEMBER"]
+    rust = "trait T { type A; const B: u8; const C: u8 = 1; }\ntrait U = T;\nextern { fn x(); }\nfn f() { a().b()?.c(); \"s\".d(); 0..e(); <G as H>::i(); }\n"
+    got = {e.qualified: e for e in extract.extract(rust, "src/x.rs", "p")}
+    assert list(got) == ["p::x::T", "p::x::T::C", "p::x::U", 'p::x::extern "C"', "p::x::x", "p::x::f"]
+    assert got["p::x::x"].scope == 'p::x::extern "C"' and got["p::x::f"].refs["calls"] == ["p::x::a", "b", "c", "d", "p::x::e", "i"]
+
+
 def test_extract_script():
     source = 'import { a as b } from "./util";\nexport class U extends V implements I { private id: number; static go(): string { return b(this.id); } }\nfunction* gen() { /* } */ b("}"); }\nexport const f = async () => { gen(); };\n'
     got = {e.qualified: e for e in extract.extract(source, "src/m.ts")}
