@@ -1,8 +1,7 @@
 """Graph queries over edges(src, dst, rel_type) and nodes(id, name, qualified_name, kind, visibility).
 
 Paths are trails: an edge occurs at most once in a path.  Every step is a join of
-the frontier with the edges, so its cost follows the paths found.  Calls are
-walked to a bounded depth; cycles without a length, inheritance and contents are
+the frontier with the edges.  Calls are walked to a bounded depth; cycles without a length, inheritance and contents are
 followed to their end.
 """
 
@@ -35,34 +34,73 @@ def of_type(edges: DataFrame, rel_type: str) -> DataFrame:
     return edges.filter(F.col("rel_type") == rel_type).select("src", "dst").distinct()
 
 
+def _near(steps: DataFrame, start: DataFrame, depth: int) -> DataFrame:
+    """The edges a, b whose beginning lies within `depth - 1` edges of the start."""
+    level = start.select(F.col("id").alias("node")).distinct()
+    reached = [level]
+    for _ in range(depth - 1):
+        level = level.join(steps, F.col("node") == F.col("a")).select(F.col("b").alias("node")).distinct()
+        reached.append(level)
+    return steps.join(reduce(DataFrame.union, reached).distinct(), F.col("a") == F.col("node"), "left_semi")
+
+
+def _on_cycles(near: DataFrame, depth: int) -> DataFrame:
+    """The edges of `near` that a walk of `depth` edges may meet twice, and perhaps a few more.
+
+    Such an edge lies on a cycle of fewer edges than the walk: for three edges on one of at
+    most two, for more on any; edges that nothing leads to or from are peeled off in turn."""
+    if depth <= 3:
+        other = near.select(F.col("a").alias("c"), F.col("b").alias("d"))
+        return near.join(other, (F.col("a") == F.col("d")) & (F.col("b") == F.col("c")), "left_semi")
+    left, n = near, near.count()
+    for _ in range(depth):
+        ends, begins = left.select(F.col("b").alias("x")).distinct(), left.select(F.col("a").alias("y")).distinct()
+        left = kept(left.join(ends, F.col("a") == F.col("x"), "left_semi").join(begins, F.col("b") == F.col("y"), "left_semi"))
+        n, before = left.count(), n
+        if n in (0, before):
+            break
+    return left
+
+
 def trails(edges: DataFrame, start: DataFrame, depth: int, back: bool = False) -> DataFrame:
-    """origin, node, depth of every trail of 1 to `depth` edges from start(id); back: against the edges."""
+    """origin, node, depth, each once, of every trail of 1 to `depth` edges from start(id); back: against the edges.
+
+    A path remembers only edges that it could meet again, and paths that end alike and remember
+    the same are one.  So where calls have no cycles, the cost follows the nodes, not the paths."""
     a, b = ("dst", "src") if back else ("src", "dst")
-    steps = edges.select(F.col(a).alias("a"), F.col(b).alias("b"))
-    now = start.select(F.col("id").alias("origin"), F.col("id").alias("node"), F.array().cast("array<struct<a:string,b:string>>").alias("path"))
+    steps = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct()
+    near = kept(_near(steps, start, depth))
+    if depth > 1:
+        again = _on_cycles(near, depth).select(F.col("a").alias("c"), F.col("b").alias("d"), F.lit(True).alias("again"))
+        near = near.join(again, (F.col("a") == F.col("c")) & (F.col("b") == F.col("d")), "left").select("a", "b", F.coalesce("again", F.lit(False)).alias("again"))
+    else:
+        near = near.withColumn("again", F.lit(False))
     kind = start.schema["id"].dataType.simpleString()
-    now = now.withColumn("path", F.col("path").cast(f"array<struct<a:{kind},b:{kind}>>"))
+    none = F.array().cast(f"array<struct<a:{kind},b:{kind}>>")
+    now = start.select(F.col("id").alias("origin"), F.col("id").alias("node"), none.alias("path")).distinct()
     levels = []
     for d in range(1, depth + 1):
         edge = F.struct("a", "b")
-        now = now.join(steps, F.col("node") == F.col("a")).filter(~F.array_contains("path", edge)).select("origin", F.col("b").alias("node"), F.array_append("path", edge).alias("path"))
+        met = now.join(near, F.col("node") == F.col("a")).filter(~F.col("again") | ~F.array_contains("path", edge))
+        now = met.select("origin", F.col("b").alias("node"), F.when(F.col("again"), F.array_sort(F.array_append("path", edge))).otherwise(F.col("path")).alias("path")).distinct()
         levels.append(now.select("origin", "node", F.lit(d).alias("depth")))
-    return reduce(DataFrame.union, levels)
+    return reduce(DataFrame.union, levels).distinct()
 
 
-def closure(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """origin, node of every node that start(id) reaches by an edge or more; runs a job for each level."""
+def closure(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """origin, node of every node that start(id) reaches by an edge or more (and at most `depth`, if given); runs a job for each level."""
     steps = kept(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct())
     new = start.select(F.col("id").alias("origin"), F.col("id").alias("node")).distinct()
     seen, level = new.limit(0), 0
-    while True:
+    while depth is None or level < depth:
         new = new.join(steps, F.col("node") == F.col("a")).select("origin", F.col("b").alias("node")).distinct()
         new = kept(new.join(seen, ["origin", "node"], "left_anti"))
         if new.isEmpty():
-            return seen
+            break
         seen, level = seen.union(new), level + 1
         if level % 10 == 0:  # a short plan, however deep
             seen = kept(seen.coalesce(int(seen.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return seen
 
 
 def _found(paths: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -120,7 +158,7 @@ def contents(edges: DataFrame, nodes: DataFrame, module: str, depth: int | None
     """qualified_name of every function inside the module, however deep unless a depth is given."""
     start = nodes.filter((F.col("qualified_name") == module) & (F.col("kind") == "Module")).select("id")
     steps = of_type(edges, "CONTAINS")
-    inside = (closure(steps, start) if depth is None else trails(steps, start, depth)).select(F.col("node").alias("id")).distinct()
+    inside = closure(steps, start, depth).select(F.col("node").alias("id")).distinct()
     return nodes.filter("kind = 'Function'").join(inside, "id", "left_semi").select("qualified_name")
 
 

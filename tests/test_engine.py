@@ -111,6 +111,32 @@ def test_trails(spark):
     assert {r.depth for r in graph.callers(edges, nodes, "q::c", 0).collect()} == {1}
 
 
+def test_trails_against_brute_force(spark):
+    """Small graphs of many cycles, walked edge by edge; nodes of several origins."""
+    import random
+
+    r = random.Random(5)
+    for n, m, depth in ((3, 6, 2), (4, 7, 3), (5, 8, 4), (6, 9, 6)):
+        pairs = sorted({(r.choice("abcdef"[:n]), r.choice("abcdef"[:n])) for _ in range(m)})
+        edges, _ = make(spark, pairs)
+        start = spark.createDataFrame([("a",), ("b",), ("b",)], "id string")
+        for back in (False, True):
+            steps = [(b, a) for a, b in pairs] if back else pairs
+            want, paths = set(), [(o, o, ()) for o in "ab"]
+            for d in range(1, depth + 1):
+                paths = [(o, e[1], (*used, e)) for o, at, used in paths for e in steps if e[0] == at and e not in used]
+                want |= {(o, at, d) for o, at, _ in paths}
+            got = [tuple(x) for x in graph.trails(edges, start, depth, back).collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_trails_through_hubs(spark):
+    """Ten layers of six calls each make sixty million paths; they end alike, so they are few."""
+    pairs = [(f"{d}{a}", f"{d + 1}{b}") for d in range(10) for a in "abcdef" for b in "abcdef"]
+    edges, nodes = make(spark, pairs)
+    assert graph.callees(edges, nodes, "q::0a", 10).count() == 60
+
+
 def test_cycles(spark):
     for n in (2, 3):
         names = "xyz"[:n]
@@ -124,6 +150,7 @@ def test_contents_and_hierarchy_of_any_depth(spark):
     chain = list(zip(names, names[1:], strict=False))
     edges, nodes = make(spark, chain, "CONTAINS", {**dict.fromkeys(names[:-1], "Module"), "m": "Function"})
     assert [r[0] for r in graph.contents(edges, nodes, "q::a").collect()] == ["q::m"]
+    assert graph.contents(edges, nodes, "q::a", 11).isEmpty() and graph.contents(edges, nodes, "q::a", 12).count() == 1
     edges, nodes = make(spark, chain, "INHERITS_FROM", dict.fromkeys(names, "Class"))
     assert sorted("".join(r.path) for r in graph.hierarchy(edges, nodes, "a").collect()) == [names[:n] for n in range(2, 14)]
 
