@@ -1,6 +1,7 @@
 """Operators on small hand tables."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -354,6 +355,38 @@ def test_extract_script():
     assert extract.extract("x", "a.py") == [] and extract.extract(None, "a.ts") == []
 
 
+def test_watched_files(spark, tmp_path):
+    root, state = tmp_path / "src", str(tmp_path / "state")
+    (root / "a").mkdir(parents=True)
+    step = lambda n: sorted(tuple(r) for r in files.file_changes(spark, str(root), state, n, ["skip/**"]).collect())
+    assert step(0) == []
+    (root / "a/x.rs").write_text("fn a() {}")
+    (root / "y.ts").write_text("let a;")
+    (root / "y.txt").write_text("no source")
+    (root / "skip").mkdir()
+    (root / "skip/z.rs").write_text("fn z() {}")
+    assert step(1) == [("a/x.rs", "Created"), ("y.ts", "Created")] == step(1)
+    (root / "a/x.rs").write_text("fn abc() {}")
+    (root / "y.ts").rename(root / "w.ts")
+    (root / "empty.rs").write_text("")
+    assert step(3) == [("a/x.rs", "Modified"), ("w.ts", "Created"), ("y.ts", "Deleted")] and step(4) == []
+    assert {p.name for p in (tmp_path / "state").glob("listing=*")} == {"listing=3", "listing=4"}
+
+    seen = []
+    query = files.watch_files(spark, str(root), str(tmp_path / "live"), lambda changes, n: seen.extend(map(tuple, changes.collect())), 0.2)
+    try:
+        end = time.time() + 60
+        while len(seen) < 3 and time.time() < end:
+            time.sleep(0.2)
+        assert sorted(seen) == [("a/x.rs", "Created"), ("skip/z.rs", "Created"), ("w.ts", "Created")]
+        (root / "w.ts").unlink()
+        while len(seen) < 4 and time.time() < end:
+            time.sleep(0.2)
+        assert seen[3:] == [("w.ts", "Deleted")]
+    finally:
+        query.stop()
+
+
 def test_manifests():
     found = files.manifest_packages({"Cargo.toml": '[workspace]\nmembers=["crates/*"]', "crates/a-b/Cargo.toml": '[package]\nname="a-b"', "other/Cargo.toml": '[package]\nname="o"'})
     assert found == [{"directory": "crates/a-b", "name": "a_b", "source_root": "crates/a-b/src"}]
