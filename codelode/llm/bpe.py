@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Rolling, read, text_blocks, texts, tune
+from .common import Rolling, lean, read, text_blocks, texts, tune
 
 #: The split pattern of byte-level BPE tokenizers of this kind.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -173,6 +173,7 @@ class Codec:
 def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: id and its ids as array<int>."""
 
+    @lean
     def run(batches):
         codec = Codec(path)
         for rows, data, offsets in text_blocks(batches, text):
@@ -187,6 +188,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "t
 def decode(tokens: DataFrame, path: str, id_column: str = "doc_id", ids: str = "ids") -> DataFrame:
     """The inverse of encode: id and text; null ids decode to the empty text."""
 
+    @lean
     def run(batches):
         codec = Codec(path)
         for batch in batches:
@@ -200,6 +202,7 @@ def decode(tokens: DataFrame, path: str, id_column: str = "doc_id", ids: str = "
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode and decode every text; count and digests of both, without moving the ids."""
 
+    @lean
     def run(batches):
         codec = Codec(path)
         for rows, data, offsets in text_blocks(batches):

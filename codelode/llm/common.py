@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
+import inspect
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +20,8 @@ from pyspark.sql import functions as F
 ARROW_ROWS = 1024
 #: Bytes of text that one vectorised block holds (a longer document is a block of its own).
 BLOCK_BYTES = 1 << 20
+#: Bytes that are summed at once.
+PIECE = 1 << 16
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -110,6 +115,37 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Arrow's pool and the C library would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(run: Callable) -> Callable:
+    """run (over batches, or of one group) for Spark's workers, which give back what it has freed.
+
+    Spark keeps workers for later tasks, at times more of them than cores; each would hold
+    the largest size it ever had, beside the JVM of its executor."""
+    if inspect.isgeneratorfunction(run):
+
+        @functools.wraps(run)
+        def over_batches(batches):
+            yield from run(batches)
+            give_back()
+
+        return over_batches
+
+    @functools.wraps(run)
+    def of_group(table):
+        out = run(table)
+        give_back()
+        return out
+
+    return of_group
+
+
 def text_blocks(batches, text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) blocks: null texts are empty; offsets has one entry more than rows."""
     for batch in batches:
@@ -158,7 +194,10 @@ class Rolling:
         if len(data) + 1 > len(self.power):
             self._grow(len(data) + 1)
         out = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.table[data] * self.power[: len(data)], out=out[1:])
+        for a in range(0, len(data), PIECE):  # in pieces: whole temporary arrays would take as much again
+            b = min(a + PIECE, len(data))
+            np.cumsum(self.table[data[a:b]] * self.power[a:b], out=out[a + 1 : b + 1])
+            out[a + 1 : b + 1] += out[a]
         return out
 
     def spans(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest as digest
 
-from .common import BUCKET_BYTES, materialise, mix, read, text_blocks, texts, tune
+from .common import BUCKET_BYTES, lean, materialise, mix, read, text_blocks, texts, tune
 
 WINDOW, SHORTEST, LITERAL = 8, 4, 3
 #: Leaked: this share of the item's words, or so many of them.
@@ -190,6 +190,7 @@ def windows(docs: DataFrame, widths: list[int] | None, seen: np.ndarray | None)
 
     Without widths each text has the one width that items have: WINDOW, or the whole text."""
 
+    @lean
     def run(batches):
         vocabulary = Words()
         for rows, data, offsets in text_blocks(batches):
@@ -293,6 +294,7 @@ def _leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), found.count() * 400 // BUCKET_BYTES + 1)
     names = [x.split()[0] for x in LEAKS.split(", ")]
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
         vocabulary, groups = Words(), {}
         columns = [table.column(c).to_pylist() for c in ("doc_id", "h", "item_id", "item_words", "at", "item_at", "words", "own_words", "common", "own_common")]

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, bucket_count, even_keys, materialise, mix, pack, read, text_blocks, texts, total_bytes, tune, unpack
+from .common import Rolling, bucket_count, even_keys, lean, materialise, mix, pack, read, text_blocks, texts, total_bytes, tune, unpack
 from .components import components
 
 WORDS = 5
@@ -121,6 +121,7 @@ class Shingler:
 def shingle_sets(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """kind 0: doc_id, n and sid of every document (sid null if n is 0), h a hash of its text; kind 1: sid is a fingerprint that n sets of a block hold."""
 
+    @lean
     def run(batches):
         make, often = Shingler(words), {}
         schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("h", pa.int64())])
@@ -195,6 +196,7 @@ def range_of(key: np.ndarray, buckets: int) -> np.ndarray:
 def postings(docs: DataFrame, hot: np.ndarray, names: np.ndarray, words: int = WORDS) -> DataFrame:
     """Packed (fingerprint, set) lists by range of the fingerprint; hot ones by range of the set."""
 
+    @lean
     def run(batches):
         make = Shingler(words)
         for _, data, offsets in text_blocks(batches, limit=BLOCK):
@@ -215,6 +217,7 @@ def postings(docs: DataFrame, hot: np.ndarray, names: np.ndarray, words: int = W
 def shared(lists: DataFrame, hot: np.ndarray, names: np.ndarray) -> DataFrame:
     """Packed lists by range of the set: each set's fingerprints that another set has too, with their frequency (65535: that or more)."""
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
         sid, n, owner, key, _ = gather(table)
         order = np.argsort(key, kind="stable")
@@ -245,6 +248,7 @@ def shared(lists: DataFrame, hot: np.ndarray, names: np.ndarray) -> DataFrame:
 def survivors(lists: DataFrame) -> DataFrame:
     """Sets with a shared fingerprint in their prefix: sid, n, own (unshared), keys (sorted), bits (parity bitmap of keys), prefix (rare first) as packed values."""
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
         sid, n, owner, key, frequency = gather(table)
         mine = sid[owner]
@@ -270,6 +274,7 @@ def survivors(lists: DataFrame) -> DataFrame:
 def prefixes(alive: DataFrame) -> DataFrame:
     """One row per prefix fingerprint: key, sid, n, own, at (its place in the order), bits."""
 
+    @lean
     def run(batches):
         for batch in batches:
             keys = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(4)]
@@ -294,6 +299,7 @@ def passes(n1, n2, a1, a2, own1, own2) -> np.ndarray:
 def candidates(rows: DataFrame, last: bool, names: np.ndarray) -> DataFrame:
     """Distinct pairs x < y of sets in different components (column comp) that share a prefix fingerprint and pass the filters."""
 
+    @lean
     def run(table: pa.Table) -> pa.Table:
         key, sid, n, own, at, comp = (np.asarray(table.column(c).combine_chunks()) for c in ("key", "sid", "n", "own", "at", "comp"))
         bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
@@ -357,6 +363,7 @@ def candidates(rows: DataFrame, last: bool, names: np.ndarray) -> DataFrame:
     return rows.withColumn("bucket", name).groupBy("bucket").applyInArrow(run, "x long, y long").distinct()
 
 
+@lean
 def _verify(batches):
     """Suffix filter and exact intersection of the sorted sets."""
     edges = (np.arange(1, RANGES, dtype=np.uint64) << np.uint64(32)) // np.uint64(RANGES) << np.uint64(32)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Rolling, materialise, read, text_blocks, texts, tune
+from .common import Rolling, lean, materialise, read, text_blocks, texts, tune
 
 FOURIER, RIDGE, WIDTH, BINS = 256, 1e-3, 0.15, 2000
 #: A row is predicted good from this score on.
@@ -142,6 +142,7 @@ class Model:
 def partition_sums(rows: DataFrame, of, size: int) -> np.ndarray:
     """The sum of of(x, y) over all rows (x packed, y double): by partition, then level by level in GROUPS groups, then on the driver."""
 
+    @lean
     def part(batches):
         total = np.zeros(size)
         for batch in batches:
@@ -150,6 +151,7 @@ def partition_sums(rows: DataFrame, of, size: int) -> np.ndarray:
                 total += of(x, np.asarray(batch.column(1), float)).ravel()
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "total"])
 
+    @lean
     def merge(table: pa.Table) -> pa.Table:
         total = np.zeros(size)
         for x in table.column("total").to_pylist():
@@ -183,6 +185,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", mo
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select(F.col("doc_id").alias("__doc"), "y")
     rows = texts(docs).join(F.broadcast(chosen), F.col("doc_id") == F.col("__doc")).select("text", "y", (F.xxhash64("doc_id", F.lit(7)) % 5 == 0).alias("aside"))
 
+    @lean
     def run(batches):
         classes, rolling = _byte_classes(), Rolling(5)
         for block, data, offsets in text_blocks(batches):
@@ -229,6 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text."""
 
+    @lean
     def run(batches):
         classes, rolling = _byte_classes(), Rolling(5)
         for rows, data, offsets in text_blocks(batches):
@@ -247,6 +251,7 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents predicted good, with all their columns; texts are not moved."""
     model = fit(docs, labels)
 
+    @lean
     def run(batches):
         classes, rolling = _byte_classes(), Rolling(5)
         for rows, data, offsets in text_blocks(batches):

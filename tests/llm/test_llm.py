@@ -1,15 +1,19 @@
 """Operators of codelode.llm against brute force, round trips, SQL and edge cases."""
 
 import collections
+import ctypes
 import hashlib
 import re
+import tracemalloc
+from pathlib import Path
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codelode.llm import bpe, chat, decontam, line_dedup, ngram_join, quality, rules, suffix_dedup, toxicity, warc
-from codelode.llm.common import materialise
+from codelode.llm.common import Rolling, materialise
 from codelode.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -869,3 +873,43 @@ def test_pipeline_stages_agree_with_parts(spark):
     assert {r.doc_id for r in parts[3].collect()} == {d for d, (_, c) in want.items() if d == c}
     assert {r.doc_id for r in parts[5].collect()} == {r.doc_id for r in parts[4].collect()} <= {r.doc_id for r in parts[3].collect()}
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(map(tuple, parts[5].collect()))
+
+
+def own_mb():
+    """Memory of this process that belongs to no file, without what it has freed."""
+    pa.default_memory_pool().release_unused()
+    ctypes.CDLL(None).malloc_trim(0)
+    return kept_mb()
+
+
+def kept_mb():
+    return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) / 1024
+
+
+def test_workers_give_memory_back(spark, monkeypatch):
+    """What runs on a worker leaves it about as small as it was: workers stay beside the JVM of their executor."""
+    docs, runs = spark.createDataFrame([], "doc_id long, text string"), []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: runs.append(run) or self)
+    ngram_join.shingle_sets(docs)
+    bpe.digests(docs, bpe.vocabulary())
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{w}" for w in rng.integers(0, 10**5, 1000).tolist()) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(texts))), pa.array(texts), pa.array(np.arange(len(texts)))], names=["doc_id", "text", "h"])
+    for run in runs:
+        sum(len(x) for x in run(iter([batch.slice(0, 10)])))  # modules are loaded
+        before = own_mb()
+        assert sum(len(x) for x in run(iter([batch]))) >= len(texts)
+        assert kept_mb() - before < 25
+    assert len(runs) == 2
+
+
+def test_prefix_takes_little_more_than_its_result():
+    data = np.random.default_rng(6).integers(0, 256, 700_001).astype(np.uint8)
+    rolling = Rolling(3)
+    tracemalloc.start()
+    got = rolling.prefix(data)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[0] == 0 and (got[1:] == np.cumsum(rolling.table[data] * rolling.power[: len(data)])).all()
+    assert most < 1.5 * got.nbytes
+    assert rolling.prefix(data[:0]).tolist() == [0]
