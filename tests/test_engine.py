@@ -582,3 +582,12 @@ def test_extract_lines_and_documentation(spark):
     rows = extract.extract_table(files).select("name", "start_line", "end_line", "documentation_summary", "content").collect()
     assert len(rows) == extract.HELD_ROWS + 2 and tuple(rows[0]) == ("a", 5, 6, "First\nline", "fn a() {\n}") and tuple(rows[1]) == ("b", 7, 7, None, "fn b() {}")
     assert rows[-1].start_line == extract.HELD_ROWS + 7
+
+
+def test_cycles_are_ordered_as_written(spark):
+    """Cut off by the path as it is written, in which `a>` comes after `a1`."""
+    names = ["a", "a1", "a2"]
+    edges, nodes = make(spark, [(x, y) for x in names for y in names if x != y], "IMPORTS", dict.fromkeys(names, "Module"))
+    whole = sorted((r.length, ">".join(r.path)) for r in graph.cycles(edges, nodes, 3, limit=None).collect())
+    for length in (3, None):
+        assert [(r.length, ">".join(r.path)) for r in graph.cycles(edges, nodes, length, limit=3).collect()] == whole[:3]
