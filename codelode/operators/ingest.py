@@ -135,9 +135,13 @@ def pending_count(outbox: DataFrame, store: str | None = None) -> DataFrame:
     return pending(outbox, store).agg(F.count(F.lit(1)).alias("n"))
 
 
+def claimable() -> Column:
+    return F.col("processed_at").isNull() & (F.col("retry_count") < MAX_RETRIES)
+
+
 def claim(outbox: DataFrame, limit: int | None = BATCH) -> DataFrame:
     """The oldest rows below the retry limit over all stores (all of them without a limit), then by store, collection and time."""
-    rows = outbox.filter(F.col("processed_at").isNull() & (F.col("retry_count") < MAX_RETRIES))
+    rows = outbox.filter(claimable())
     if limit is not None:
         rows = rows.orderBy("created_at", "outbox_id").limit(limit)
     return rows.orderBy("target_store", "collection_name", "created_at", "outbox_id")

@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codelode.operators.ingest import MAX_RETRIES, claim, settle
-from codelode.operators.tables import kept
+from codelode.operators.ingest import MAX_RETRIES, claim, claimable, settle
+from codelode.operators.tables import kept, new_folder, sliced
 
 WINDOW_MS = 500
 MAX_BYTES = 10 * 1024 * 1024
@@ -169,13 +169,24 @@ def apply_outbox(batch: DataFrame, sink, error_of, now: Column, outbox: DataFram
 
 
 def drain(outbox: DataFrame, sink, error_of, now: Column, batch: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(log, dead letters) after claiming, applying and settling batches until no row is left to try; every row is tried at most as often as it may be."""
-    dead = None
-    while True:
-        rows = kept(claim(outbox, batch))
-        if rows.isEmpty():
-            return outbox, dead if dead is not None else outbox.limit(0)
-        sink(rows)
-        outbox, _ = settle(outbox, error_of(rows), now)
-        outbox = kept(outbox)
-        dead = outbox.filter((F.col("retry_count") >= MAX_RETRIES) & F.col("last_error").isNotNull())
+    """(log, dead letters) after claiming, applying and settling batches until no row is left to try; every row is tried at most as often as it may be.
+
+    A batch is the oldest rows that are left, those tried in vain included.  The open rows lie in slices of a batch each and a
+    step takes up the next slice when fewer are in hand, so a step costs by its batch and not by the log."""
+    spark, waiting = outbox.sparkSession, F.coalesce(claimable(), F.lit(False))
+    slices, path, tried = sliced(outbox.filter(waiting), batch, "created_at", "outbox_id"), new_folder(outbox.sparkSession), False
+    hand, n = None, 0
+    for i, more in enumerate(slices, 1):
+        hand = more if n == 0 else hand.unionByName(more)
+        n = hand.count()
+        while n >= batch or (n and i == len(slices)):
+            rows = kept(claim(hand, batch))
+            sink(rows)
+            after = kept(settle(hand, error_of(rows), now)[0])
+            after.filter(~waiting).write.mode("append").parquet(path)
+            hand, tried = after.filter(waiting), True
+            n = hand.count()
+    if not tried:
+        return outbox, outbox.limit(0)
+    whole = outbox.filter(~waiting).unionByName(spark.read.schema(outbox.schema).parquet(path))
+    return whole, whole.filter((F.col("retry_count") >= MAX_RETRIES) & F.col("last_error").isNotNull())

@@ -600,3 +600,32 @@ def test_node_delete_leaves_supplier_zero(spark, tmp_path):
     spark.createDataFrame([(0, 50), (1, 5)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     spark.createDataFrame([(0, 0, "A"), (1, 0, "A"), (1, 1, "R")], "l_partkey long, l_suppkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     assert sorted(map(tuple, QUERIES["node_delete"](spark, str(tmp_path)).collect())) == [("A", 1), ("R", 1)]
+
+
+def test_drain_goes_by_batches(spark):
+    """Every batch is the oldest rows left, those tried in vain included, and its outcome is settled without the rest of the log."""
+    rows = [(f"{i:03}", dt.datetime(2024, 1, 1, 0, 0, i % 50), "graph", "c", dt.datetime(2024, 1, 1) if i % 9 == 0 else None, i % 4, None, i % 5 == 0) for i in range(60)]
+    log = spark.createDataFrame(rows, "outbox_id string, created_at timestamp, target_store string, collection_name string, processed_at timestamp, retry_count int, last_error string, bad boolean")
+    seen, want = [], []
+    outcome = lambda batch: batch.select("outbox_id", F.when(F.col("bad"), "no").alias("error"))
+    whole, dead = changes.drain(log, lambda batch: seen.append(sorted(r.outbox_id for r in batch.collect())), outcome, F.lit("2030-01-01").cast("timestamp"), batch=7)
+    open_, retries = [r for r in rows if r[4] is None and r[5] < 3], {r[0]: r[5] for r in rows}
+    while open_:
+        now = sorted(open_, key=lambda r: (r[1], r[0]))[:7]
+        want.append(sorted(r[0] for r in now))
+        for r in now:
+            retries[r[0]] += r[7]
+        open_ = [r for r in open_ if r not in now or (r[7] and retries[r[0]] < 3)]
+    assert seen == want
+    assert {r.outbox_id: r.retry_count for r in whole.collect()} == retries and whole.count() == 60
+    assert {r.outbox_id for r in dead.collect()} == {r[0] for r in rows if r[7] and r[4] is None and r[5] < 3}
+    assert whole.filter("processed_at IS NULL").count() == sum(r[4] is None and r[5] >= 3 for r in rows)
+    settled = []
+    per_step = lambda batch: settled.append(batch.sparkSession) or outcome(batch)
+    plans, settle = [], changes.settle
+    changes.settle = lambda hand, *rest: plans.append(hand.count()) or settle(hand, *rest)
+    try:
+        changes.drain(log, lambda batch: None, per_step, F.lit("2030-01-01").cast("timestamp"), batch=7)
+    finally:
+        changes.settle = settle
+    assert len(settled) == len(want) and max(plans) < 14
