@@ -14,6 +14,8 @@ K1, B, DEFAULT_AVGDL = 1.2, 0.75, 50.0
 #: Constant of reciprocal rank fusion (ranks from 1); most rows that one list may bring to it.
 RRF_K, PREFETCH_MOST = 60, 1000
 SPARSE_TERMS = 256
+#: Queries and vectors whose products a worker holds at once.
+BLOCK_SIDE = 1024
 
 
 def clamp(value: int, low: int, high: int) -> int:
@@ -73,22 +75,49 @@ def dense_topk_many(vectors: DataFrame, queries: DataFrame, limit: int, key: str
 
 
 def _block_topk(vectors, ids, q, limit, key, vector) -> DataFrame:
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    """Works in blocks of `side` queries by `side` vectors, so memory follows neither.  A product of matrices finds the candidates;
+    their scores, which decide, are summed one by one, as a product's last digits depend on the place in the block."""
+    norms, side = np.sqrt(np.cumsum(q * q, axis=1)[:, -1]), BLOCK_SIDE
+    unit_q = q / np.maximum(norms[:, None], 1e-300)
+
+    def merged(held, found):
+        """The `limit` best (query, id, score) of both for each query; equal vectors have equal scores, ties go by id."""
+        of, who, score = (np.concatenate(x) for x in zip(held, found, strict=True))
+        order = np.lexsort((who, -score, of))
+        of, who, score = of[order], who[order], score[order]
+        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, int)
+        good = np.arange(len(of)) - np.repeat(first, np.diff(np.r_[first, len(of)])) < limit
+        return of[good], who[good], score[good]
+
+    def scores(i, x, own):
+        """Summed in the order of the dimensions, whatever else is in the block."""
+        total, a, b = np.zeros(len(i)), norms[i], np.zeros(len(i))
+        for d in range(q.shape[1]):
+            total += q[i, d] * x[own, d]
+            b += x[own, d] * x[own, d]
+        return total / (a * np.sqrt(b))
 
     def run(batches):
-        best_id, best = np.zeros((len(q), 0), np.int64), np.zeros((len(q), 0))
+        held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)) for _ in range(0, len(q), side)]
         for batch in batches:
-            lists = batch.column(1)
-            if not len(batch):
-                continue
-            x = np.asarray(lists.flatten(), float).reshape(len(batch), -1)
-            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            own = np.broadcast_to(np.asarray(batch.column(0)), (len(q), len(batch)))
-            best_id, best = np.hstack([best_id, own]), np.hstack([best, q @ x.T])
-            order = np.lexsort((best_id, -best), axis=1)[:, :limit]
-            best_id, best = np.take_along_axis(best_id, order, 1), np.take_along_axis(best, order, 1)
-        of = np.repeat(np.array(ids, np.int64), best.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(of), pa.array(best_id.ravel()), pa.array(best.ravel())], names=["query_id", key, "score"])
+            for at in range(0, len(batch), side):
+                part = batch.slice(at, side)
+                own, x = np.asarray(part.column(0)).astype(np.int64), np.asarray(part.column(1).flatten(), float).reshape(len(part), -1)
+                unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                for n, low in enumerate(range(0, len(q), side)):
+                    near = unit_q[low : low + side] @ unit.T
+                    of, _, score = held[n]
+                    worst = np.full(len(near), -np.inf)
+                    full = np.flatnonzero(np.bincount(of - low, minlength=len(near)) >= limit) if len(of) else []
+                    if len(full):
+                        worst[full] = score[np.flatnonzero(np.r_[of[1:] != of[:-1], True] & (np.bincount(of - low, minlength=len(near))[of - low] >= limit))]
+                    elif len(part) > limit:
+                        worst = np.partition(near, len(part) - limit, axis=1)[:, len(part) - limit]
+                    i, j = np.nonzero(near >= worst[:, None] - 1e-9)
+                    if len(i):
+                        held[n] = merged(held[n], (i + low, own[j], scores(i + low, x, j)))
+        for of, who, score in held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[of]), pa.array(who), pa.array(score)], names=["query_id", key, "score"])
 
     return vectors.select(key, vector).mapInArrow(run, f"query_id long, {key} long, score double")
 
