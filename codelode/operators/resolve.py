@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.text import external_name, external_package, simple_name
+from codelode.operators.tables import kept
+
+#: Names that are broadcast to the references once they are resolved; more are met in a join.
+BROADCAST_NAMES = 100_000
 
 # Strategies of each relation in their order, and what it may point to.
 STRATEGIES = {
@@ -78,19 +82,25 @@ def _targets(entities: DataFrame) -> DataFrame:
 def resolve(entities: DataFrame, refs: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges, external nodes).  Local resolution comes before the external flag; self edges stay for calls only.
 
-    All references and all strategies go through one join: the cascade is the least place of a strategy that hit."""
+    All strategies go through one join: the cascade is the least place of a strategy that hit.  It depends on what is named and not on
+    who names it, so every name is resolved once, however many references it has, and the references look theirs up."""
     refs = references(entities) if refs is None else refs
     order = F.create_map(*[x for rel, hows in STRATEGIES.items() for x in (F.lit(rel), F.array(*map(F.lit, hows)))])
-    wanted = refs.withColumn("id", F.xxhash64("repository_id", "src", "rel_type", "target", "simple", "is_external")).dropDuplicates(["repository_id", "src", "rel_type", "target", "simple", "is_external"])
-    tries = wanted.select("*", F.posexplode(order[F.col("rel_type")]).alias("place", "how"))
+    by = ["repository_id", "rel_type", "target", "simple"]
+    tries = refs.select(*by).distinct().select("*", F.posexplode(order[F.col("rel_type")]).alias("place", "how"))
     tries = tries.withColumn("key", F.when(F.col("how").isin("unique", "simple"), F.col("simple")).otherwise(F.col("target")))
-    hits = tries.join(_targets(entities), ["repository_id", "rel_type", "how", "key"], "left")
-    best = hits.groupBy("repository_id", "src", "rel_type", "target", "simple", "is_external").agg(F.min(F.when(F.col("dst").isNotNull(), F.struct("place", "dst", "how"))).alias("hit"))
-    found = best.filter("hit IS NOT NULL").select("repository_id", "src", F.col("hit.dst").alias("dst"), "rel_type")
-    local = found.filter((F.col("src") != F.col("dst")) | (F.col("rel_type") == "CALLS"))
-    outside = best.filter("hit IS NULL AND is_external").select("repository_id", "src", external_name(F.col("target")).alias("dst"), "rel_type", external_package(F.col("target")).alias("package"))
-    nodes = outside.select(F.col("dst").alias("id"), "repository_id", F.col("dst").alias("qualified_name"), F.element_at(F.split("dst", "::"), -1).alias("name"), "package").dropDuplicates(["id", "repository_id"])
-    return local.union(outside.drop("package")).dropDuplicates(), nodes
+    hits = tries.join(_targets(entities), ["repository_id", "rel_type", "how", "key"])
+    best = hits.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.min(F.struct("place", "dst", "how")).alias("hit")).withColumn("hit", F.col("hit.dst"))
+    best = kept(best)
+    best = F.broadcast(best) if best.count() <= BROADCAST_NAMES else best
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    rows = refs.join(best, reduce(lambda a, b: a & b, same), "left")
+    outside = F.col("hit").isNull() & F.col("is_external")
+    local = F.col("hit").isNotNull() & ((F.col("src") != F.col("hit")) | (F.col("rel_type") == "CALLS"))
+    edges = rows.filter(local | outside).select("repository_id", "src", F.coalesce("hit", external_name(F.col("target"))).alias("dst"), "rel_type").dropDuplicates()
+    named = rows.filter(outside).select("repository_id", "target").distinct().select(external_name(F.col("target")).alias("id"), "repository_id", external_package(F.col("target")).alias("package"))
+    nodes = named.select("id", "repository_id", F.col("id").alias("qualified_name"), F.element_at(F.split("id", "::"), -1).alias("name"), "package").dropDuplicates(["id", "repository_id"])
+    return edges, nodes
 
 
 def unique_names(entities: DataFrame, name: str = "name", key: str = "entity_id") -> DataFrame:

@@ -645,3 +645,14 @@ def test_dense_many_in_blocks(spark, monkeypatch):
     want = {(q, i, n) for q, a in rows if q % 4 == 0 for n, (_, i) in enumerate(sorted((-round(cos(a, b), 12), i) for i, b in rows)[:6], 1)}
     found = retrieval.dense_topk_many(vectors, vectors.filter("vec_id % 4 = 0"), 6)
     assert {(r.query_id, r.vec_id, r["rank"]) for r in found.collect()} == want
+
+
+def test_names_are_resolved_once(spark):
+    """References look up names that were resolved without them, however many name one; a missing target or simple name is no match."""
+    entities = spark.createDataFrame([entity("1", "b", "p::b"), entity("2", "b", "<p::T as p::U>::b", "Method")], ENTITY)
+    rows = [("r", f"s{i}", "CALLS", t, s, e) for i in range(20) for t, s, e in (("x::b", "b", False), ("ext::c<T>", "c", True), (None, "b", False), ("p::b", None, False), (None, None, False))]
+    refs = spark.createDataFrame(rows, "repository_id string, src string, rel_type string, target string, simple string, is_external boolean")
+    edges, outside = resolve.resolve(entities, refs)
+    assert {(r.src, r.dst) for r in edges.collect()} == {(f"s{i}", d) for i in range(20) for d in ("1", "external::ext::c")} and edges.count() == 40
+    assert [tuple(r) for r in outside.collect()] == [("external::ext::c", "r", "external::ext::c", "c", "ext")]
+    assert "posexplode" not in edges._jdf.queryExecution().optimizedPlan().toString()
