@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codelode.functions.text import code_tokens, splade_weight
-from codelode.operators.tables import kept
+from codelode.operators.tables import kept, written
 
 K1, B, DEFAULT_AVGDL = 1.2, 0.75, 50.0
 #: Constant of reciprocal rank fusion (ranks from 1); most rows that one list may bring to it.
 RRF_K, PREFETCH_MOST = 60, 1000
 SPARSE_TERMS = 256
+#: Most terms whose frequency every worker knows; documents that a worker counts at once.
+COMMON_TERMS, COUNTED_DOCS = 100_000, 512
 #: Queries and vectors whose products a worker holds at once.
 BLOCK_SIDE = 1024
 
@@ -181,12 +183,72 @@ def bm25_topk(docs: DataFrame, query: str, limit: int, key: str = "doc_id", text
 
 
 def top_terms(docs: DataFrame, key: str, text: str, k: int = SPARSE_TERMS) -> DataFrame:
-    """The k heaviest terms of each document by tf * idf: key, term, weight, rank."""
-    weighted = term_counts(docs, key, text).join(idf_table(docs, key, text), "term").withColumn("weight", F.col("tf") * F.col("idf"))
+    """The k heaviest terms of each document by tf * idf: key, term, weight, rank.
+
+    Texts are tokenised once and counted in place.  The commonest terms' frequencies go to every worker, so it can bound the
+    weight of each term of a document from both sides; only what may be among the k heaviest is shuffled and ranked exactly."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(F.round("weight", 6)), "term"))
+    keys = docs.agg(F.count(F.lit(1)).alias("n"), F.count(key).alias("keys"), F.count_distinct(key).alias("unique")).first()
+    if keys["unique"] < keys["keys"] or keys["n"] > keys["keys"] + 1:  # parts of a document in several rows
+        weighted = term_counts(docs, key, text).join(idf_table(docs, key, text), "term")
+    else:
+        weighted = _heavy_terms(docs, key, text, k, keys["n"])
+    weighted = weighted.withColumn("weight", F.col("tf") * F.col("idf"))
     return weighted.withColumn("rank", rank).filter(F.col("rank") <= k).select(key, "term", "weight", "rank")
 
 
+def _heavy_terms(docs: DataFrame, key: str, text: str, k: int, n: int) -> DataFrame:
+    """key, term, tf, idf of the terms that may be among the k heaviest of their document."""
+    kind = docs.schema[key].dataType.simpleString()
+    counted = written(docs.select(key, code_tokens(F.col(text)).alias("tokens")).mapInArrow(_count_tokens, f"{key} {kind}, terms array<string>, tf array<long>"))
+    counts = written(counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    least, common = 1, 0
+    for row in counts.groupBy("df").count().orderBy(F.desc("df")).toLocalIterator():
+        common += row["count"]
+        least = row.df
+        if common > COMMON_TERMS:
+            least += 1
+            break
+    known = counts.filter(F.col("df") >= least).toArrow()
+    names, df = known.column("term").combine_chunks(), known.column("df").to_numpy()
+    bound = lambda x: np.log((n - x + 0.5) / (x + 0.5) + 1)
+    low, high = np.append(bound(df), bound(max(least - 1, 1))), np.append(bound(df), bound(1))
+
+    def run(batches):
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for at in range(0, len(batch), COUNTED_DOCS):
+                part = batch.slice(at, COUNTED_DOCS)
+                terms, tf = part.column(1).flatten(), part.column(2).flatten()
+                of = np.repeat(np.arange(len(part)), pc.list_value_length(part.column(1)).to_numpy(zero_copy_only=False).astype(int))
+                place = pc.fill_null(pc.index_in(terms, names), len(names)).to_numpy()
+                times = tf.to_numpy()
+                least_weight, most_weight = times * low[place], times * high[place]
+                order = np.lexsort((-least_weight, of))
+                start = np.r_[0, np.cumsum(np.bincount(of, minlength=len(part)))]
+                needed = np.full(len(part), -np.inf)
+                full = np.flatnonzero(np.diff(start) >= k)
+                needed[full] = least_weight[order][start[full] + k - 1]
+                # weights are compared when rounded to six places: what is further below than that cannot come before
+                may = np.flatnonzero(most_weight >= needed[of] - 2e-6)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of[may])), terms.take(pa.array(may)), tf.take(pa.array(may))], names=[key, "term", "tf"])
+
+    heavy = counted.mapInArrow(run, f"{key} {kind}, term string, tf long")
+    return heavy.join(counts, "term").select(key, "term", "tf", idf(F.lit(n), F.col("df")).alias("idf"))
+
+
+def _count_tokens(batches):
+    """Each document's terms, each once, with their number."""
+    from collections import Counter
+
+    for batch in batches:
+        for at in range(0, len(batch), COUNTED_DOCS):
+            part = batch.slice(at, COUNTED_DOCS)
+            found = [Counter(tokens or ()) for tokens in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([list(c) for c in found], pa.list_(pa.string())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], names=[part.schema.names[0], "terms", "tf"])
+
+
 def bm25_by_group(docs: DataFrame, query: str, limit: int, key: str, text: str, group: str) -> DataFrame:
     """group, key, score, rank: the best rows of every group, each scored by its own counts, in one pass over all groups."""
     spark = docs.sparkSession

@@ -656,3 +656,24 @@ def test_names_are_resolved_once(spark):
     assert {(r.src, r.dst) for r in edges.collect()} == {(f"s{i}", d) for i in range(20) for d in ("1", "external::ext::c")} and edges.count() == 40
     assert [tuple(r) for r in outside.collect()] == [("external::ext::c", "r", "external::ext::c", "c", "ext")]
     assert "posexplode" not in edges._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("common", [100_000, 3, 0])
+def test_top_terms_of_few_rows(spark, monkeypatch, common):
+    """However few terms' frequencies are known beforehand, the heaviest are exact, ties by term; only some terms are shuffled."""
+    import math
+    import random
+
+    monkeypatch.setattr(retrieval, "COMMON_TERMS", common)
+    dice = random.Random(3)
+    texts = [" ".join(f"w{min(int(dice.expovariate(0.05)), 90)}" for _ in range(dice.choice((0, 3, 60)))) for _ in range(40)] + [None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    count = [{t: x.split().count(t) for t in x.split()} if x else {} for x in texts]
+    df = {t: sum(t in c for c in count) for c in count for t in c}
+    idf = {t: math.log((41 - n + 0.5) / (n + 0.5) + 1) for t, n in df.items()}
+    want = {(i, t, n) for i, c in enumerate(count) for n, (_, t) in enumerate(sorted((-round(c[t] * idf[t], 6), t) for t in c)[:4], 1)}
+    assert {(r.id, r.term, r["rank"]) for r in retrieval.top_terms(docs, "id", "text", 4).collect()} == want
+    if common:
+        assert retrieval._heavy_terms(docs, "id", "text", 4, 41).count() < sum(map(len, count))
+    halves = docs.union(docs).withColumn("text", F.coalesce("text", F.lit("")))  # a document in two rows counts as before
+    assert retrieval.top_terms(halves, "id", "text", 4).filter("id = 0 AND rank = 1").count() == (1 if count[0] else 0)
