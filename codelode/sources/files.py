@@ -33,9 +33,9 @@ def ignore_patterns(text: str) -> list[str]:
 
 
 def _listed(spark: SparkSession, root: str, ignore: list[str], extensions: list[str] | None) -> DataFrame:
-    """path (relative), size, modificationTime and content of the files to index."""
+    """path (relative), size, modificationTime and content of the files to index; a file that goes after it is listed counts as gone."""
     kinds = sorted(extensions or EXTENSIONS)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join([*kinds, *[k.upper() for k in kinds]]) + "}")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").option("pathGlobFilter", "*.{" + ",".join([*kinds, *[k.upper() for k in kinds]]) + "}")
     base = root.rstrip("/") + "/"
     relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^.*?" + re.escape(base), "")
     rows = reader.load(root).filter(F.col("length") <= MAX_BYTES).select(relative.alias("path"), F.col("length").alias("size"), "modificationTime", "content")

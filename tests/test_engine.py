@@ -677,3 +677,11 @@ def test_top_terms_of_few_rows(spark, monkeypatch, common):
         assert retrieval._heavy_terms(docs, "id", "text", 4, 41).count() < sum(map(len, count))
     halves = docs.union(docs).withColumn("text", F.coalesce("text", F.lit("")))  # a document in two rows counts as before
     assert retrieval.top_terms(halves, "id", "text", 4).filter("id = 0 AND rank = 1").count() == (1 if count[0] else 0)
+
+
+def test_files_that_go_while_they_are_read(spark, tmp_path):
+    (tmp_path / "a.rs").write_text("fn a() {}")
+    (tmp_path / "b.rs").write_text("fn b() {}")
+    rows = files.repository_files(spark, str(tmp_path), "r")
+    (tmp_path / "b.rs").unlink()
+    assert [r.path for r in rows.collect()] == ["a.rs"]
